@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op2_byte_bpe
+from .decontaminate import OP9_SQL, op9_decontamination
 from .url_filter import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {"op5_warc": op5_warc, "op10_url_filters": op10_url_filters}
-SQL = {"op5_warc": OP5_SQL, "op10_url_filters": OP10_SQL}
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op5_warc": op5_warc, "op9_decontamination": op9_decontamination, "op10_url_filters": op10_url_filters}
+SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
