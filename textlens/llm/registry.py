@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
+from .language_id import op1_language_id
 from .url_filter import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op5_warc": op5_warc, "op9_decontamination": op9_decontamination, "op10_url_filters": op10_url_filters}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_warc": op5_warc,
+    "op9_decontamination": op9_decontamination,
+    "op10_url_filters": op10_url_filters,
+}
 SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
