@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
 from .language_id import op1_language_id
+from .language_model import op4_language_model
 from .neighbours import op8_neighbours
 from .url_filter import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc
@@ -12,6 +13,7 @@ from .warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_language_model": op4_language_model,
     "op5_warc": op5_warc,
     "op8_neighbours": op8_neighbours,
     "op9_decontamination": op9_decontamination,
