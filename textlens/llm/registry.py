@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
+from .jaccard import op7_jaccard_join
 from .language_id import op1_language_id
 from .language_model import op4_language_model
 from .neighbours import op8_neighbours
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_language_model": op4_language_model,
     "op5_warc": op5_warc,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_neighbours": op8_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
