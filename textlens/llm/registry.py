@@ -8,12 +8,14 @@ from .jaccard import op7_jaccard_join
 from .language_id import op1_language_id
 from .language_model import op4_language_model
 from .neighbours import op8_neighbours
+from .repeats import op3_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language_model": op4_language_model,
     "op5_warc": op5_warc,
     "op7_jaccard_join": op7_jaccard_join,
