@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
 #: Characters whose chunks are looked up at once.
 BATCH_CHARS = 2_000_000
+#: Distinct chunks kept in one Python worker (some 100 MB).
+CACHED = 500_000
 
 #: A blank before white space or the end, after which a text can't be cut by blanks alone.
 _UNSAFE = re.compile(r" (?=\s|\Z)")
@@ -47,41 +50,55 @@ def parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_texts(texts: list[str | None], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first, last, ids, counts) for texts[first:last] in turn: their ids in a row and the number for each text.
-    `encode` gets the distinct chunks of some texts and returns a ragged array of ids. Null counts as empty."""
-    first, held, owner, size = 0, [], [], 0
-
-    def flush(last: int):
-        place = {c: i for i, c in enumerate(dict.fromkeys(held))}
-        data, offsets = encode(list(place))
-        index = np.fromiter(map(place.__getitem__, held), np.int64, len(held))
-        ids, out = take(data, offsets, index)
-        counts = np.bincount(np.asarray(owner, np.int64) - first, np.diff(out), minlength=last - first).astype(np.int64)
-        return first, last, ids, counts
-
-    carried: list[np.ndarray] = []  # ids of the parts of one very long text
-    for i, text in enumerate(texts):
-        text = text or ""
-        long = len(text) > 2 * BATCH_CHARS
-        if size and size + len(text) > BATCH_CHARS:
-            yield flush(i)
-            first, held, owner, size = i, [], [], 0
-        if long:
-            for part in parts(text):
-                held, owner = chunks(part), [i] * len(held)
-                owner = [i] * len(held)
-                carried.append(flush(i + 1)[2])
-            ids = np.concatenate(carried)
-            yield i, i + 1, ids, np.array([len(ids)])
-            carried, first, held, owner, size = [], i + 1, [], [], 0
-            continue
-        c = chunks(text)
-        held += c
-        owner += [i] * len(c)
-        size += len(text) + 1
-    if first < len(texts):
-        yield flush(len(texts))
+class ChunkEncoder:
+    """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, CACHED at most.
+    `encode` gets chunks and returns a ragged array of ids."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.data, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _ids(self, held: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > CACHED:
+            self._clear()
+        index = np.fromiter(map(self.place.get, held, repeat(-1)), np.int64, len(held))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            missing = list(dict.fromkeys(held[i] for i in new.tolist()))
+            data, offsets = self.encode(missing)
+            self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing)), strict=True))
+            self.data = np.concatenate([self.data, data])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+            index[new] = np.fromiter(map(self.place.__getitem__, (held[i] for i in new.tolist())), np.int64, len(new))
+        return take(self.data, self.offsets, index)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Yields (first, last, ids, counts) for texts[first:last] in turn: their ids in a row and the number for each text. Null is empty."""
+        first, held, ends, size = 0, [], [0], 0
+
+        def flush(last: int):
+            ids, out = self._ids(held)
+            return first, last, ids, np.diff(out[np.array(ends)])
+
+        for i, text in enumerate(texts):
+            text = text or ""
+            if size and size + len(text) > BATCH_CHARS:
+                yield flush(i)
+                first, held, ends, size = i, [], [0], 0
+            if len(text) > 2 * BATCH_CHARS:
+                ids = np.concatenate([self._ids(chunks(x))[0] for x in parts(text)])
+                yield i, i + 1, ids, np.array([len(ids)])
+                first = i + 1
+                continue
+            held += chunks(text)
+            ends.append(len(held))
+            size += len(text) + 1
+        if first < len(texts):
+            yield flush(len(texts))
 
 
 def list_array(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:

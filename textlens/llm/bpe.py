@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import table
-from ._tokens import encode_texts, list_array, take
+from ._tokens import ChunkEncoder, list_array, take
 
 #: Widths of the padded matrices; longer pieces are merged one by one with a heap.
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -35,7 +35,7 @@ def read_ranks(path: str) -> bytes:
 class ByteBPE:
     def __init__(self, content: bytes, pattern: str = public_tokenizers.PATTERN):
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in content.splitlines() if line)}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.plain = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
@@ -179,9 +179,17 @@ class ByteBPE:
             data[offsets[piece] + within] = ids
         return data, offsets
 
+    def _pieces(self, text: str) -> list[str]:
+        """Matches of the pattern; a blank, ASCII letters and stops, by far the most common form, need no search."""
+        if self.plain and text.isascii():
+            word = text.rstrip(".,;:!?")
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                return [word, text[len(word) :]] if len(word) < len(text) else [word]
+        return self.pattern.findall(text)
+
     def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ragged ids of texts: each match of the pattern is a piece, distinct pieces are merged once."""
-        matches = [self.pattern.findall(t) for t in texts]
+        matches = [self._pieces(t) for t in texts]
         flat = [m for ms in matches for m in ms]
         place = {p: i for i, p in enumerate(dict.fromkeys(flat))}
         data, offsets = self.encode_pieces([p.encode("utf-8") for p in place])
@@ -219,10 +227,10 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(content)
+        encoder = ChunkEncoder(_loaded(content).encode_chunks)
         for batch in batches:
             rest = batch.select([f.name for f in keep])
-            for a, b, values, counts in encode_texts(batch.column(text).to_pylist(), bpe.encode_chunks):
+            for a, b, values, counts in encoder(batch.column(text).to_pylist()):
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, list_array(counts, values, pa.int32())], names=schema.names)
 
