@@ -9,6 +9,7 @@ from .language_id import op1_language_id
 from .language_model import op4_language_model
 from .neighbours import op8_neighbours
 from .repeats import op3_suffix_dedup
+from .token_files import op6_token_files
 from .url_filter import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language_model": op4_language_model,
     "op5_warc": op5_warc,
+    "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_neighbours": op8_neighbours,
     "op9_decontamination": op9_decontamination,
