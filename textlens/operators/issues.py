@@ -25,9 +25,10 @@ def scan_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
     text must match, null for none. Offsets are summed up from the gaps between hits. A nested-loop join to the rules, whose
     number is checked."""
     r = F.broadcast(checked_small(rules)).select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(r, F.col("text").rlike(F.col("_pattern")) & (F.col("_requires").isNull() | F.col("text").rlike(F.coalesce("_requires", F.lit("")))))
-    both = F.concat(F.lit(r"([\s\S]*?)("), F.col("_pattern"), F.lit(")"))
-    found = t.withColumn("_p", F.arrays_zip(F.regexp_extract_all("text", both, F.lit(1)).alias("gap"), F.regexp_extract_all("text", both, F.lit(2)).alias("hit")))
+    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(r, F.rlike("text", F.col("_pattern")) & (F.col("_requires").isNull() | F.rlike("text", F.coalesce("_requires", F.lit("")))))
+    # gaps by split, hits by extraction: both pass over the text once
+    gaps, hits = F.call_function("split", F.col("text"), F.col("_pattern"), F.lit(-1)), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))
+    found = t.withColumn("_h", hits).withColumn("_p", F.zip_with(F.slice(gaps, F.lit(1), F.size("_h")), "_h", lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
     # running ends by one fold, so that long texts stay linear
     ends = F.aggregate("_p", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("out")), lambda a, p: F.struct((a["at"] + F.char_length(p["gap"]) + F.char_length(p["hit"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.char_length(p["gap"])).alias("start"), p["hit"].alias("hit")))).alias("out")), lambda a: a["out"])
     x = found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in rules.columns], F.explode(ends).alias("x"))
@@ -140,7 +141,8 @@ def tense_consistency(tokens: DataFrame, verbs: DataFrame, cues: DataFrame) -> D
     t = tokens.select("doc_id", "sent_id", "tok_id", "lower").join(c, "lower")
     weight = lambda x: F.sum(F.when(F.col("tense") == x, F.col("weight")).otherwise(0.0))
     g = t.groupBy("doc_id", "sent_id").agg(weight("past").alias("past"), weight("present").alias("present"), F.min(F.when(F.col("verb") & (F.col("tense") == "past"), F.col("tok_id"))).alias("_past"), F.min(F.when(F.col("verb") & (F.col("tense") == "present"), F.col("tok_id"))).alias("_present"))
-    main = F.when(F.col("past") > F.col("present"), "past").when(F.col("present") > F.col("past"), "present")
+    lead = F.round(F.col("past") - F.col("present"), 6)  # sums of weights in any order
+    main = F.when(lead > 0, "past").when(lead < 0, "present")
     return g.select("doc_id", "sent_id", main.alias("tense"), "past", "present", F.when(main == "past", F.col("_present")).when(main == "present", F.col("_past")).alias("issue_tok"))
 
 
