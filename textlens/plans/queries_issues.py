@@ -291,15 +291,15 @@ def _(s, d):
     return iss.acceptance_by_type(decisions(s, d))
 
 
-@query("f18_recalibrate", f"WITH {MERGED}, a AS (SELECT count(*) AS n, avg((quality = 1)::INT) AS r FROM mg JOIN labels USING (doc_id)), t AS (SELECT n, CASE WHEN n < 100 THEN 0 WHEN r > 0.8 THEN -0.05 WHEN r < 0.5 THEN 0.05 ELSE 0 END::DOUBLE AS s FROM a) SELECT n, 0.8::DOUBLE + s AS show, 0.6::DOUBLE + s AS suggest FROM t")
+@query("f18_recalibrate", f"WITH {MERGED}, a AS (SELECT count(*) AS n, avg((quality = 1)::INT) AS r FROM mg JOIN labels USING (doc_id)), st AS (SELECT n, CASE WHEN n < 100 THEN 0 WHEN r > 0.8 THEN -0.05 WHEN r < 0.5 THEN 0.05 ELSE 0 END::DOUBLE AS s FROM a) SELECT n, 0.8::DOUBLE + s AS show, 0.6::DOUBLE + s AS suggest FROM st")
 def _(s, d):
     return iss.recalibrate(decisions(s, d))
 
 
 @query("f19_model_merge", f"""WITH {MERGED}, m AS (SELECT doc_id, type, start, issue, 0.75::DOUBLE AS c FROM mg WHERE start % 2 = 0 UNION ALL SELECT doc_id, 'model', start, issue, CASE WHEN start % 3 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE FROM mg WHERE type = 'weekday' OR type = 'decade'),
-r AS (SELECT * FROM mg WHERE start % 5 <> 0) SELECT coalesce(r.doc_id, m.doc_id) AS doc_id, coalesce(r.type, m.type) AS type, coalesce(r.start, m.start) AS start, coalesce(r.issue, m.issue) AS issue,
+ru AS (SELECT * FROM mg WHERE start % 5 <> 0) SELECT coalesce(r.doc_id, m.doc_id) AS doc_id, coalesce(r.type, m.type) AS type, coalesce(r.start, m.start) AS start, coalesce(r.issue, m.issue) AS issue,
  CASE WHEN r.doc_id IS NOT NULL AND m.doc_id IS NOT NULL THEN least(1.0::DOUBLE, confidence + 0.15::DOUBLE) ELSE coalesce(confidence, c) END AS confidence, CASE WHEN m.doc_id IS NULL THEN 'rule' WHEN r.doc_id IS NULL THEN 'model' ELSE 'both' END AS source
-FROM r FULL JOIN m ON r.doc_id = m.doc_id AND r.type = m.type AND r.start = m.start AND r.issue = m.issue WHERE confidence IS NOT NULL OR c >= 0.7""")
+FROM ru r FULL JOIN m ON r.doc_id = m.doc_id AND r.type = m.type AND r.start = m.start AND r.issue = m.issue WHERE confidence IS NOT NULL OR c >= 0.7""")
 def _(s, d):
     x = merged(s, d)
     model = x.where("start % 2 = 0").select("doc_id", "type", "start", "issue", F.lit(0.75).alias("confidence"))
