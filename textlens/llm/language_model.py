@@ -27,7 +27,7 @@ MIN_CHUNKS = 24
 #: Bits of a bigram's hash. Two of n bigrams share one with probability n / 2 ** 48; words have 64.
 PAIR_BITS = 48
 #: EM rounds and the width of the histogram cells (natural logarithms) that held-out counts are gathered in.
-EM_ROUNDS, CELL = 60, 0.25
+EM_ROUNDS, CELL, CELLS = 60, 0.25, 160
 END = xxhash.xxh64_intdigest(b"", seed=1)  # no word is empty
 
 
@@ -187,10 +187,12 @@ def held_out_cells(counts: DataFrame, n: int) -> DataFrame:
                 w, v, vw = w[own] - 1, v[own] - 1, vw[own] - 1
                 p2 = np.where(v > 0, vw / np.maximum(v, 1), 0.0)
                 p1 = w / max(n - 1, 1)
-                cell = [np.where(p > 0, np.floor(np.log(np.maximum(p, 1e-300)) / CELL), -9999).astype(np.int64) for p in (p2, p1)]
-                keys, index = np.unique(np.stack([context_bucket(v), *cell], 1), axis=0, return_inverse=True)
-                index = index.ravel()
-                yield pd.DataFrame({"bucket": keys[:, 0], "cell2": keys[:, 1], "cell1": keys[:, 2], "n": np.bincount(index, minlength=len(keys)), "p2": np.bincount(index, p2, len(keys)), "p1": np.bincount(index, p1, len(keys))})
+                # cell k holds estimates of e ** (-CELL k) to e ** (-CELL (k - 1)); 0 is none, CELLS - 1 also what is smaller
+                cell = [np.where(p > 0, np.clip(np.ceil(-np.log(np.maximum(p, 1e-300)) / CELL) + 1, 1, CELLS - 1), 0).astype(np.int64) for p in (p2, p1)]
+                index = (context_bucket(v) * CELLS + cell[0]) * CELLS + cell[1]
+                n_of = np.bincount(index, minlength=1)
+                used = np.flatnonzero(n_of)
+                yield pd.DataFrame({"bucket": used // CELLS**2, "cell2": used // CELLS % CELLS, "cell1": used % CELLS, "n": n_of[used], "p2": np.bincount(index, p2)[used], "p1": np.bincount(index, p1)[used]})
 
     cells = counts.mapInPandas(gather, "bucket long, cell2 long, cell1 long, n long, p2 double, p1 double")
     return cells.groupBy("bucket", "cell2", "cell1").agg(*[F.sum(x).alias(x) for x in names[3:]])
