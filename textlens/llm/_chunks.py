@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._common import pack, unpack
 
 #: Bytes of text in one chunk, about, and chunks at least.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 MIN_CHUNKS = 24
 
 

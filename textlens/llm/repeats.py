@@ -25,7 +25,9 @@ from ._suffixes import suffix_array
 #: Length of a repeated string, and of the strings that are hashed for minimizers.
 LENGTH, K = 100, 50
 #: Bytes of one shard whose suffixes are sorted together; a minimizer with more has shards of its own, see _earlier().
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
+#: Strings of a chunk that are hashed at once.
+BLOCK = 1 << 19
 #: Bits of a minimizer's hash; the rest of its word tells equal hashes apart by place.
 HASH_BITS = 48
 NO_ID = -(2**63)
@@ -51,6 +53,15 @@ def _range_hash(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndar
 
 
 def surroundings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_surroundings() of data, BLOCK strings at a time; a run that crosses a block counts as two."""
+    found = []
+    for a in range(0, max(1, len(data) - length + 1), BLOCK):
+        h, first, last, content = _surroundings(data[a : a + BLOCK + length - 1], starts[starts >= a] - a, length, k)
+        found.append((h, first + a, last + a, content))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _surroundings(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, last, content hash) of each run of consecutive `length`-byte strings with one minimizer: the strings that
     start at first..last; together they cover [first, last + length). starts: where the documents begin."""
     n, w = len(data), length - k + 1
@@ -141,6 +152,13 @@ def repeated_starts(raw: np.ndarray, offsets: np.ndarray, windows: np.ndarray, i
     return piece[order[~new]], inside[order[~new]]
 
 
+def _has_neighbour(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values occur more than once."""
+    same = np.zeros(len(values) + 1, bool)
+    same[1:-1] = values[1:] == values[:-1]
+    return (same[1:] | same[:-1])[: len(values)]
+
+
 def _earlier(part: pd.DataFrame, length: int) -> pd.DataFrame:
     """Ranges of a bucket's surroundings that stand earlier. Minimizers go to shards of SHARD_BYTES in turn; one that has more
     alone gets a larger shard, whose arrays and queues then live in files."""
@@ -154,13 +172,33 @@ def _earlier(part: pd.DataFrame, length: int) -> pd.DataFrame:
     again = order[~new]
     out = [(chunk[again], ids[again], ties[again], first[again], first[again] + windows[again] - 1 + length)]
     keep = order[new]
-    # minimizers with several different surroundings, shard by shard
-    several = np.append(False, h[keep][1:] == h[keep][:-1])
-    several[:-1] |= several[1:].copy()
-    keep = keep[several]
+    # of minimizers with several different surroundings the strings whose hash occurs again, cut to runs of such strings
+    keep = keep[_has_neighbour(h[keep])]
+    if len(keep):
+        sizes = windows[keep] + length - 1
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        raw = raw[np.arange(at[-1]) - np.repeat(at[:-1] - offsets[keep], sizes)]
+        sums, inverse = _prefix_hashes(raw)
+        owner = np.repeat(np.arange(len(keep)), windows[keep])
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(windows[keep]) - windows[keep], windows[keep])
+        start = at[owner] + within
+        _, index, counts = np.unique(_range_hash(sums, inverse, start, start + length), return_inverse=True, return_counts=True)
+        use = np.flatnonzero(counts[index] > 1)
+        new_run = np.append(True, (np.diff(use) != 1) | (owner[use][1:] != owner[use][:-1])) if len(use) else np.empty(0, bool)
+        begin = use[new_run]
+        n = np.diff(np.append(np.flatnonzero(new_run), len(use)))
+        own = keep[owner[begin]]
+        chunk, ids, ties, h, first, offsets, windows = chunk[own], ids[own], ties[own], h[own], first[own] + within[begin], start[begin], n
+        content = _range_hash(sums, inverse, offsets, offsets + windows - 1 + length)
+        order, new = _first_of(h, content, windows, ids, ties, first)
+        again = order[~new]
+        out.append((chunk[again], ids[again], ties[again], first[again], first[again] + windows[again] - 1 + length))
+        keep = order[new]
+        keep = keep[_has_neighbour(h[keep])]
+    # what still differs is sorted, shard by shard
     total = np.cumsum(windows[keep] + length)
     shard = (total - 1) // SHARD_BYTES
-    begin = np.append(True, h[keep][1:] != h[keep][:-1])
+    begin = np.append(True, h[keep][1:] != h[keep][:-1]) if len(keep) else np.empty(0, bool)
     shard = shard[np.maximum.accumulate(np.where(begin, np.arange(len(keep)), 0))] if len(keep) else shard
     for s in np.unique(shard):
         own = keep[shard == s]
