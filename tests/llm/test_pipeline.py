@@ -14,10 +14,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(90_001, None, "en", None, None), (90_002, "", None, "s", 0), (90_003, "1234 %%%", None, "s", 8)], docs.schema)
-    docs = docs.union(extra)
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = whole.where("doc_id < 80 and char_length(text) < 3000")
+    first, second = docs.orderBy("doc_id").limit(2).collect()
+    planted = [(80_001, first.text + " more", "en"), (80_002, "New words here. " + second.text[:400], "en"), (80_003, "Some text. " + items[0][1] + " More text.", "en"), (90_001, None, "en"), (90_002, "", None), (90_003, "1234 %%%", None)]
+    docs = docs.union(spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in planted], docs.schema))
     for name, stage in corpus_pipeline.STAGES:
         before = docs.collect()
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
