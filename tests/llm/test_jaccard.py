@@ -73,8 +73,13 @@ def test_linked_sets_share_a_signature():
             c = np.unique(np.concatenate([rnd.permutation(a)[x:], rnd.integers(0, 2**63, y).astype(np.uint64)]))
             both = len(np.intersect1d(a, c))
             if 100 * both >= 80 * (len(a) + len(c) - both):
-                owner, sigs = enum.signatures([a, c])
-                assert set(sigs[owner == 0]) & set(sigs[owner == 1]), (size, x, y)
+                owner, sigs, needs = enum.signatures([a, c])
+                both = set(sigs[owner == 0]) & set(sigs[owner == 1])
+                assert both, (size, x, y)
+                bands = [{(int(b), int(n)) for i, b, n in needs if i == j} for j in (0, 1)]
+                shared = {b: sum(int(s) & 255 == b for s in both) for s in both for b in (int(s) & 255,)}
+                # in some band that both take part in, they share as many as either needs
+                assert any(shared.get(b, 0) >= n and shared.get(b, 0) >= m for b, n in bands[0] for c_, m in bands[1] if c_ == b), (size, x, y)
 
 
 def test_components_equal_brute_force(spark, monkeypatch):

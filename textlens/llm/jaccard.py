@@ -19,9 +19,9 @@ WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Size bands: the upper ends grow by this factor.
-BAND_RATIO = 1.7
-#: Second-level parts, and how many of them may differ within a first-level part.
-PARTS, MAY_DIFFER = 3, 1
+BAND_RATIO = 1.5
+#: Second-level parts of a first-level part; all but one of them make a signature.
+PARTS = 3
 #: Bytes of text for which one signature bucket is made, MIN_BUCKETS at least; signatures that a task holds before it sends them on.
 BUCKET_BYTES, MIN_BUCKETS, HELD = 12 << 20, 24, 1_500_000
 #: Members of one task's group in verification and in the comparison of large signature groups; larger groups are split.
@@ -53,11 +53,12 @@ class PartEnum:
     Two sets that link have sizes a <= b with 100 a >= percent b, and differ in at most (a + b)(1 - t)/(1 + t) elements. A set
     takes part in the instance of its own size band and in those of larger bands in which a partner may lie; an instance
     allows k = 2 r (1 - t)/(1 + t) differences, r being the upper end of its band. The domain of hashes is cut into n1 parts,
-    each into PARTS smaller ones. At most k // 2 first-level parts hold two or more differences; in every other one all but
-    one of the smaller parts agree. So each choice of PARTS - MAY_DIFFER smaller parts gives a signature: a hash of the
-    elements that fall in them. Choices without elements give none; n1 has spare parts so that among those that agree one
-    gives a signature. A set of which so many parts are empty that this isn't certain also takes part under the next seed:
-    of two linked sets either one is certain under some seed, or both go on to the next.
+    each into PARTS smaller ones. A part with no difference agrees, one with a single difference agrees but for one smaller
+    part. So each choice of all but one smaller part gives a signature: a hash of the elements that fall in them. Choices
+    without elements give none. Linked sets can miss each other only if every part either holds two differences, or is thin
+    (some choice is empty) and holds one, or is empty: a set with `thin` and `empty` such parts is certain to share a signature
+    while n1 > empty + thin + (k - thin) // 2, for which n1 has spare parts. A set that isn't certain also takes part under
+    the next seed: of two linked sets either one is certain under some seed, or both go on to the next.
     """
 
     def __init__(self, percent: int = PERCENT):
@@ -80,8 +81,7 @@ class PartEnum:
     def shape(self, band: int) -> tuple[int, int, int]:
         """(differences allowed, first-level parts, second-level parts)."""
         k = 2 * self.ends[band] * (100 - self.percent) // (100 + self.percent)
-        bad = k // (MAY_DIFFER + 1)
-        return (k, bad + 2 + -(-bad // 8), PARTS) if k else (0, 1, 1)
+        return (k, -(-61 * k // 100) + 2, PARTS) if k else (0, 1, 1)
 
     def parts(self, band: int, seed: int, owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(sums, counts), each n x n1 x n2: sums of mixed hashes and elements in each smaller part of n sets."""
@@ -92,14 +92,15 @@ class PartEnum:
         np.add.at(sums, place, mix64(h + np.uint64(0x632BE59BD9B4E019)))
         return sums.reshape(n, n1, n2), np.bincount(place, minlength=n * n1 * n2).reshape(n, n1, n2)
 
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(set numbers, signatures): 56 bits of hash and 8 of the band."""
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set numbers, signatures, needs): 56 bits of hash and 8 of the band; needs: rows (set number, band, how many
+        signatures of the band a linked set shares at least: one for each part that can't fail)."""
         todo: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
             if len(s):
                 for j in self.bands(len(s)):
                     todo.setdefault(j, []).append(i)
-        owners, found = [], []
+        owners, found, needs = [], [], []
         for band, members in todo.items():
             k, n1, n2 = self.shape(band)
             seed, left = 0, np.array(members)
@@ -107,18 +108,25 @@ class PartEnum:
                 own = np.repeat(np.arange(len(left)), [len(sets[i]) for i in left])
                 sums, counts = self.parts(band, seed, own, np.concatenate([sets[i] for i in left]), len(left))
                 if n2 > 1:  # all but one smaller part
-                    sums, counts = sums.sum(2, keepdims=True) - sums, counts.sum(2, keepdims=True) - counts
+                    whole = counts.sum(2, keepdims=True)
+                    sums, counts = sums.sum(2, keepdims=True) - sums, whole - counts
+                    empty = (whole[:, :, 0] == 0).sum(1)
+                    thin = (counts == 0).any(2).sum(1) - empty
+                    sure = n1 - (empty + thin + np.maximum(k - thin, 0) // 2)
+                else:
+                    sure = np.ones(len(left), np.int64)
+                if not seed:
+                    needs.append(np.stack([left, np.full(len(left), min(band, 255)), np.maximum(sure, 1)], 1))
                 salt = mix64(np.arange(n1 * n2, dtype=np.uint64) + np.uint64((seed * 256 + band) << 32)).reshape(n1, n2)
                 full = counts > 0
                 who = np.broadcast_to(left[:, None, None], full.shape)[full]
                 owners.append(who)
                 found.append(mix64(sums ^ salt)[full] & ~np.uint64(255) | np.uint64(min(band, 255)))
-                weak = (~full).any(2).sum(1)
-                left = left[weak >= n1 - k // (MAY_DIFFER + 1)]
+                left = left[sure < 1]
                 seed += 1
         if not found:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        return np.concatenate(owners), np.concatenate(found)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, 3), np.int64)
+        return np.concatenate(owners), np.concatenate(found), np.concatenate(needs)
 
     def vector(self, band: int, s: np.ndarray) -> np.ndarray:
         """One byte for each smaller part of the first seed. Parts that differ here differ in an element."""
@@ -131,8 +139,8 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, with_set: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, digest[, shingles]): a narrow map; digest is 128 bits of the whole set, null for an empty one."""
-    schema = "doc_id long, n_shingles long, digest binary" + (", shingles binary" if with_set else "")
+    """(doc_id, n_shingles, digest[, shingles]): a narrow map; digest is 64 bits of the whole set, null for an empty one."""
+    schema = "doc_id long, n_shingles long, digest long" + (", shingles binary" if with_set else "")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,28 +148,30 @@ def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
                 part = batch.slice(a, 1000)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 raw = [s.tobytes() for s in sets]
-                columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(r) if r else None for r in raw], pa.binary())]
+                columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 if r else None for r in raw], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_set else [])], names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select(doc_id, text).mapInArrow(rows, schema)
 
 
 def shared_signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(sig, doc_id) of the signatures that at least two documents share. Copies within a task send their set once."""
+    """(sig, doc_id, need): the signatures that at least two documents share (need null), and, for each document and band, how
+    many of them a linked document shares at least (sig is the band there). Copies within a task send their set once."""
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, seen = PartEnum(percent), set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def blobs() -> pa.RecordBatch:
-            sigs, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            sigs, ids, need, need_ids = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(sigs)
             sigs, ids = sigs[order], ids[order]
             edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
             ends = np.concatenate([[0], np.searchsorted(sigs, edges), [len(sigs)]])
             packed = [(b, zstandard.compress(pack(sigs[x:y]), 1), zstandard.compress(pack(ids[x:y]), 1)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
+            packed.append((-1, zstandard.compress(pack(need.astype(np.uint64)), 1), zstandard.compress(pack(need_ids), 1)))
             columns = list(zip(*packed, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sigs", "ids"])
 
@@ -173,8 +183,8 @@ def shared_signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     sets.append(s[:0] if digest in seen else s)
                     seen.add(digest)
-                owner, sigs = enum.signatures(sets)
-                held.append((sigs, ids[owner]))
+                owner, sigs, needs = enum.signatures(sets)
+                held.append((sigs, ids[owner], needs[:, 1] << 32 | needs[:, 2], ids[needs[:, 0]]))
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield blobs()
                     held = []
@@ -184,15 +194,18 @@ def shared_signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         sigs = np.concatenate([unpack(zstandard.decompress(b), np.uint64) for b in part["sigs"]])
         ids = np.concatenate([unpack(zstandard.decompress(b), np.int64) for b in part["ids"]])
+        if part["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"sig": (sigs >> np.uint64(32)).astype(np.int64), "doc_id": ids, "need": (sigs & np.uint64(0xFFFFFFFF)).astype(np.int64)}).astype({"need": "Int64"})
         order = np.argsort(sigs)
         sigs, ids = sigs[order], ids[order]
         same = np.zeros(len(sigs) + 1, bool)
         same[1:-1] = sigs[1:] == sigs[:-1]
         keep = same[1:] | same[:-1]
-        return pd.DataFrame({"sig": sigs[keep].view(np.int64), "doc_id": ids[keep]})
+        return pd.DataFrame({"sig": sigs[keep].view(np.int64), "doc_id": ids[keep], "need": pd.array([None] * int(keep.sum()), "Int64")})
 
     sent = docs.select(doc_id, text).mapInArrow(send, "bucket int, sigs binary, ids binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "sig long, doc_id long")
+    own = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("ids"), F.lit(buckets)))  # needs are dealt anyhow
+    return sent.groupBy("bucket", own.alias("_own")).applyInPandas(meet, "sig long, doc_id long, need long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -214,7 +227,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                     out.append((one["hub"].iloc[0], b))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return left.groupBy("hub", "part").cogroup(right.groupBy("a", "salt")).applyInPandas(compare, "a binary, b binary")
+    return left.groupBy("hub", "part").cogroup(right.groupBy("a", "salt")).applyInPandas(compare, "a long, b long")
 
 
 def _closest(members: DataFrame, docs_of: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -235,7 +248,7 @@ def _closest(members: DataFrame, docs_of: DataFrame, docs: DataFrame, words: int
                 made.append(enum.vector(band, np.frombuffer(raw, np.uint64)).tobytes())
             yield pd.DataFrame({"digest": batch["digest"], "band": batch["band"], "vector": made})
 
-    vector = wanted.join(sets.select("digest", "shingles"), "digest").mapInPandas(vectors, "digest binary, band int, vector binary")
+    vector = wanted.join(sets.select("digest", "shingles"), "digest").mapInPandas(vectors, "digest long, band int, vector binary")
     rows = members.withColumn("band", F.col("sig").bitwiseAND(255).cast("int")).join(vector, ["digest", "band"])
     size = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     rows = (
@@ -245,9 +258,14 @@ def _closest(members: DataFrame, docs_of: DataFrame, docs: DataFrame, words: int
     )
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
+        """Many groups in one call."""
+        out = [pair for _, group in part.groupby(["sig", "x", "y"], sort=False) if len(group) > 1 and group["comp"].nunique() > 1 for pair in compare(group)]
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
+
+    def compare(part: pd.DataFrame) -> list[tuple[int, int]]:
         v = np.stack([np.frombuffer(b, np.uint8) for b in part["vector"]])
         n, block = part["n"].to_numpy(), part["block"].to_numpy()
-        comp, digest = pd.factorize(part["comp"].map(bytes))[0], part["digest"].map(bytes).to_numpy(object)
+        comp, digest = part["comp"].to_numpy(), part["digest"].to_numpy()
         across = part["x"].iloc[0] != part["y"].iloc[0]
         out = []
         step = max(1, (16 << 20) // max(1, v.size))
@@ -259,10 +277,11 @@ def _closest(members: DataFrame, docs_of: DataFrame, docs: DataFrame, words: int
             if across:
                 ok &= block[rows_][:, None] != block[None]
             i, j = np.nonzero(ok)
-            out += [(x, y) for x, y in zip(digest[rows_[i]], digest[j], strict=True) if x < y]
-        return pd.DataFrame(out, columns=["a", "b"])
+            out += [(x, y) for x, y in zip(digest[rows_[i]].tolist(), digest[j].tolist(), strict=True) if x < y]
+        return out
 
-    return rows.groupBy("sig", "x", "y").applyInPandas(near, "a binary, b binary").distinct()
+    dealt = max(MIN_BUCKETS, -(-members.count() // 20_000))
+    return rows.groupBy(F.pmod(F.xxhash64("sig", "x", "y"), F.lit(dealt)).alias("_deal")).applyInPandas(near, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -282,10 +301,17 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     about = stored(set_table(docs, words=words), "sets")
     classes = about.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     known = about.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "digest").distinct()
-    shared = shared_signatures(docs, words=words, percent=percent)
-    members = shared.join(known, "doc_id").select("sig", "digest").distinct()
+    shared = stored(shared_signatures(docs, words=words, percent=percent), "shared")
+    band = F.col("sig").bitwiseAND(255).cast("int").alias("band")
+    # what shares too few signatures to link with anything leaves, first by document, then by class
+    need = shared.where("need is not null").groupBy("doc_id", F.col("sig").cast("int").alias("band")).agg(F.min("need").alias("need"))
+    sigs = shared.where("need is null").select("sig", "doc_id", band)
+    enough = sigs.groupBy("doc_id", "band").agg(F.count("*").alias("m")).join(need, ["doc_id", "band"]).where("m >= need").join(known, "doc_id").select("doc_id", "band", "digest", "need")
+    members = stored(sigs.join(enough, ["doc_id", "band"]).groupBy("sig", "digest").agg(F.min("need").alias("need")), "members")
     several = members.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-    members = stored(members.join(several, "sig", "left_semi").join(classes.select("digest", "n"), "digest").select("sig", "digest", "n"), "members")
+    members = members.join(several, "sig", "left_semi")
+    enough = members.groupBy("digest", band).agg(F.count("*").alias("m"), F.min("need").alias("need")).where("m >= need").select("digest", "band")
+    members = stored(members.withColumn("band", band).join(enough.join(classes.select("digest", "n"), "digest"), ["digest", "band"]).select("sig", "digest", "n"), "members")
 
     degree = members.groupBy("digest").agg(F.count("*").alias("degree"))
     hub = members.join(degree, "digest").groupBy("sig").agg(F.max(F.struct("degree", "digest", "n")).alias("hub"))
