@@ -109,3 +109,22 @@ def test_equal_rows(spark):
     t = "".join(f"{i} " for i in range(80))
     docs = spark.createDataFrame([(1, t), (1, t), (1, t), (1, "other " * 3)], "doc_id long, text string")
     assert sorted(r.n_removed for r in repeats.remove_repeats(docs).collect()) == [0, 0, len(t), len(t)]
+
+
+def test_two_equal_strings_in_one_run(spark):
+    # 101 equal bytes across place 2 ** 16 of a chunk: two equal strings whose minimizer occurs nowhere else
+    rnd = random.Random(5)
+    filler = lambda n: "".join(rnd.choice("bcdefghijklmnop") for _ in range(n))
+    rows = [(1, filler(65_500) + "a" * 101 + filler(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.remove_repeats(docs).first()
+    assert got.n_removed == 100 and [(got.n_bytes, got.n_removed, got.n_spans, got.kept_sha256)] == direct(rows, 100)[1]
+
+
+def test_equal_hashes_settle_nothing():
+    # two different surroundings under one minimizer and one content hash, as if it collided
+    rnd = random.Random(6)
+    a, b = (np.frombuffer(bytes(rnd.randrange(97, 123) for _ in range(120)), np.uint8) for _ in range(2))
+    two = np.array([7, 7], np.uint64)
+    part = repeats.pd.DataFrame({"chunk": [0], "hash": [repeats.squeeze(two)], "content": [repeats.squeeze(two)]} | {c: [repeats.squeeze(np.array(v))] for c, v in (("id", [1, 2]), ("tie", [0, 0]), ("first", [0, 0]), ("windows", [21, 21]))} | {"raw": [repeats.squeeze(np.concatenate([a, b]))]})
+    assert not len(repeats._earlier(part, 100))

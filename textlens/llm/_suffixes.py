@@ -30,6 +30,15 @@ def room(shape, dtype, memory: int = MEMORY) -> np.ndarray:
         return np.memmap(f, dtype, "w+", shape=shape)
 
 
+def kept(a: np.ndarray, memory: int = MEMORY) -> np.ndarray:
+    """a itself, or a copy in an unnamed temporary file if it is larger than `memory` bytes."""
+    if a.nbytes <= memory:
+        return a
+    out = room(a.shape, a.dtype, memory)
+    out[:] = a
+    return out
+
+
 class RunQueue:
     """A priority queue of (key, value) pairs for bulk use: sorted runs, of which the small ones are merged now and then and
     the large ones live in temporary files."""
@@ -161,16 +170,17 @@ def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
-    text = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    text = kept(np.unique(text, return_inverse=True)[1].astype(np.int64), memory)
     # a suffix is small if it is less than the one that follows: decided where the next different character stands
     differs = np.append(text[1:] != text[:-1], True)
-    nxt = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
-    small = np.append(text, -1)[nxt + 1] > text
+    nxt = kept(np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1], memory)
+    small = kept(np.append(text, -1)[nxt + 1] > text, memory)
     small[-1] = True
-    runs = nxt - np.arange(n) + 1
-    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    name = names_of(text, small, starts)
-    order = np.argsort(name, kind="stable")
+    runs = kept(nxt - np.arange(n) + 1, memory)
+    del differs, nxt
+    starts = kept(np.flatnonzero(small[1:] & ~small[:-1]) + 1, memory)
+    name = kept(names_of(text, small, starts), memory)
+    order = kept(np.argsort(name, kind="stable"), memory)
     if (np.diff(name[order]) == 0).any():
         order, named = suffix_array(name, memory)
     else:

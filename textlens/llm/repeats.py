@@ -2,7 +2,8 @@
 
 Strings that are equal agree on their minimizer, the smallest hash of a 50-byte string in them. Minimizers are counted over the
 corpus first; only the surroundings of those that occur again are compared. All surroundings of a minimizer meet in one bucket,
-identical ones collapse to the earliest, and what differs is sorted by an external suffix array of the bucket.
+those equal byte by byte collapse to the earliest, and what differs is sorted by an external suffix array of the bucket. Hashes
+only choose what is compared.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from ._suffixes import suffix_array
 LENGTH, K = 100, 50
 #: Bytes of one shard whose suffixes are sorted together; a minimizer with more has shards of its own, see _earlier().
 SHARD_BYTES = 1 << 20
-#: Strings of a chunk that are hashed at once.
-BLOCK = 1 << 19
+#: Strings of a chunk that are hashed at once. With a string's bytes it stays below 2 ** 16 places, so that of equal hashes the
+#: leftmost is a string's minimizer everywhere and no run holds two equal strings.
+BLOCK = (1 << 16) - 1024
+#: Bytes of pieces that are compared at once.
+COMPARED = 1 << 20
 #: Bits of a minimizer's hash; the rest of its word tells equal hashes apart by place.
 HASH_BITS = 48
 NO_ID = -(2**63)
@@ -55,8 +59,9 @@ def _range_hash(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndar
 def surroundings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """_surroundings() of data, BLOCK strings at a time; a run that crosses a block counts as two."""
     found = []
-    for a in range(0, max(1, len(data) - length + 1), BLOCK):
-        h, first, last, content = _surroundings(data[a : a + BLOCK + length - 1], starts[starts >= a] - a, length, k)
+    block = min(BLOCK, (1 << 16) - length)
+    for a in range(0, max(1, len(data) - length + 1), block):
+        h, first, last, content = _surroundings(data[a : a + block + length - 1], starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + block + length)] - a, length, k)
         found.append((h, first + a, last + a, content))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -114,6 +119,31 @@ def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the sizes[i] bytes from a[i] on equal those from b[i] on; sizes are positive."""
+    out = np.empty(len(a), bool)
+    block = np.cumsum(sizes) // COMPARED
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(block) != 0)), len(a)) if len(a) else [0]
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        n = sizes[x:y]
+        base = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(base, n)
+        out[x:y] = ~np.logical_or.reduceat(raw[np.repeat(a[x:y], n) + within] != raw[np.repeat(b[x:y], n) + within], base)
+    return out
+
+
+def _collapsed(raw: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats, the others) of pieces of raw grouped by columns as in _first_of(), which hold the size: a repeat has the bytes
+    of the first of its group. Different bytes under one hash stay."""
+    order, new = _first_of(*columns)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    again = np.flatnonzero(~new)
+    again = again[_same_bytes(raw, offsets[order[again]], offsets[head[again]], sizes[order[again]])]
+    gone = np.zeros(len(order), bool)
+    gone[again] = True
+    return order[gone], order[~gone]
+
+
 def _merged(chunk: np.ndarray, ids: np.ndarray, ties: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     """Removed ranges [a, b), those of one document that touch joined."""
     order = np.lexsort((a, ties, ids))
@@ -168,34 +198,10 @@ def _earlier(part: pd.DataFrame, length: int) -> pd.DataFrame:
     offsets = np.concatenate([[0], np.cumsum(columns["windows"] + length - 1)])[:-1]
     h, ids, ties, first, windows = (columns[c] for c in ("hash", "id", "tie", "first", "windows"))
     # identical surroundings: all but the earliest are repeats
-    order, new = _first_of(h, columns["content"], windows, ids, ties, first)
-    again = order[~new]
+    again, keep = _collapsed(raw, offsets, windows + length - 1, h, columns["content"], windows, ids, ties, first)
     out = [(chunk[again], ids[again], ties[again], first[again], first[again] + windows[again] - 1 + length)]
-    keep = order[new]
-    # of minimizers with several different surroundings the strings whose hash occurs again, cut to runs of such strings
     keep = keep[_has_neighbour(h[keep])]
-    if len(keep):
-        sizes = windows[keep] + length - 1
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        raw = raw[np.arange(at[-1]) - np.repeat(at[:-1] - offsets[keep], sizes)]
-        sums, inverse = _prefix_hashes(raw)
-        owner = np.repeat(np.arange(len(keep)), windows[keep])
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(windows[keep]) - windows[keep], windows[keep])
-        start = at[owner] + within
-        _, index, counts = np.unique(_range_hash(sums, inverse, start, start + length), return_inverse=True, return_counts=True)
-        use = np.flatnonzero(counts[index] > 1)
-        new_run = np.append(True, (np.diff(use) != 1) | (owner[use][1:] != owner[use][:-1])) if len(use) else np.empty(0, bool)
-        begin = use[new_run]
-        n = np.diff(np.append(np.flatnonzero(new_run), len(use)))
-        own = keep[owner[begin]]
-        chunk, ids, ties, h, first, offsets, windows = chunk[own], ids[own], ties[own], h[own], first[own] + within[begin], start[begin], n
-        content = _range_hash(sums, inverse, offsets, offsets + windows - 1 + length)
-        order, new = _first_of(h, content, windows, ids, ties, first)
-        again = order[~new]
-        out.append((chunk[again], ids[again], ties[again], first[again], first[again] + windows[again] - 1 + length))
-        keep = order[new]
-        keep = keep[_has_neighbour(h[keep])]
-    # what still differs is sorted, shard by shard
+    # what differs is sorted, shard by shard
     total = np.cumsum(windows[keep] + length)
     shard = (total - 1) // SHARD_BYTES
     begin = np.append(True, h[keep][1:] != h[keep][:-1]) if len(keep) else np.empty(0, bool)
@@ -259,12 +265,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         doc = np.searchsorted(starts, first, "right") - 1
         # empty documents share their start with the next one, which is the last of those found
         windows, own = last - first + 1, first - starts[doc] if len(doc) else first
-        order, new = _first_of(h, content, windows, ids[doc], ties[doc], own)
-        gone = order[~new]
+        gone, kept = _collapsed(data, first, windows + length - 1, h, content, windows, ids[doc], ties[doc], own)
         ranges = _merged(np.full(len(gone), number), ids[doc[gone]], ties[doc[gone]], own[gone], own[gone] + windows[gone] - 1 + length)
         empty = np.empty(0, np.uint64)
         out = [(-1, number, squeeze(empty), squeeze(empty), squeeze(ranges["id"].to_numpy()), squeeze(ranges["tie"].to_numpy()), squeeze(ranges["a"].to_numpy()), squeeze(ranges["b"].to_numpy()), b"")]
-        kept = order[new]
         ends = edges(h[kept])
         for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if x < y:
