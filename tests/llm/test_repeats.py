@@ -128,3 +128,28 @@ def test_equal_hashes_settle_nothing():
     two = np.array([7, 7], np.uint64)
     part = repeats.pd.DataFrame({"chunk": [0], "hash": [repeats.squeeze(two)], "content": [repeats.squeeze(two)]} | {c: [repeats.squeeze(np.array(v))] for c, v in (("id", [1, 2]), ("tie", [0, 0]), ("first", [0, 0]), ("windows", [21, 21]))} | {"raw": [repeats.squeeze(np.concatenate([a, b]))]})
     assert not len(repeats._earlier(part, 100))
+
+
+def test_hot_minimizer(spark, monkeypatch, tmp_path):
+    # one passage in many documents, with another context at both its ends in each
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = text(260)
+    rows = [(i, text(150) + passage + text(150)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 5_000)
+    sizes = []
+    stored = repeats.stored
+
+    def watched(df, what):
+        out = stored(df, what)
+        if what == "surroundings":
+            groups = out.where("bucket >= 0").toPandas().groupby("bucket")
+            sizes.extend(g["windows"].map(lambda b: len(repeats.spread(b, np.int64))).sum() for _, g in groups)
+        return out
+
+    monkeypatch.setattr(repeats, "stored", watched)
+    got = {r.doc_id: [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)] for r in repeats.remove_repeats(docs).collect()}
+    assert got == direct(rows, 100)
+    # the 200 surroundings of an end don't meet in one group
+    assert sizes and max(sizes) <= 150

@@ -4,6 +4,9 @@ Strings that are equal agree on their minimizer, the smallest hash of a 50-byte
 corpus first; only the surroundings of those that occur again are compared. All surroundings of a minimizer meet in one bucket,
 those equal byte by byte collapse to the earliest, and what differs is sorted by an external suffix array of the bucket. Hashes
 only choose what is compared.
+
+A minimizer with many different surroundings (both ends of a passage that many documents share) would make one large group. Its
+strings are counted one by one, by their hashes, and only those that occur again meet, by hash of the string.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from ._suffixes import suffix_array
 
 #: Length of a repeated string, and of the strings that are hashed for minimizers.
 LENGTH, K = 100, 50
-#: Bytes of one shard whose suffixes are sorted together; a minimizer with more has shards of its own, see _earlier().
+#: Bytes of one shard whose suffixes are sorted together; a minimizer with more different strings is split, see remove_repeats().
 SHARD_BYTES = 1 << 20
 #: Strings of a chunk that are hashed at once. With a string's bytes it stays below 2 ** 16 places, so that of equal hashes the
 #: leftmost is a string's minimizer everywhere and no run holds two equal strings.
@@ -182,6 +185,22 @@ def repeated_starts(raw: np.ndarray, offsets: np.ndarray, windows: np.ndarray, i
     return piece[order[~new]], inside[order[~new]]
 
 
+def _string_hashes(raw: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings of consecutive pieces of raw, some pieces at a time."""
+    sizes = windows + length - 1
+    ends = np.cumsum(sizes)
+    block = (ends - 1) // BLOCK if len(ends) else ends
+    out = [np.empty(0, np.uint64)]
+    for b in np.unique(block):
+        own = np.flatnonzero(block == b)
+        data = raw[ends[own[0]] - sizes[own[0]] : ends[own[-1]]]
+        sums, inverse = _prefix_hashes(data)
+        n = windows[own]
+        at = np.arange(n.sum()) + np.repeat((np.cumsum(sizes[own]) - sizes[own]) - (np.cumsum(n) - n), n)
+        out.append(_range_hash(sums, inverse, at, at + length))
+    return np.concatenate(out)
+
+
 def _has_neighbour(values: np.ndarray) -> np.ndarray:
     """Which of sorted values occur more than once."""
     same = np.zeros(len(values) + 1, bool)
@@ -190,8 +209,7 @@ def _has_neighbour(values: np.ndarray) -> np.ndarray:
 
 
 def _earlier(part: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Ranges of a bucket's surroundings that stand earlier. Minimizers go to shards of SHARD_BYTES in turn; one that has more
-    alone gets a larger shard, whose arrays and queues then live in files."""
+    """Ranges of a bucket's surroundings that stand earlier. Minimizers go to shards of SHARD_BYTES in turn."""
     columns = {c: np.concatenate([spread(b, t) for b in part[c]]) for c, t in (("hash", np.uint64), ("content", np.uint64), ("id", np.int64), ("tie", np.int64), ("first", np.int64), ("windows", np.int64))}
     chunk = np.repeat(part["chunk"].to_numpy(), [len(spread(b)) for b in part["hash"]])
     raw = np.concatenate([spread(b, np.uint8) for b in part["raw"]])
@@ -224,59 +242,122 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     before all others. Rows that repeat an id count as documents of their own, ordered by a hash of the text; of equal rows
     all but one are repeats. doc_id must be an integer.
     """
-    k = length // 2
+    k, hot_above = length // 2, SHARD_BYTES // length
     parts = chunk_count(docs, text)
     slim = deal(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)))
 
-    def edges(h: np.ndarray) -> np.ndarray:
-        bounds = np.array([-(-(b << HASH_BITS) // parts) for b in range(1, parts)], np.uint64)
+    def edges(h: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
+        bounds = np.array([-(-(b << bits) // parts) for b in range(1, parts)], np.uint64)
         return np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
-        """The chunk's distinct minimizers by bucket, and which of them have surroundings that differ or repeat within it."""
+        """The chunk's distinct minimizers by bucket, which of them occur again within it, and how many different surroundings
+        each has."""
         _, data, starts, _, _ = _documents(thaw(part["texts"]))
-        h, n = np.unique(surroundings(data, starts, length, k)[0], return_counts=True)
+        found, _, _, content = surroundings(data, starts, length, k)
+        h, n = np.unique(found, return_counts=True)
+        order = np.lexsort((content, found))
+        new = np.append(True, (np.diff(found[order]) != 0) | (np.diff(content[order]) != 0)) if len(order) else np.empty(0, bool)
+        kinds = np.bincount(np.searchsorted(h, found[order[new]]), minlength=len(h))
         ends = edges(h)
-        return pd.DataFrame([(b, int(part["chunk"].iloc[0]), squeeze(h[x:y]), np.packbits(n[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True))], columns=["bucket", "chunk", "hashes", "many"])
+        return pd.DataFrame([(b, int(part["chunk"].iloc[0]), squeeze(h[x:y]), np.packbits(n[x:y] > 1).tobytes(), squeeze(kinds[x:y])) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True))], columns=["bucket", "chunk", "hashes", "many", "kinds"])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        """For each minimizer asked for whether it occurs again anywhere."""
+        """For each minimizer asked for whether it occurs again anywhere, and whether its surroundings are too many for a shard."""
         keys = [spread(b) for b in part["hashes"]]
         distinct, n = np.unique(np.concatenate(keys), return_counts=True)
         again = n > 1
         places = [np.searchsorted(distinct, x) for x in keys]
+        total = np.zeros(len(distinct), np.int64)
+        for place, kinds in zip(places, part["kinds"], strict=True):
+            total[place] += spread(kinds, np.int64)
+        hot = total > hot_above
         for place, many in zip(places, part["many"], strict=True):
             again[place[np.unpackbits(np.frombuffer(many, np.uint8), count=len(place)).astype(bool)]] = True
-        return pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"], "again": [np.packbits(again[p]).tobytes() for p in places], "n": [len(p) for p in places]})
+        return pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"], "again": [np.packbits(again[p]).tobytes() for p in places], "hot": [np.packbits(hot[p]).tobytes() for p in places], "n": [len(p) for p in places]})
+
+    def bits(answers: pd.DataFrame, name: str) -> np.ndarray:
+        return np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=c).astype(bool) for b, c in zip(answers[name], answers["n"], strict=True))])
+
+    names = ["bucket", "chunk", "hash", "content", "id", "tie", "first", "windows", "raw"]
+    empty = np.empty(0, np.uint64)
+
+    def settled(number: int, ids: np.ndarray, ties: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        """Removed ranges of a chunk as a row with bucket -1."""
+        ranges = _merged(np.full(len(a), number), ids, ties, a, b)
+        return (-1, number, squeeze(empty), squeeze(empty), *(squeeze(ranges[c].to_numpy()) for c in ("id", "tie", "a", "b")), b"")
+
+    def pieces(bucket: int, number: int, h: np.ndarray, content: np.ndarray, ids: np.ndarray, ties: np.ndarray, own: np.ndarray, windows: np.ndarray, data: np.ndarray, first: np.ndarray) -> tuple:
+        """A row with the bytes of pieces that begin at data[first]."""
+        sizes = windows + length - 1
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        raw = data[np.arange(total[-1]) - np.repeat(total[:-1] - first, sizes)]
+        return (bucket, number, *(squeeze(x) for x in (h, content, ids, ties, own, windows, raw)))
 
     def send(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """The surroundings of repeated minimizers by bucket; within the chunk identical ones are settled: only the earliest
-        is sent on, the others are removed ranges (rows with bucket -1)."""
-        names = ["bucket", "chunk", "hash", "content", "id", "tie", "first", "windows", "raw"]
+        is sent on, the others are removed ranges (rows with bucket -1). Surroundings of hot minimizers stay with the chunk
+        (bucket -2), of which only the strings' hashes are sent (buckets from `parts` on)."""
         if not len(part):
             return pd.DataFrame(columns=names)
         number = int(part["chunk"].iloc[0])
         _, data, starts, ids, ties = _documents(thaw(part["texts"]))
         h, first, last, content = surroundings(data, starts, length, k)
         answers = answers.sort_values("bucket")
-        again = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=c) for b, c in zip(answers["again"], answers["n"], strict=True)]).astype(bool)
-        use = again[np.searchsorted(np.unique(h), h)] if len(h) else np.empty(0, bool)
+        distinct = np.unique(h)
+        hot_ones = distinct[bits(answers, "hot") & bits(answers, "again")]
+        use = bits(answers, "again")[np.searchsorted(distinct, h)]
         h, first, last, content = h[use], first[use], last[use], content[use]
         doc = np.searchsorted(starts, first, "right") - 1
         # empty documents share their start with the next one, which is the last of those found
         windows, own = last - first + 1, first - starts[doc] if len(doc) else first
         gone, kept = _collapsed(data, first, windows + length - 1, h, content, windows, ids[doc], ties[doc], own)
-        ranges = _merged(np.full(len(gone), number), ids[doc[gone]], ties[doc[gone]], own[gone], own[gone] + windows[gone] - 1 + length)
-        empty = np.empty(0, np.uint64)
-        out = [(-1, number, squeeze(empty), squeeze(empty), squeeze(ranges["id"].to_numpy()), squeeze(ranges["tie"].to_numpy()), squeeze(ranges["a"].to_numpy()), squeeze(ranges["b"].to_numpy()), b"")]
+        out = [settled(number, ids[doc[gone]], ties[doc[gone]], own[gone], own[gone] + windows[gone] - 1 + length)]
+        hot = np.isin(h[kept], hot_ones)
+
+        def row(bucket: int, o: np.ndarray) -> tuple:
+            return pieces(bucket, number, h[o], content[o], ids[doc[o]], ties[doc[o]], own[o], windows[o], data, first[o])
+
+        if hot.any():
+            out.append(row(-2, kept[hot]))
+            strings = np.unique(_string_hashes(spread(out[-1][-1], np.uint8), windows[kept[hot]], length))
+            ends = edges(strings, 64)
+            out += [(parts + b, number, squeeze(strings[x:y]), *[squeeze(empty)] * 6) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
+        kept = kept[~hot]
         ends = edges(h[kept])
+        out += [row(b, kept[x:y]) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
+        return pd.DataFrame(out, columns=names)
+
+    def again_anywhere(part: pd.DataFrame) -> pd.DataFrame:
+        """For each string of hot minimizers whether another chunk holds its hash."""
+        keys = [spread(b) for b in part["hash"]]
+        distinct, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"], "again": [np.packbits(n[np.searchsorted(distinct, x)] > 1).tobytes() for x in keys], "n": [len(x) for x in keys]})
+
+    def split(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Of a chunk's surroundings of hot minimizers the strings that occur again, by bucket of the string; the chunk's own
+        repeats are settled."""
+        if not len(part):
+            return pd.DataFrame(columns=names)
+        number, row = int(part["chunk"].iloc[0]), part.iloc[0]
+        ids, ties, first, windows = (spread(row[c], np.int64) for c in ("id", "tie", "first", "windows"))
+        raw = spread(row["raw"], np.uint8)
+        hashes = _string_hashes(raw, windows, length)
+        distinct, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        use = np.flatnonzero((bits(answers.sort_values("bucket"), "again") | (counts > 1))[place])
+        before = np.cumsum(windows)
+        piece = np.searchsorted(before, use, "right")
+        within = use - (before - windows)[piece]
+        sizes = windows + length - 1
+        h, ids, ties, own, at = hashes[use], ids[piece], ties[piece], first[piece] + within, (np.cumsum(sizes) - sizes)[piece] + within
+        one = np.ones(len(use), np.int64)
+        gone, kept = _collapsed(raw, at, one * length, h, ids, ties, own)
+        out = [settled(number, ids[gone], ties[gone], own[gone], own[gone] + length)]
+        ends = edges(h[kept], 64)
         for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if x < y:
                 o = kept[x:y]
-                sizes = windows[o] + length - 1
-                total = np.concatenate([[0], np.cumsum(sizes)])
-                raw = data[np.arange(total[-1]) - np.repeat(total[:-1] - first[o], sizes)]
-                out.append((b, number, squeeze(h[o]), squeeze(content[o]), squeeze(ids[doc[o]]), squeeze(ties[doc[o]]), squeeze(own[o]), squeeze(windows[o]), squeeze(raw)))
+                out.append(pieces(parts + b, number, h[o], h[o], ids[o], ties[o], own[o], one[o], raw, at[o]))
         return pd.DataFrame(out, columns=names)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
@@ -286,10 +367,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     range_schema = "chunk int, id long, tie long, a long, b long"
-    asked = slim.groupBy("chunk").applyInPandas(ask, "bucket int, chunk int, hashes binary, many binary")
-    answers = stored(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, again binary, n int"), "again")
+    asked = slim.groupBy("chunk").applyInPandas(ask, "bucket int, chunk int, hashes binary, many binary, kinds binary")
+    answers = stored(asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, again binary, hot binary, n int"), "again")
     blob = "bucket int, chunk int, hash binary, content binary, id binary, tie binary, first binary, windows binary, raw binary"
-    sent = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(send, blob)
+    sent = stored(slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(send, blob), "surroundings")
+    asked = sent.where(F.col("bucket") >= parts).select("bucket", "chunk", "hash")
+    strings = asked.groupBy("bucket").applyInPandas(again_anywhere, "chunk int, bucket int, again binary, n int")
+    hot = sent.where(F.col("bucket") == -2).groupBy("chunk").cogroup(strings.groupBy("chunk")).applyInPandas(split, blob)
+    sent = sent.where(F.col("bucket").between(-1, parts - 1)).unionByName(hot)
     # settled ranges form groups by chunk, surroundings by bucket
     ranges = stored(sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk")).alias("_own")).applyInPandas(settle, range_schema), "ranges")
 
