@@ -61,3 +61,21 @@ def test_held_out_texts_of_the_given_table(spark):
     held = li.held_out(li.F.col("doc_id"), 3, 1)
     out = li.identify(docs, li.train(docs.where(~held))).where(held).collect()
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and np.mean([r.rejected for r in out]) < 0.02
+
+
+def test_rejection_with_few_labels(spark):
+    # a common language and two rare ones; foreign text of which each nearest language is rare
+    rnd = random.Random(1)
+    rows = [(i, sentence(rnd, lang, rnd.randrange(10, 40)), lang) for i, lang in enumerate(["aa"] * 60 + ["bb"] * 9 + ["cc"] * 6)] + [(1000 + i, "12 !", "cc") for i in range(50)]
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    foreign = ["быстрая лисица прыгает через ленивую собаку " * 8, "μια γρήγορη αλεπού πηδάει πάνω από τον σκύλο " * 8, "zürück für äöü ßß " * 20]
+    assert all(model.predict(foreign)[3])
+    known = [sentence(rnd, lang, 30) for lang in WORDS for _ in range(20)]
+    names, _, _, rejected = model.predict(known)
+    assert names == [lang for lang in WORDS for _ in range(20)] and not rejected.any()
+
+
+def test_calibration_pools_languages():
+    told = pd.DataFrame({"language": ["x"] * 6 + ["y"], "h": [2.0, 2.1, 1.9, 2.0, 2.2, 1.8, 2.6], "n": [500] * 7})
+    x, y, z = li._calibration(told, ["x", "y", "z"])
+    assert x[0] == 2.0 and y[0] == z[0] == 2.6 and (y[1:] == x[1:]).all() and (z[1:] == x[1:]).all()

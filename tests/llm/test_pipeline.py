@@ -52,3 +52,11 @@ def test_stages(spark, tmp_path):
 def test_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.where("n_tokens = 0 or n_tokens <> size(ids)").count() == 0
+
+
+def test_foreign_text_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = ["быстрая лисица прыгает через ленивую собаку " * 8, "μια γρήγορη αλεπού πηδάει πάνω από τον σκύλο " * 8, "素早い茶色の狐がのろまな犬を飛び越える " * 12]
+    docs = docs.union(spark.createDataFrame([(90_000 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    assert not [i for i in kept if i >= 90_000] and len(kept) >= 0.98 * (docs.count() - len(foreign))

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from ._common import table
 
 ORDER = 4
-#: Labelled documents that each language's model is fitted on at most (those of the smallest hashes), half as many again to calibrate.
+#: Labelled documents that each language's model is fitted on at most, half as many again to calibrate: of those with the smallest
+#: hashes every third calibrates, however few there are.
 DOCS_PER_LANGUAGE = 400
+#: Held-out texts from which a language has a mean and a spread of its own; one with fewer takes those of all languages together
+#: (one odd text among few would make its spread so wide that nothing is rejected).
+OWN_MEAN, OWN_SPREAD = 5, 30
 #: Distinct highest-order n-grams kept at most over all languages, the most frequent ones.
 MAX_GRAMS = 3_000_000
 MAX_LANGUAGES = 256
@@ -207,18 +211,50 @@ def fit(grams: pd.DataFrame, languages: list[str], order: int = ORDER) -> Model:
     return Model(languages, orders, floors.astype(np.float32))
 
 
+def _spread(h: np.ndarray, n: np.ndarray, mean: np.ndarray | float) -> tuple[float, float]:
+    """(spread between long texts, spread of one character) of the cross-entropies h of texts of n characters about mean."""
+    off = (h - mean) ** 2
+    return max(np.sqrt(off[n >= np.median(n)].mean()), 0.05), max(np.sqrt((off * n).mean()), 1.0)
+
+
+def _calibration(told: pd.DataFrame, languages: list[str]) -> np.ndarray:
+    """(mean, spread between texts, spread of a character) by language from held-out texts: columns language, h and n. A language
+    with fewer than OWN_SPREAD takes the spread of all together, with fewer than OWN_MEAN also at least their mean, with none
+    the largest mean. With fewer than OWN_MEAN texts in all there is no spread to measure, and nothing with letters is rejected."""
+    calibration = np.tile([0.0, 10.0, 10.0], (len(languages), 1))
+    if len(told) < OWN_MEAN:
+        return calibration
+    h, n, names = told["h"].to_numpy(), told["n"].to_numpy(), told["language"].to_numpy()
+    means = {x: np.average(h[names == x], weights=n[names == x]) for x in np.unique(names)}
+    enough = {x for x in means if (names == x).sum() >= OWN_MEAN}
+    # about each language's own mean where that is more than a text or two
+    use = np.isin(names, list(enough)) if enough else np.ones(len(names), bool)
+    overall = np.average(h[use], weights=n[use])
+    pooled = _spread(h[use], n[use], np.array([means[x] for x in names[use]]) if enough else overall)
+    for i, name in enumerate(languages):
+        own = names == name
+        if name in enough:
+            mean = means[name]
+        else:
+            mean = max(means[name], overall) if name in means else max(means.values())
+        calibration[i] = mean, *(_spread(h[own], n[own], mean) if own.sum() >= OWN_SPREAD else pooled)
+    return calibration
+
+
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Fits and calibrates on a bounded sample of labelled rows: per language the docs_per_language whole texts with the
-    smallest hash of the id, and half as many again for calibration. Rows without language, text or letters teach nothing.
+    """Fits and calibrates on a bounded sample of labelled rows: per language the docs_per_language * 3 / 2 texts with the
+    smallest hash of the id, of which two thirds are fitted on and one third calibrates. Rows without language, id, text or
+    letters teach nothing and take no place in the sample.
 
-    The sample is found from ids and languages alone, so that texts are read once, behind a broadcast filter of bounded size.
+    The sample is found from ids and languages, so that whole texts only pass behind a broadcast filter of bounded size.
     """
-    known = labelled.where(F.col(lang).isNotNull())
+    known = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
     picked = (
         known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id), F.lit(7)).alias("_hash"))
         .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_language * 3 // 2)
         .groupBy("_id", "_lang").agg(F.min("_rank").alias("_rank"))
+        .withColumn("_held", F.row_number().over(Window.partitionBy("_lang").orderBy("_rank")) % 3 == 2)
     )
     sample = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(F.broadcast(picked), ["_id", "_lang"]).dropDuplicates(["_id", "_lang", "_text"])
 
@@ -234,7 +270,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                         seen[g] = seen.get(g, 0) + 1
                 yield pd.DataFrame({"language": language, "gram": list(seen), "n": list(seen.values())})
 
-    counts = sample.where(F.col("_rank") <= docs_per_language).select("_lang", "_text").mapInPandas(count, "language string, gram string, n long")
+    counts = sample.where(~F.col("_held")).select("_lang", "_text").mapInPandas(count, "language string, gram string, n long")
     grams = counts.groupBy("language", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language", "gram").limit(MAX_GRAMS).toPandas()
     languages = sorted(grams["language"].unique())
     if len(languages) > MAX_LANGUAGES:
@@ -252,16 +288,8 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             size = [len(letters_of(t)) - 1 for t in batch["_text"]]
             yield pd.DataFrame({"language": batch["_lang"], "picked": names, "h": h, "n": size})
 
-    told = sample.where(F.col("_rank") > docs_per_language).select("_lang", "_text").mapInPandas(measure, "language string, picked string, h double, n long").where("language = picked and n > 0").toPandas()
-    calibration = np.tile([0.0, 10.0, 10.0], (len(languages), 1))
-    for i, name in enumerate(languages):
-        own = told[told["language"] == name]
-        if len(own) >= 5:
-            mean = np.average(own["h"], weights=own["n"])
-            off = (own["h"] - mean) ** 2
-            long = own["n"] >= own["n"].median()
-            calibration[i] = mean, max(np.sqrt(off[long].mean()), 0.05), max(np.sqrt((off * own["n"]).mean()), 1.0)
-    model.calibration = calibration
+    told = sample.where("_held").select("_lang", "_text").mapInPandas(measure, "language string, picked string, h double, n long").where("language = picked and n > 0").toPandas()
+    model.calibration = _calibration(told, languages)
     return model
 
 
