@@ -122,3 +122,21 @@ def test_decontamination_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = decontaminate.find_contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_captures_without_reference_are_dealt_out(spark):
+    from textlens.llm.warc import assemble_captures
+
+    rows = [(f"r{i}", "response", None, None) for i in range(200)] + [("v", "revisit", None, "r7")]
+    records = spark.createDataFrame(rows, "record_id string, type string, concurrent_to string, refers_to string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        sizes = assemble_captures(records).rdd.glom().map(len).collect()
+        found = {r.capture_id: r.source and r.source.record_id for r in assemble_captures(records).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == len(rows) and max(sizes) < len(rows) / 2
+    assert found == {f"r{i}": None for i in range(200)} | {"v": "r7"}

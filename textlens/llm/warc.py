@@ -152,6 +152,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(rows, RECORD_SCHEMA)
 
 
+def _reference(to: Column, own: Column) -> list[Column]:
+    """Keys of a left join to the record `to`. Rows without one are dealt by their own id, which (own, false) keeps from matching."""
+    return [F.coalesce(to, own).alias("_to"), to.isNotNull().alias("_refers")]
+
+
 def assemble_captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, copies, response, request, metadata), joined through the concurrent-to ids.
 
@@ -167,8 +172,8 @@ def assemble_captures(records: DataFrame) -> DataFrame:
         return records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.any_value(whole).alias(kind))
 
     out = main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
-    source = main.where("response.type = 'response'").select(F.col("capture_id").alias("source_id"), F.col("response").alias("source"))
-    return out.withColumn("source_id", F.col("response.refers_to")).join(source, "source_id", "left").drop("source_id")
+    source = main.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.lit(True).alias("_refers"), F.col("response").alias("source"))
+    return out.select("*", *_reference(F.col("response.refers_to"), F.col("capture_id"))).join(source, ["_to", "_refers"], "left").drop("_to", "_refers")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +185,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = records.select("record_id", "type", "concurrent_to", "refers_to", digest.alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), fields.alias("page_id"))
     captures = assemble_captures(small)
     # the page of the response that a revisit refers to: its own metadata record has the id
-    pages = captures.where("response.type = 'response'").select(F.col("capture_id").alias("to_id"), F.col("metadata.page_id").alias("to_page"))
+    pages = captures.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.lit(True).alias("_refers"), F.col("metadata.page_id").alias("to_page"))
     return (
-        captures.withColumn("to_id", F.col("response.refers_to")).join(pages, "to_id", "left")
+        captures.select("*", *_reference(F.col("response.refers_to"), F.col("capture_id"))).join(pages, ["_to", "_refers"], "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select(
             F.col("metadata.page_id").alias("page_id"),
