@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix64, pack, stored, table, unpack
+from ._common import discard, mix64, pack, stored, table, unpack
 from ._components import connected_components
 
 WORDS = 5
@@ -24,8 +24,10 @@ BAND_RATIO = 1.5
 PARTS = 3
 #: Bytes of text for which one signature bucket is made, MIN_BUCKETS at least; signatures that a task holds before it sends them on.
 BUCKET_BYTES, MIN_BUCKETS, HELD = 12 << 20, 24, 1_500_000
-#: Members of one task's group in verification and in the comparison of large signature groups; larger groups are split.
-GROUP = 1024
+#: Members and bytes of one group in a task, in verification and in the comparison of large groups; larger groups are split.
+GROUP, GROUP_BYTES = 1024, 32 << 20
+#: A class with more than this part of all rows gets its component from a broadcast of HOT rows at most.
+HOT = 1000
 NO_ID = -(2**63)
 
 
@@ -129,18 +131,20 @@ class PartEnum:
         return np.concatenate(owners), np.concatenate(found), np.concatenate(needs)
 
     def vector(self, band: int, s: np.ndarray) -> np.ndarray:
-        """One byte for each smaller part of the first seed. Parts that differ here differ in an element."""
-        sums, _ = self.parts(band, 0, np.zeros(len(s), np.int64), s, 1)
-        return (mix64(sums) >> np.uint64(56)).astype(np.uint8).ravel()
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        """One byte for each of 2 r parts of the domain, r being the upper end of the band: the sum of the mixed hashes in it.
+        Parts whose bytes differ differ in an element, so two sets differ in at least as many elements as bytes."""
+        while len(self.ends) <= band:
+            self.band(self.ends[-1] + 1)
+        size = 2 * self.ends[band]
+        h = mix64(s ^ mix64(np.array([~band & 0xFFFFFFFF], np.uint64)))
+        sums = np.bincount((h % np.uint64(size)).astype(np.int64), (h >> np.uint64(56)).astype(np.float64), size)
+        return (sums.astype(np.int64) & 255).astype(np.uint8)
 
 
 def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, with_set: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, digest[, shingles]): a narrow map; digest is 64 bits of the whole set, null for an empty one."""
-    schema = "doc_id long, n_shingles long, digest long" + (", shingles binary" if with_set else "")
+    """(doc_id, n_shingles, key, digest[, shingles]): a narrow map; digest is 128 bits of the whole set, key its first 64, both
+    null for an empty one."""
+    schema = "doc_id long, n_shingles long, key long, digest binary" + (", shingles binary" if with_set else "")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,43 +152,57 @@ def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
                 part = batch.slice(a, 1000)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 raw = [s.tobytes() for s in sets]
-                columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 if r else None for r in raw], pa.int64())]
+                digests = [xxhash.xxh3_128_digest(r) if r else None for r in raw]
+                columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d and _key(d) for d in digests], pa.int64()), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_set else [])], names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select(doc_id, text).mapInArrow(rows, schema)
 
 
-def shared_signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(sig, doc_id, need): the signatures that at least two documents share (need null), and, for each document and band, how
-    many of them a linked document shares at least (sig is the band there). Copies within a task send their set once."""
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def shared_signatures(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(hub, key, band, n, need): sets (by key) that share signatures, grouped by hub.
+
+    Of the sets with one signature that of the smallest mixed key is the hub; n counts the signatures that led to the row. A
+    hub is a row of its own group. Rows with a null hub say how many signatures of the band a linked set shares at least.
+    Copies within a task send their set once; signatures of one set alone lead to no row.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+    columns = {"bucket": pa.int32(), "sigs": pa.binary(), "keys": pa.binary(), "which": pa.binary()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, seen = PartEnum(percent), set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def blobs() -> pa.RecordBatch:
-            sigs, ids, need, need_ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            sigs, keys, need, need_keys = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(sigs)
-            sigs, ids = sigs[order], ids[order]
+            sigs, keys = sigs[order], keys[order]
             edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
             ends = np.concatenate([[0], np.searchsorted(sigs, edges), [len(sigs)]])
-            packed = [(b, zstandard.compress(pack(sigs[x:y]), 1), zstandard.compress(pack(ids[x:y]), 1)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
-            packed.append((-1, zstandard.compress(pack(need.astype(np.uint64)), 1), zstandard.compress(pack(need_ids), 1)))
-            columns = list(zip(*packed, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sigs", "ids"])
+            packed = [(-1, need.astype(np.uint64), need_keys, np.empty(0, np.uint32))]
+            for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if x < y:
+                    packed.append((b, sigs[x:y], *np.unique(keys[x:y], return_inverse=True)))
+            rows = [(b, *(zstandard.compress(pack(v), 1) for v in (s, k, w.astype(np.uint32)))) for b, s, k, w in packed]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
 
         for batch in batches:
             for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                ids, sets = _ids(part.column(0)), []
-                for s in (shingles(t, words) for t in part.column(1).to_pylist()):
+                keys, sets = [], []
+                for s in (shingles(t, words) for t in batch.column(0).slice(a, 500).to_pylist()):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
-                    sets.append(s[:0] if digest in seen else s)
-                    seen.add(digest)
+                    if len(s) and digest not in seen:
+                        seen.add(digest)
+                        keys.append(_key(digest))
+                        sets.append(s)
                 owner, sigs, needs = enum.signatures(sets)
-                held.append((sigs, ids[owner], needs[:, 1] << 32 | needs[:, 2], ids[needs[:, 0]]))
+                key = np.array(keys, np.int64)
+                held.append((sigs, key[owner], needs[:, 1] << 32 | needs[:, 2], key[needs[:, 0]]))
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield blobs()
                     held = []
@@ -192,96 +210,105 @@ def shared_signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield blobs()
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.concatenate([unpack(zstandard.decompress(b), np.uint64) for b in part["sigs"]])
-        ids = np.concatenate([unpack(zstandard.decompress(b), np.int64) for b in part["ids"]])
-        if part["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"sig": (sigs >> np.uint64(32)).astype(np.int64), "doc_id": ids, "need": (sigs & np.uint64(0xFFFFFFFF)).astype(np.int64)}).astype({"need": "Int64"})
-        order = np.argsort(sigs)
-        sigs, ids = sigs[order], ids[order]
-        same = np.zeros(len(sigs) + 1, bool)
-        same[1:-1] = sigs[1:] == sigs[:-1]
-        keep = same[1:] | same[:-1]
-        return pd.DataFrame({"sig": sigs[keep].view(np.int64), "doc_id": ids[keep], "need": pd.array([None] * int(keep.sum()), "Int64")})
+        def whole(column: str, dtype) -> list[np.ndarray]:
+            return [unpack(zstandard.decompress(b), dtype) for b in part[column]]
 
-    sent = docs.select(doc_id, text).mapInArrow(send, "bucket int, sigs binary, ids binary")
-    own = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("ids"), F.lit(buckets)))  # needs are dealt anyhow
-    return sent.groupBy("bucket", own.alias("_own")).applyInPandas(meet, "sig long, doc_id long, need long")
+        sigs, keys = np.concatenate(whole("sigs", np.uint64)), whole("keys", np.int64)
+        if part["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"hub": pd.array([None] * len(sigs), "Int64"), "key": np.concatenate(keys), "band": (sigs >> np.uint64(32)).astype(np.int64), "n": 0, "need": (sigs & np.uint64(0xFFFFFFFF)).astype(np.int64)})
+        keys = np.concatenate([k[w] for k, w in zip(keys, whole("which", np.uint32), strict=True)])
+        order = np.lexsort((mix64(keys.view(np.uint64)), sigs))
+        sigs, keys = sigs[order], keys[order]
+        new = np.append(True, (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]))  # copies from several tasks are one
+        sigs, keys = sigs[new], keys[new]
+        begin = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+        count = np.diff(np.append(begin, len(sigs)))
+        several = np.repeat(count > 1, count)
+        found = pd.DataFrame({"hub": np.repeat(keys[begin], count)[several], "key": keys[several], "band": (sigs[several] & np.uint64(255)).astype(np.int64)})
+        return found.groupby(["hub", "key", "band"], as_index=False).size().rename(columns={"size": "n"}).assign(need=0)
+
+    sent = docs.select(text).mapInArrow(send, ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in columns))
+    own = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("keys"), F.lit(buckets)))  # needs are dealt anyhow
+    return sent.groupBy("bucket", own.alias("_own")).applyInPandas(meet, "hub long, key long, band long, n long, need long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of distinct pairs of digests whose sets link. Each set is sent once for each pair it is the second of; the
-    first one goes to groups of GROUP pairs, so a set with very many pairs is dealt over tasks."""
-    pairs = pairs.distinct()
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("fan"))
-    left = fan.join(sets.select(F.col("digest").alias("a"), "shingles"), "a").select(F.col("a").alias("hub"), "shingles", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
-    right = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int")).select("a", "salt", "b").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("other")), "b")
-
-    def compare(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+    """The (a, b) of pairs (a, b, n) of classes whose sets (cls, shingles) link; n: the size of a's set. Each set is sent once for
+    each pair it is the second of. The first one goes to parts of GROUP pairs and GROUP_BYTES at most, so a set with very
+    many pairs is dealt over tasks, and tasks take several parts."""
+    size = F.count("*") * F.max("n") * 8
+    fan = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(GROUP), size / F.lit(GROUP_BYTES))).cast("int").alias("fan"), size.alias("bytes"))
+    dealt = max(MIN_BUCKETS, -(-(fan.agg(F.sum("bytes")).first()[0] or 0) // GROUP_BYTES))
+    left = fan.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    right = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), "b").join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "shingles")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(one) and len(many):
-            s = np.frombuffer(one["shingles"].iloc[0], np.uint64)
-            for b, raw in zip(many["b"], many["other"], strict=True):
+        for (a, _), group in rows.groupby(["a", "part"], sort=False):
+            own = group["b"].isna()
+            s = np.frombuffer(group["shingles"][own].iloc[0], np.uint64)
+            for b, raw in zip(group["b"][~own].astype("int64"), group["shingles"][~own], strict=True):
                 t = np.frombuffer(raw, np.uint64)
                 both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
                 if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append((one["hub"].iloc[0], b))
-        return pd.DataFrame(out, columns=["a", "b"])
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return left.groupBy("hub", "part").cogroup(right.groupBy("a", "salt")).applyInPandas(compare, "a long, b long")
+    whole = left.union(right).withColumn("b", F.col("b").cast("decimal(20,0)"))  # keeps null apart from numbers in pandas
+    return whole.groupBy(F.pmod(F.xxhash64("a", "part"), F.lit(dealt)).alias("_deal")).applyInPandas(compare, "a long, b long")
 
 
-def _closest(members: DataFrame, docs_of: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within signature groups that may still link: their part vectors of the group's
-    band differ in no more places than linked sets may differ in elements. Groups over GROUP are compared in blocks."""
-    wanted = members.select("digest", F.col("sig").bitwiseAND(255).cast("int").alias("band")).distinct()
-    ids = wanted.join(docs_of, "digest").select("doc_id", "digest", "band")
-    texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = set_table(texts, words=words, with_set=True).dropDuplicates(["digest"])
+def _vectors(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(cls, band, vector): compressed part vectors of the classes and bands of `wanted`."""
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enum = PartEnum(percent)
         for batch in batches:
-            made = []
-            for raw, band in zip(batch["shingles"], batch["band"], strict=True):
-                while len(enum.ends) <= band:
-                    enum.band(enum.ends[-1] + 1)
-                made.append(enum.vector(band, np.frombuffer(raw, np.uint64)).tobytes())
-            yield pd.DataFrame({"digest": batch["digest"], "band": batch["band"], "vector": made})
-
-    vector = wanted.join(sets.select("digest", "shingles"), "digest").mapInPandas(vectors, "digest long, band int, vector binary")
-    rows = members.withColumn("band", F.col("sig").bitwiseAND(255).cast("int")).join(vector, ["digest", "band"])
-    size = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
-    rows = (
-        rows.join(size, "sig").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "digest", "n", "comp", "vector")
-    )
+            made = [zstandard.compress(enum.vector(band, np.frombuffer(raw, np.uint64)).tobytes(), 1) for raw, band in zip(batch["shingles"], batch["band"], strict=True)]
+            yield pd.DataFrame({"cls": batch["cls"], "band": batch["band"], "vector": made})
 
-    def near(part: pd.DataFrame) -> pd.DataFrame:
-        """Many groups in one call."""
-        out = [pair for _, group in part.groupby(["sig", "x", "y"], sort=False) if len(group) > 1 and group["comp"].nunique() > 1 for pair in compare(group)]
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
-
-    def compare(part: pd.DataFrame) -> list[tuple[int, int]]:
-        v = np.stack([np.frombuffer(b, np.uint8) for b in part["vector"]])
-        n, block = part["n"].to_numpy(), part["block"].to_numpy()
-        comp, digest = part["comp"].to_numpy(), part["digest"].to_numpy()
-        across = part["x"].iloc[0] != part["y"].iloc[0]
-        out = []
+    return wanted.join(sets, "cls").select("cls", "band", "shingles").mapInPandas(rows, "cls long, band long, vector binary")
+
+
+def _near(rows: DataFrame, dealt: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, n) that may link by their part vectors, from rows (hub, band, x, y, block, cls, n, comp, pivot, vector).
+
+    Rows of one hub, band, x and y are compared: with the row that is the pivot if there is one, else those of different
+    components (of different blocks, if x <> y)."""
+
+    def fit(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        return (differ * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+    def differences(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """In how many bytes each row of v differs from each of w."""
+        bits = np.packbits(v[:, None, :] != w[None], axis=2)
+        return np.bitwise_count(bits).sum(2, dtype=np.int64)
+
+    def compare(group: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
+        n, comp, cls, block, pivot = (group[c].to_numpy() for c in ("n", "comp", "cls", "block", "pivot"))
+        left = np.flatnonzero(pivot)[:1]
+        if not len(left):
+            names, first, count = np.unique(comp, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                return
+            left = np.flatnonzero(first != count.argmax())  # all but the largest component, against all
+        v = np.stack([np.frombuffer(zstandard.decompress(b), np.uint8) for b in group["vector"]])
         step = max(1, (16 << 20) // max(1, v.size))
-        for a in range(0, len(v), step):
-            rows_ = np.arange(a, min(a + step, len(v)))
-            differ = (v[rows_][:, None, :] != v[None]).sum(2)
-            total = n[rows_][:, None] + n[None]
-            ok = (comp[rows_][:, None] != comp[None]) & (differ * (100 + percent) <= total * (100 - percent)) & (100 * np.minimum(n[rows_][:, None], n[None]) >= percent * np.maximum(n[rows_][:, None], n[None]))
-            if across:
-                ok &= block[rows_][:, None] != block[None]
-            i, j = np.nonzero(ok)
-            out += [(x, y) for x, y in zip(digest[rows_[i]].tolist(), digest[j].tolist(), strict=True) if x < y]
-        return out
+        for a in range(0, len(left), step):
+            i = left[a : a + step]
+            ok = (comp[i][:, None] != comp[None]) & fit(n[i][:, None], n[None], differences(v[i], v))
+            if group["x"].iloc[0] != group["y"].iloc[0]:
+                ok &= block[i][:, None] != block[None]
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                p, q = (i[x], y) if pivot[i[x]] or cls[i[x]] < cls[y] else (y, i[x])
+                yield int(cls[p]), int(cls[q]), int(n[p])
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        out = dict.fromkeys(pair for _, group in part.groupby(["hub", "band", "x", "y"], sort=False) if len(group) > 1 for pair in compare(group))
+        return pd.DataFrame(list(out), columns=["a", "b", "n"]).astype("int64")
 
-    dealt = max(MIN_BUCKETS, -(-members.count() // 20_000))
-    return rows.groupBy(F.pmod(F.xxhash64("sig", "x", "y"), F.lit(dealt)).alias("_deal")).applyInPandas(near, "a long, b long").distinct()
+    found = rows.groupBy(F.pmod(F.xxhash64("hub", "band", "x", "y"), F.lit(dealt)).alias("_deal")).applyInPandas(near, "a long, b long, n long")
+    return found.distinct()
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -290,58 +317,79 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents link when their sets of `words`-word shingles have a Jaccard similarity of `percent` per cent or more;
     component_id is the smallest doc_id that links reach, itself included. Null, empty and blank texts have an empty set,
     link with nothing, and are their own component. Rows with a null id take part; a component of such rows alone has a null
-    id. Rows that repeat an id are repeated; if their texts differ each has its own set. doc_id must be an integer.
-
-    Documents with equal sets are one class. Signatures that classes share give candidates. First each signature group is
-    compared with its most connected member only; what then still lies in different components within a group is compared
-    pairwise by part vectors, an exact bound, and verified. So no link between components is lost, large groups of near
-    copies cost one comparison each, and frequent passages cost byte comparisons.
+    id. Rows that repeat an id are repeated; if their texts differ each has its own set. An empty table gives an empty one, and
+    other columns of docs take no part. doc_id must be an integer.
+
+    Documents with equal sets (128 bits) are one class. Sets that share a signature meet in the group of the signature's hub,
+    so a pair meets once for each hub it shares and not for each signature. First each group is compared with one member
+    only; what then still lies in different components within a group is compared by part vectors, an exact bound, in
+    blocks of bounded size, each pair of a group once, and verified by the sets. So no link between components is lost,
+    large groups of near copies cost one comparison each, and other members of a group cost byte comparisons.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    about = stored(set_table(docs, words=words), "sets")
-    classes = about.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    known = about.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "digest").distinct()
-    shared = stored(shared_signatures(docs, words=words, percent=percent), "shared")
-    band = F.col("sig").bitwiseAND(255).cast("int").alias("band")
-    # what shares too few signatures to link with anything leaves, first by document, then by class
-    need = shared.where("need is not null").groupBy("doc_id", F.col("sig").cast("int").alias("band")).agg(F.min("need").alias("need"))
-    sigs = shared.where("need is null").select("sig", "doc_id", band)
-    enough = sigs.groupBy("doc_id", "band").agg(F.count("*").alias("m")).join(need, ["doc_id", "band"]).where("m >= need").join(known, "doc_id").select("doc_id", "band", "digest", "need")
-    members = stored(sigs.join(enough, ["doc_id", "band"]).groupBy("sig", "digest").agg(F.min("need").alias("need")), "members")
-    several = members.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-    members = members.join(several, "sig", "left_semi")
-    enough = members.groupBy("digest", band).agg(F.count("*").alias("m"), F.min("need").alias("need")).where("m >= need").select("digest", "band")
-    members = stored(members.withColumn("band", band).join(enough.join(classes.select("digest", "n"), "digest"), ["digest", "band"]).select("sig", "digest", "n"), "members")
-
-    degree = members.groupBy("digest").agg(F.count("*").alias("degree"))
-    hub = members.join(degree, "digest").groupBy("sig").agg(F.max(F.struct("degree", "digest", "n")).alias("hub"))
-    alike = F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")
-    pairs = stored(members.join(hub, "sig").where((F.col("digest") != F.col("hub.digest")) & alike).select(F.col("hub.digest").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
+    about = stored(set_table(docs, words=words).select("*", F.monotonically_increasing_id().alias("row")), "sets")
+    # a class is named by its first row; `rep` is the id of a document that stands for it, `many` says that rows repeat that id
+    by_id = about.where("n_shingles > 0").groupBy("digest", "key", "doc_id").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    classes = stored(
+        by_id.groupBy("digest", "key").agg(F.min("row").alias("cls"), F.min("doc_id").alias("first_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.max(F.col("copies") > 1).alias("many"), F.sum("copies").alias("copies"), F.max("n").alias("n")),
+        "classes",
+    )
 
+    # what shares too few signatures to link with anything leaves
+    shared = stored(shared_signatures(docs, words=words, percent=percent), "shared")
+    need = shared.where("hub is null").groupBy("key", "band").agg(F.min("need").alias("need"))
+    enough = shared.where("hub is not null").groupBy("key", "band").agg(F.sum("n").alias("m")).join(need, ["key", "band"]).where("m >= need").select("key", "band")
+    met = shared.where("hub is not null").select("hub", "key", "band").distinct().join(enough, ["key", "band"]).join(classes.select("key", "cls", "n"), "key").select("hub", "band", "cls", "n")
+    met = stored(met, "met")
+    discard(shared)
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(GROUP), F.count("*") * F.max("n") * 3 / F.lit(GROUP_BYTES))).cast("int").alias("blocks")
+    groups = met.groupBy("hub", "band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("first"), blocks).where("m > 1").select("hub", "band", F.col("first.cls").alias("pivot"), "blocks")
+    met = met.join(groups, ["hub", "band"])
+
+    wanted = met.select("cls", "band").distinct()
+    chosen = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("digest", "cls", "rep", "many")
     plain = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    # one document stands for each class
-    docs_of = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-
-    def sets_of(digests: DataFrame) -> DataFrame:
-        ids = docs_of.join(digests, "digest", "left_semi").select("doc_id").distinct()
-        found = set_table(plain.join(ids, "doc_id", "left_semi"), words=words, with_set=True)
-        return stored(found.join(digests, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "shingles"), "shingles")
-
-    links = stored(verify(pairs, sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()), percent), "links")
+    sets = set_table(plain.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words=words, with_set=True)
+    sets = sets.join(chosen, (sets["digest"] == chosen["digest"]) & (sets["doc_id"] == chosen["rep"])).select("cls", "shingles", "many")
+    sets = stored(sets.where("not many").union(sets.where("many").dropDuplicates(["cls"])).select("cls", "shingles"), "shingles")
+    met = stored(met.join(_vectors(sets, wanted, percent), ["cls", "band"]).select("hub", "band", "cls", "n", "pivot", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), "vector"), "vectors")
+    dealt = max(MIN_BUCKETS, -(-(met.agg(F.sum(F.col("n") * 3)).first()[0] or 0) // GROUP_BYTES))
+
+    here, all_blocks = F.array("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    star = (
+        met.withColumn("is_pivot", F.col("cls") == F.col("pivot"))
+        .withColumn("x", F.explode(F.when(F.col("is_pivot"), all_blocks).otherwise(here)))
+        .select("hub", "band", "x", F.col("x").alias("y"), "block", "cls", "n", F.col("cls").alias("comp"), F.col("is_pivot").alias("pivot"), "vector")
+    )
+    pairs = stored(_near(star, dealt, percent), "pairs")
+    links = stored(verify(pairs, sets, percent), "links")
     roots = connected_components(links)
-    comp = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", "n", F.coalesce("root", "digest").alias("comp"))
-    open_ = comp.groupBy("sig").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("sig")
-    rest = stored(comp.join(open_, "sig", "left_semi"), "open")
-    again = stored(_closest(rest, docs_of, plain, words, percent).join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
-    if not again.isEmpty():
-        more = verify(again, sets_of(again.select(F.col("a").alias("digest")).union(again.select("b")).distinct()), percent)
-        roots = connected_components(links.union(stored(more, "links")))
 
-    of_class = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
+    comp = met.select("hub", "band", "cls", "blocks").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    # a group of two is settled by its star
+    still = comp.groupBy("hub", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low <> high").select("hub", "band")
+    rest = met.join(still, ["hub", "band"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    rest = (
+        rest.withColumn("other", F.explode(all_blocks))
+        .select("hub", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", F.coalesce("root", "cls").alias("comp"), F.lit(False).alias("pivot"), "vector")
+    )
+    done = pairs.select("a", "b").union(pairs.select("b", "a"))
+    again = stored(_near(rest, dealt, percent).join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(met)
+    if not again.isEmpty():
+        roots = connected_components(links.union(stored(verify(again, sets, percent), "links")))
+    of_class = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "first_id", "copies", F.coalesce("root", "cls").alias("root"))
     smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(smallest, "root").select("digest", "component_id")
-    # an empty set has no digest; the join leaves such rows their own id
-    return about.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = stored(of_class.join(smallest, "root").select("digest", "copies", "component_id"), "components")
+    discard(sets, again, pairs, links, classes)
+
+    # classes with over a thousandth of the rows are a thousand at most
+    most = (about.count() + HOT - 1) // HOT
+    hot = about.join(F.broadcast(of_class.where(F.col("copies") > most).select("digest", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))), "digest", "left")
+    dealt_key = F.when(F.col("hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(F.encode(F.col("row").cast("string"), "utf-8")).alias("digest")
+    rest = hot.select("doc_id", "n_shingles", "hot", "hot_id", dealt_key).join(of_class.select("digest", "component_id"), "digest", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("hot"), F.col("hot_id")).otherwise(F.col("component_id"))
+    return rest.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
