@@ -237,10 +237,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     each pair it is the second of. The first one goes to parts of GROUP pairs and GROUP_BYTES at most, so a set with very
     many pairs is dealt over tasks, and tasks take several parts."""
     size = F.count("*") * F.max("n") * 8
-    fan = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(GROUP), size / F.lit(GROUP_BYTES))).cast("int").alias("fan"), size.alias("bytes"))
+    fan = stored(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(GROUP), size / F.lit(GROUP_BYTES))).cast("int").alias("fan"), size.alias("bytes")), "fan")
     dealt = max(MIN_BUCKETS, -(-(fan.agg(F.sum("bytes")).first()[0] or 0) // GROUP_BYTES))
     left = fan.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
-    right = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), "b").join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "shingles")
+    right = stored(pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("part"), "b"), "dealt").join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "shingles")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -342,46 +342,46 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = shared.where("hub is not null").select("hub", "key", "band").distinct().join(enough, ["key", "band"]).join(classes.select("key", "cls", "n"), "key").select("hub", "band", "cls", "n")
     met = stored(met, "met")
     discard(shared)
+    narrow = met
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(GROUP), F.count("*") * F.max("n") * 3 / F.lit(GROUP_BYTES))).cast("int").alias("blocks")
     groups = met.groupBy("hub", "band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("first"), blocks).where("m > 1").select("hub", "band", F.col("first.cls").alias("pivot"), "blocks")
-    met = met.join(groups, ["hub", "band"])
+    met = stored(met.join(groups, ["hub", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "grouped")
 
-    wanted = met.select("cls", "band").distinct()
-    chosen = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("digest", "cls", "rep", "many")
+    wanted = stored(met.select("cls", "band").distinct(), "wanted")
+    chosen = stored(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("digest", "cls", "rep", "many"), "chosen")
     plain = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    sets = set_table(plain.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words=words, with_set=True)
-    sets = sets.join(chosen, (sets["digest"] == chosen["digest"]) & (sets["doc_id"] == chosen["rep"])).select("cls", "shingles", "many")
-    sets = stored(sets.where("not many").union(sets.where("many").dropDuplicates(["cls"])).select("cls", "shingles"), "shingles")
-    met = stored(met.join(_vectors(sets, wanted, percent), ["cls", "band"]).select("hub", "band", "cls", "n", "pivot", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), "vector"), "vectors")
+    found = set_table(plain.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, with_set=True)
+    found = stored(found.join(chosen, (found["digest"] == chosen["digest"]) & (found["doc_id"] == chosen["rep"])).select("cls", "shingles", "many"), "shingles")
+    sets = found.where("not many").union(found.where("many").dropDuplicates(["cls"])).select("cls", "shingles")
+    vectors = stored(_vectors(sets, wanted, percent), "vectors")
     dealt = max(MIN_BUCKETS, -(-(met.agg(F.sum(F.col("n") * 3)).first()[0] or 0) // GROUP_BYTES))
 
     here, all_blocks = F.array("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
     star = (
         met.withColumn("is_pivot", F.col("cls") == F.col("pivot"))
         .withColumn("x", F.explode(F.when(F.col("is_pivot"), all_blocks).otherwise(here)))
-        .select("hub", "band", "x", F.col("x").alias("y"), "block", "cls", "n", F.col("cls").alias("comp"), F.col("is_pivot").alias("pivot"), "vector")
+        .select("hub", "band", "x", F.col("x").alias("y"), "block", "cls", "n", F.col("cls").alias("comp"), F.col("is_pivot").alias("pivot"))
     )
-    pairs = stored(_near(star, dealt, percent), "pairs")
+    pairs = stored(_near(star.join(vectors, ["cls", "band"]), dealt, percent), "pairs")
     links = stored(verify(pairs, sets, percent), "links")
     roots = connected_components(links)
 
-    comp = met.select("hub", "band", "cls", "blocks").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    comp = stored(met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "comp")
     # a group of two is settled by its star
-    still = comp.groupBy("hub", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low <> high").select("hub", "band")
-    rest = met.join(still, ["hub", "band"]).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    still = stored(comp.groupBy("hub", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low <> high").select("hub", "band"), "open")
     rest = (
-        rest.withColumn("other", F.explode(all_blocks))
-        .select("hub", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", F.coalesce("root", "cls").alias("comp"), F.lit(False).alias("pivot"), "vector")
+        comp.join(still, ["hub", "band"]).withColumn("other", F.explode(all_blocks))
+        .select("hub", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "comp", F.lit(False).alias("pivot"))
     )
     done = pairs.select("a", "b").union(pairs.select("b", "a"))
-    again = stored(_near(rest, dealt, percent).join(done, ["a", "b"], "left_anti"), "pairs")
-    discard(met)
+    again = stored(_near(rest.join(vectors, ["cls", "band"]), dealt, percent).join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(narrow, met, comp, still, vectors, wanted, chosen)
     if not again.isEmpty():
         roots = connected_components(links.union(stored(verify(again, sets, percent), "links")))
     of_class = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "first_id", "copies", F.coalesce("root", "cls").alias("root"))
     smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = stored(of_class.join(smallest, "root").select("digest", "copies", "component_id"), "components")
-    discard(sets, again, pairs, links, classes)
+    discard(found, again, pairs, links, classes)
 
     # classes with over a thousandth of the rows are a thousand at most
     most = (about.count() + HOT - 1) // HOT
