@@ -22,12 +22,13 @@ def plain(t):
 
 
 @pytest.mark.parametrize("memory", [_suffixes.MEMORY, 64])
-def test_suffix_arrays(memory):
+@pytest.mark.parametrize("base", [1, 20, _suffixes.BASE])
+def test_suffix_arrays(memory, base):
     rnd = np.random.default_rng(0)
     for i in range(150):
         t = rnd.integers(1, int(rnd.choice([1, 2, 3, 10, 1000])) + 1, int(rnd.integers(0, 120)))
         t = np.append(np.tile(t, 3) if i % 5 == 0 else t, 0)
-        sa, lcp = _suffixes.suffix_array(t, memory)
+        sa, lcp = _suffixes.suffix_array(t, memory, base=base)
         assert (list(sa), list(lcp)) == plain(t)
 
 
@@ -84,12 +85,22 @@ def corpus():
     return rows
 
 
+@pytest.mark.parametrize("length", [100, 150, 200, 250, 300])
+def test_long_strings(length):
+    rnd = np.random.default_rng(3)
+    shared = rnd.integers(97, 123, 330)
+    pieces = [np.concatenate([rnd.integers(97, 123, 20), shared, rnd.integers(97, 123, 30)]).astype(np.uint8) for _ in range(2)]
+    windows = np.array([len(p) - length + 1 for p in pieces])
+    piece, _ = repeats.repeated_starts(np.concatenate(pieces), np.array([0, len(pieces[0])]), windows, np.array([1, 2]), np.zeros(2, np.int64), np.zeros(2, np.int64), length)
+    assert len(piece) == 331 - length and (piece == 1).all()
+
+
 @pytest.mark.parametrize("shard", [repeats.SHARD_BYTES, 300])
 def test_removal(spark, shard, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 7, "old") for i, t in rows], "doc_id long, text string, n_bytes int, _x string").repartition(5)
-    for length in (100, 101):
+    for length in (100, 101, 250):
         got = {}
         for r in repeats.remove_repeats(docs, length=length).collect():
             got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))

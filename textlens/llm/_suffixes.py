@@ -12,9 +12,11 @@ import tempfile
 import numpy as np
 
 #: Bytes of one array, and of a queue's runs, above which they are kept in a temporary file.
-MEMORY = 256 << 20
-#: Common prefixes are counted up to here.
+MEMORY = 32 << 20
+#: Common prefixes are counted up to here unless the caller says otherwise.
 CAP = 200
+#: A text of so many characters at most ends the recursion: it is sorted in memory by doubling prefixes.
+BASE = 1 << 16
 #: Bits of a rank within a queue's key, and the bit that puts given suffixes behind induced ones of the same first character.
 RANK_BITS = 38
 GIVEN = 1 << RANK_BITS
@@ -80,16 +82,17 @@ class RunQueue:
             r[2] += n
 
 
-def induce(chars: np.ndarray, target: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, runs: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+def induce(chars: np.ndarray, target: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, runs: np.ndarray, memory: int = MEMORY, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
     """(positions, common prefixes with the one before) of the given suffixes and all that they induce, in order.
 
     given: positions in order; a suffix p brings in p - 1 if target[p - 1]. Among suffixes of one first character the induced
     come before the given, ordered by the suffix one further. runs: how often the first character repeats.
     """
     total = len(given) + int(target.sum())
-    out, lcp, rank = room(total, np.int64, memory), room(total, np.uint8, memory), room(len(chars) + 1, np.int64, memory)
+    small = np.uint8 if cap < 256 else np.int32
+    out, lcp, rank = room(total, np.int64, memory), room(total, small, memory), room(len(chars) + 1, np.int64, memory)
     levels = max(1, int(total).bit_length())
-    low = room((levels, total), np.uint8, memory)  # low[k, i]: the smallest lcp of the 2 ** k that end at i
+    low = room((levels, total), small, memory)  # low[k, i]: the smallest lcp of the 2 ** k that end at i
     queue = RunQueue(memory)
     queue.push((chars[given].astype(np.int64) << (RANK_BITS + 1)) | GIVEN | np.arange(len(given)), given)
     done, step, last = 0, 4096, -1
@@ -122,7 +125,7 @@ def induce(chars: np.ndarray, target: np.ndarray, given: np.ndarray, given_lcp:
             a, b = rank[prior[made] + 1] + 1, rank[at[made] + 1]
             k = np.floor(np.log2(b - a + 1)).astype(np.int64)
             value[made] = 1 + np.minimum(low[k, b], low[k, a + (1 << k) - 1]).astype(np.int64)
-        lcp[new] = np.minimum(value, CAP)
+        lcp[new] = np.minimum(value, cap)
         low[0, done : done + q] = lcp[new]
         for k in range(1, levels):
             half = 1 << (k - 1)
@@ -164,12 +167,40 @@ def names_of(text: np.ndarray, small: np.ndarray, starts: np.ndarray) -> np.ndar
     return name
 
 
-def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix of each suffix with the one before, up to CAP) of non-negative integers that end with their
+def _extended(text: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
+    """How far the suffixes a[i] and b[i] agree, up to cap; they do for at[i] characters."""
+    open_ = np.arange(len(a))
+    while len(open_):
+        open_ = open_[at[open_] < cap]
+        x, y = a[open_] + at[open_], b[open_] + at[open_]
+        ok = (x < len(text)) & (y < len(text))
+        ok[ok] = text[x[ok]] == text[y[ok]]
+        open_ = open_[ok]
+        at[open_] += 1
+    return np.minimum(at, cap)
+
+
+def _in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_array() of a short text: ranks of prefixes of 1, 2, 4, ... characters until all differ."""
+    n = len(text)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    size = 1
+    while rank.max() < n - 1:
+        key = rank * (n + 1)
+        key[: n - size] += rank[size:] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        size *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order, np.append(0, _extended(text, order[:-1], order[1:], np.zeros(n - 1, np.int64), cap))
+
+
+def suffix_array(text: np.ndarray, memory: int = MEMORY, cap: int = CAP, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix of each suffix with the one before, up to cap) of non-negative integers that end with their
     only, smallest element."""
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.uint8)
+    if n <= max(1, base):
+        return _in_memory(text, cap)
     text = kept(np.unique(text, return_inverse=True)[1].astype(np.int64), memory)
     # a suffix is small if it is less than the one that follows: decided where the next different character stands
     differs = np.append(text[1:] != text[:-1], True)
@@ -182,29 +213,20 @@ def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np
     name = kept(names_of(text, small, starts), memory)
     order = kept(np.argsort(name, kind="stable"), memory)
     if (np.diff(name[order]) == 0).any():
-        order, named = suffix_array(name, memory)
+        order, named = suffix_array(name, memory, cap, base)
     else:
         named = np.zeros(len(order), np.uint8)
     # common prefixes of neighbours: equal names, then characters
-    lcp = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
     same = np.minimum(named[1:].astype(np.int64), len(starts) - 1 - np.maximum(a, b))
     at = starts[np.minimum(a + same, len(starts) - 1)] - starts[a]
-    open_ = np.arange(len(a))
-    while len(open_):
-        open_ = open_[at[open_] < CAP]
-        x, y = starts[a[open_]] + at[open_], starts[b[open_]] + at[open_]
-        ok = (x < n) & (y < n)
-        ok[ok] = text[x[ok]] == text[y[ok]]
-        open_ = open_[ok]
-        at[open_] += 1
-    lcp[1:] = np.minimum(at, CAP)
-    up, up_lcp = induce(text, ~small, starts[order], lcp, runs, memory)
+    lcp = np.append(0, _extended(text, starts[a], starts[b], at, cap))
+    up, up_lcp = induce(text, ~small, starts[order], lcp, runs, memory, cap)
     large = ~small[up]
     given = np.append(up[large][::-1], n - 1)
     # between neighbours among the large ones nothing else of the same first character stands
     given_lcp = np.append(np.append(0, up_lcp[large][::-1][:-1]), 0).astype(np.int64)
     target = small.copy()
     target[-1] = False
-    down, down_lcp = induce(text.max() - text, target, given, given_lcp, runs, memory)
+    down, down_lcp = induce(text.max() - text, target, given, given_lcp, runs, memory, cap)
     return down[::-1], np.append(0, down_lcp[:0:-1])

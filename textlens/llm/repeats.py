@@ -3,7 +3,8 @@
 Strings that are equal agree on their minimizer, the smallest hash of a 50-byte string in them. Minimizers are counted over the
 corpus first; only the surroundings of those that occur again are compared. All surroundings of a minimizer meet in one bucket,
 those equal byte by byte collapse to the earliest, and what differs is sorted by an external suffix array of the bucket. Hashes
-only choose what is compared.
+only choose what is compared: a string whose hash is its own equals no other and stays out of the sort; of equal hashes the sort
+decides.
 
 A minimizer with many different surroundings (both ends of a passage that many documents share) would make one large group. Its
 strings are counted one by one, by their hashes, and only those that occur again meet, by hash of the string.
@@ -94,7 +95,8 @@ def _surroundings(data: np.ndarray, starts: np.ndarray, length: int, k: int) ->
     new = np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)) if len(window) else np.empty(0, bool)
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)] if len(window) else none
-    return value[place[new]] >> np.uint64(16), first, last, _range_hash(sums, inverse, first, last + length)
+    # minimizers are small hashes; mixed again they fill all buckets alike
+    return mix64(value[place[new]] >> np.uint64(16)) >> np.uint64(16), first, last, _range_hash(sums, inverse, first, last + length)
 
 
 def _documents(held: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def repeated_starts(raw: np.ndarray, offsets: np.ndarray, windows: np.ndarray, i
     """(piece, place in it) of every string that stands earlier among the pieces: piece i covers windows[i] strings, from
     first[i] of its document on. By the suffix array: runs of neighbours that share `length` characters hold equal strings."""
     sizes = windows + length - 1
-    sa, lcp = suffix_array(_gathered(raw, offsets, sizes))
+    sa, lcp = suffix_array(_gathered(raw, offsets, sizes), cap=length)
     piece_at = np.concatenate([[0], np.cumsum(sizes + 1)])
     group = np.cumsum(lcp < length)
     piece = np.searchsorted(piece_at, sa, "right") - 1
@@ -185,22 +187,57 @@ def repeated_starts(raw: np.ndarray, offsets: np.ndarray, windows: np.ndarray, i
     return piece[order[~new]], inside[order[~new]]
 
 
-def _string_hashes(raw: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all strings of consecutive pieces of raw, some pieces at a time."""
+def _string_hashes(raw: np.ndarray, offsets: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings of the pieces of raw that begin at offsets, some pieces at a time."""
     sizes = windows + length - 1
-    ends = np.cumsum(sizes)
-    block = (ends - 1) // BLOCK if len(ends) else ends
+    block = np.cumsum(sizes) // BLOCK
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(block) != 0)), len(block)) if len(block) else [0]
     out = [np.empty(0, np.uint64)]
-    for b in np.unique(block):
-        own = np.flatnonzero(block == b)
-        data = raw[ends[own[0]] - sizes[own[0]] : ends[own[-1]]]
-        sums, inverse = _prefix_hashes(data)
-        n = windows[own]
-        at = np.arange(n.sum()) + np.repeat((np.cumsum(sizes[own]) - sizes[own]) - (np.cumsum(n) - n), n)
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        sums, inverse = _prefix_hashes(raw[_ranges(offsets[x:y], sizes[x:y])])
+        at = _ranges(np.cumsum(sizes[x:y]) - sizes[x:y], windows[x:y])
         out.append(_range_hash(sums, inverse, at, at + length))
     return np.concatenate(out)
 
 
+def _bytes_of(raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """raw[begin[0] : begin[0] + sizes[0]], then the next piece, gathered COMPARED bytes at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    block = ends // COMPARED
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(block) != 0)), len(block)) if len(block) else [0]
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        out[ends[x] - sizes[x] : ends[y - 1]] = raw[_ranges(begin[x:y], sizes[x:y])]
+    return out
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... sizes[0] of them, then begin[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+
+
+def _recur(values: np.ndarray) -> np.ndarray:
+    """Which of values occur more than once."""
+    order = np.argsort(values)
+    out = np.empty(len(values), bool)
+    out[order] = _has_neighbour(values[order])
+    return out
+
+
+def _runs(use: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first string in it, strings) of each run of strings marked in `use` that lie side by side in one piece."""
+    starts = np.cumsum(windows) - windows
+    begin = np.zeros(len(use) + 1, bool)
+    begin[starts] = True
+    marked = np.append(use, False)
+    new = np.flatnonzero(marked[:-1] & (begin[:-1] | ~np.append(False, use[:-1])))
+    last = np.flatnonzero(marked[:-1] & (begin[1:] | ~marked[1:]))
+    last = last[np.searchsorted(last, new)] if len(new) else new
+    piece = np.searchsorted(starts, new, "right") - 1
+    return piece, new - starts[piece], last - new + 1
+
+
 def _has_neighbour(values: np.ndarray) -> np.ndarray:
     """Which of sorted values occur more than once."""
     same = np.zeros(len(values) + 1, bool)
@@ -219,7 +256,11 @@ def _earlier(part: pd.DataFrame, length: int) -> pd.DataFrame:
     again, keep = _collapsed(raw, offsets, windows + length - 1, h, columns["content"], windows, ids, ties, first)
     out = [(chunk[again], ids[again], ties[again], first[again], first[again] + windows[again] - 1 + length)]
     keep = keep[_has_neighbour(h[keep])]
-    # what differs is sorted, shard by shard
+    # what differs is sorted, shard by shard, but for strings of a hash of their own: those equal no other
+    which, place, n = _runs(_recur(_string_hashes(raw, offsets[keep], windows[keep], length)), windows[keep])
+    which = keep[which]
+    h, ids, ties, offsets, first, windows, chunk = h[which], ids[which], ties[which], offsets[which] + place, first[which] + place, n, chunk[which]
+    keep = np.arange(len(which))
     total = np.cumsum(windows[keep] + length)
     shard = (total - 1) // SHARD_BYTES
     begin = np.append(True, h[keep][1:] != h[keep][:-1]) if len(keep) else np.empty(0, bool)
@@ -290,8 +331,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def pieces(bucket: int, number: int, h: np.ndarray, content: np.ndarray, ids: np.ndarray, ties: np.ndarray, own: np.ndarray, windows: np.ndarray, data: np.ndarray, first: np.ndarray) -> tuple:
         """A row with the bytes of pieces that begin at data[first]."""
         sizes = windows + length - 1
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        raw = data[np.arange(total[-1]) - np.repeat(total[:-1] - first, sizes)]
+        raw = _bytes_of(data, first, sizes)
         return (bucket, number, *(squeeze(x) for x in (h, content, ids, ties, own, windows, raw)))
 
     def send(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -320,7 +360,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         if hot.any():
             out.append(row(-2, kept[hot]))
-            strings = np.unique(_string_hashes(spread(out[-1][-1], np.uint8), windows[kept[hot]], length))
+            strings = np.unique(_string_hashes(data, first[kept[hot]], windows[kept[hot]], length))
             ends = edges(strings, 64)
             out += [(parts + b, number, squeeze(strings[x:y]), *[squeeze(empty)] * 6) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
         kept = kept[~hot]
@@ -342,13 +382,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         number, row = int(part["chunk"].iloc[0]), part.iloc[0]
         ids, ties, first, windows = (spread(row[c], np.int64) for c in ("id", "tie", "first", "windows"))
         raw = spread(row["raw"], np.uint8)
-        hashes = _string_hashes(raw, windows, length)
+        sizes = windows + length - 1
+        hashes = _string_hashes(raw, np.cumsum(sizes) - sizes, windows, length)
         distinct, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         use = np.flatnonzero((bits(answers.sort_values("bucket"), "again") | (counts > 1))[place])
         before = np.cumsum(windows)
         piece = np.searchsorted(before, use, "right")
         within = use - (before - windows)[piece]
-        sizes = windows + length - 1
         h, ids, ties, own, at = hashes[use], ids[piece], ties[piece], first[piece] + within, (np.cumsum(sizes) - sizes)[piece] + within
         one = np.ones(len(use), np.int64)
         gone, kept = _collapsed(raw, at, one * length, h, ids, ties, own)
