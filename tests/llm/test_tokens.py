@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -60,7 +61,7 @@ def test_repair_round_trip(seed):
     ids = rnd.integers(0, [2, 5, 50, 500, 50_000, 3][seed], [0, 1, 5000, 20_000, 3000, 999][seed]).astype(np.int32)
     if seed == 2:
         ids = np.tile(ids[:100], 50)
-    rules, symbols = token_files.repair(ids, 50_257, rounds=20, min_count=2)
+    rules, symbols = token_files.repair(ids, 50_257, min_count=2)
     data, offsets = token_files.expansions(rules, 50_257)
     assert _tokens.take(data, offsets, symbols.astype(np.int64))[0].tolist() == ids.tolist()
     if seed == 2:
@@ -77,6 +78,20 @@ def test_shard_random_access():
         assert token_files.decode_document(row, k).tolist() == docs[k].tolist()
 
 
+def test_grammar_ends_when_no_pair_is_frequent():
+    rnd = np.random.default_rng(1)
+    phrase = rnd.integers(1, 50_000, 300)
+    ids = np.concatenate([np.append(phrase, rnd.integers(1, 50_000, 5)) for _ in range(40)] + [np.full(5000, 7)])
+    rules, symbols = token_files.repair(ids, 50_257)
+    pairs = {}
+    for a, b in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True):
+        pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert max(pairs.values()) < 2 * token_files.MIN_COUNT  # overlapping ones, such as x x x, count twice
+    assert len(symbols) < 40 * 7 + 40  # the whole phrase is one symbol
+    data, offsets = token_files.expansions(rules, 50_257)
+    assert token_files.take(data, offsets, symbols.astype(np.int64))[0].tolist() == ids.tolist()
+
+
 def test_planes():
     a = np.array([1, 70_000, 2**63], np.uint64)
     assert unpack(pack(a), np.uint64).tolist() == a.tolist()
@@ -85,8 +100,7 @@ def test_planes():
 def test_token_files_equal_the_library(spark, tmp_path, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    all_texts = texts(60)
+    all_texts = texts(60) + ["hi <|endoftext|> you", "a \n<|endoftext|>", "two  <|endoftext|><|endoftext|>\tx <|endoftext", "<|endoftext|>" * 3]
     rows = [(1000 - i, t, i) for i, t in enumerate(all_texts)] + [(None, "no id", 0), (1000, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     out = str(tmp_path / "files")
@@ -95,7 +109,7 @@ def test_token_files_equal_the_library(spark, tmp_path, monkeypatch):
     assert shards.count() > 1
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, r.ids) for r in token_files.document_tokens(shards, with_ids=True).collect())
     want, at = [], 0
-    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc_id, text, _ in docs.orderBy("doc_id", F.xxhash64("text")).collect():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         want.append((at, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         at += len(ids)

@@ -52,12 +52,26 @@ def parts(text: str) -> Iterator[str]:
 
 class ChunkEncoder:
     """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, CACHED at most.
-    `encode` gets chunks and returns a ragged array of ids."""
+    `encode` gets chunks and returns a ragged array of ids. `special` finds tokens that are cut out before anything else, as
+    what stands before one is matched as if the text ended there; each is a chunk."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: re.Pattern | None = None):
+        self.encode, self.special = encode, special
         self._clear()
 
+    def _segments(self, text: str) -> list[str]:
+        if self.special is None or self.special.search(text) is None:
+            return [text]
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [text[at : m.start()], m.group()]
+            at = m.end()
+        return [x for x in (*out, text[at:]) if x]
+
+    def _chunks(self, text: str) -> list[str]:
+        segments = self._segments(text)
+        return chunks(text) if len(segments) == 1 else [c for x in segments for c in chunks(x)]
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.data, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
@@ -90,11 +104,11 @@ class ChunkEncoder:
                 yield flush(i)
                 first, held, ends, size = i, [], [0], 0
             if len(text) > 2 * BATCH_CHARS:
-                ids = np.concatenate([self._ids(chunks(x))[0] for x in parts(text)])
+                ids = np.concatenate([self._ids(chunks(x))[0] for segment in self._segments(text) for x in parts(segment)])
                 yield i, i + 1, ids, np.array([len(ids)])
                 first = i + 1
                 continue
-            held += chunks(text)
+            held += self._chunks(text)
             ends.append(len(held))
             size += len(text) + 1
         if first < len(texts):

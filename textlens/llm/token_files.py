@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -18,10 +20,10 @@ from ._tokens import ChunkEncoder, take
 
 #: Ids in one shard at least (a longer document has a shard of its own).
 SHARD_TOKENS = 1_000_000
-#: Rounds of replacement in a shard, and how often a pair must occur to be replaced.
-ROUNDS, MIN_COUNT = 6, 16
-#: Pairs replaced in one round at most; symbols stay below 2 ** 20.
-RULES_PER_ROUND = 16_384
+#: How often a pair must occur to be replaced.
+MIN_COUNT = 16
+#: Bytes of text that one task encodes, about.
+TASK_BYTES = 16 << 20
 END_ID = 0
 
 #: The file format, one row a shard. rules: (left, right) as byte planes of uint32, the k-th being symbol base + k; rule_lengths:
@@ -29,40 +31,57 @@ END_ID = 0
 FILE_SCHEMA = "part int, shard int, base int, n_docs int, n_tokens long, doc_ids array<bigint>, rules binary, rule_lengths binary, symbols binary, doc_symbols binary, doc_tokens binary"
 
 
-def repair(ids: np.ndarray, base: int, barrier: int | None = END_ID, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): each round counts all pairs and gives those of at least min_count, most frequent first, a nonterminal;
-    where chosen pairs overlap, every second one of the run is replaced. Pairs that start with `barrier` stay, so that no
-    rule crosses it. Ends when no pair is frequent enough."""
+def _apart(places: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the ascending places are taken so that no two are neighbours: the heavier of two goes first, and of a run of one
+    weight every second place."""
+    taken = np.zeros(len(places), bool)
+    alike = np.append(False, (np.diff(places) == 1) & (np.diff(weight) == 0))
+    index = np.arange(len(places))
+    left = np.flatnonzero((index - np.maximum.accumulate(np.where(alike, 0, index))) % 2 == 0)
+    while len(left):
+        at, w = places[left], weight[left]
+        touch = np.diff(at) == 1
+        first = ~np.append(False, touch & (w[:-1] > w[1:])) & ~np.append(touch & (w[1:] > w[:-1]), False)
+        taken[left[first]] = True
+        near = first.copy()
+        near[1:] |= first[:-1] & touch
+        near[:-1] |= first[1:] & touch
+        left = left[~near]
+    return taken
+
+
+def repair(ids: np.ndarray, base: int, barrier: int | None = END_ID, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rounds until no pair occurs min_count times. Each round counts all pairs and numbers those of at least
+    min_count, most frequent first; where two of them overlap, the more frequent one is replaced, and the other is counted
+    anew in the next round. Only pairs that are replaced min_count times become rules. Pairs with `barrier` on either side
+    stay, so that no rule crosses it."""
     seq, rules, top = ids.astype(np.int64), [], base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1] << 20 | seq[1:]
+    while len(seq) >= 2:
+        keys = seq[:-1] << 32 | seq[1:]
         hashed = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        counts = np.bincount(hashed, minlength=1 << 20)
-        maybe = counts[hashed] >= min_count  # pairs in rarer hash cells are rarer themselves
+        maybe = np.bincount(hashed, minlength=1 << 20)[hashed] >= min_count  # pairs in rarer hash cells are rarer themselves
         if barrier is not None:
-            maybe &= seq[:-1] != barrier
+            maybe &= (seq[:-1] != barrier) & (seq[1:] != barrier)
         places = np.flatnonzero(maybe)
         pairs, index, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
-        room = min(RULES_PER_ROUND, (1 << 20) - top)
-        order = np.argsort(-counts, kind="stable")[:room]
-        order = order[counts[order] >= min_count]
+        often = counts[index] >= min_count
+        places, index = places[often], index[often]
+        taken = _apart(places, counts[index] * (len(pairs) + 1) - index)
+        places, index = places[taken], index[taken]
+        uses = np.bincount(index, minlength=len(pairs))
+        order = np.argsort(-uses, kind="stable")
+        order = order[uses[order] >= min_count]
         if not len(order):
             break
         symbol = np.full(len(pairs), -1, np.int64)
         symbol[order] = top + np.arange(len(order))
         symbols = symbol[index]
         places, symbols = places[symbols >= 0], symbols[symbols >= 0]
-        starts = np.diff(places, prepend=-2) != 1
-        run = np.flatnonzero(starts)
-        within = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
-        places, symbols = places[within % 2 == 0], symbols[within % 2 == 0]
         seq[places] = symbols
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([pairs[order] >> 20, pairs[order] & 0xFFFFF], 1))
+        rules.append(np.stack([pairs[order] >> 32, pairs[order] & 0xFFFFFFFF], 1))
         top += len(order)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), seq.astype(np.uint32)
 
@@ -120,40 +139,46 @@ def decode_document(row: dict, k: int) -> np.ndarray:
 _LOADED: dict[int, tuple] = {}
 
 
-def _loaded(content):
-    """The tokenizer of a broadcast file and its vocabulary size, built once in a Python worker."""
+def _loaded(content: str) -> tuple[ChunkEncoder, int]:
+    """An encoder with the tokenizer of a file and the vocabulary size, built once in a Python worker, which keeps its chunks."""
     from tokenizers import Tokenizer
 
-    key = hash(content.value)
+    key = hash(content)
     if key not in _LOADED:
-        tokenizer = Tokenizer.from_str(content.value)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _LOADED[key] = tokenizer, tokenizer.get_vocab_size(with_added_tokens=True)
+        tokenizer = Tokenizer.from_str(content)
+        added = tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.content != t.content.strip() or " " in t.content for t in added):
+            raise ValueError("added tokens that take blanks or look at their neighbours are not supported")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+
+        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            return np.fromiter(chain.from_iterable(found), np.int32, offsets[-1]), offsets
+
+        special = re.compile("|".join(map(re.escape, names))) if names else None
+        _LOADED[key] = ChunkEncoder(encode, special), tokenizer.get_vocab_size(with_added_tokens=True)
     return _LOADED[key]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes the ids in ascending doc_id order (null first, rows
-    of one id by text) as FILE_SCHEMA rows. (part, shard) is the order: one range exchange on the id, sampled bounds, then
-    each task cuts its sorted run into shards."""
+    of one id by a hash of the text) as FILE_SCHEMA rows. (part, shard) is the order: one range exchange on id and hash, sampled
+    bounds, then each task cuts its sorted run into shards. Strings of the tokenizer's added tokens in a text become these
+    tokens, as the library does it. An empty table writes no shard; repeated rows are repeated; a document longer than a
+    shard is a shard of its own, and so must fit a task's memory. Other columns of docs are not written."""
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, base = _loaded(content)
+        encoder, base = _loaded(content.value)
         part, shard, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-            return np.fromiter((i for x in found for i in x), np.int32, offsets[-1]), offsets
-
         def made() -> pa.RecordBatch:
             ids, counts, names = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), sum((h[0] for h in held), [])
             row = shard_row(part, shard, base, names, ids, counts)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=fields)
 
-        encoder = ChunkEncoder(encode)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, b, ids, counts in encoder(batch.column(1).to_pylist()):
@@ -169,7 +194,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     fields = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
     types = [pa.int32()] * 4 + [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 5
-    ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_tie"))
+    size = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    ranged = slim.repartitionByRange(max(shuffle_partitions(spark), -(-size // TASK_BYTES)), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
     ranged.mapInArrow(rows, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
