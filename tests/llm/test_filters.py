@@ -59,6 +59,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds == {"": "response", "page-id: 1\r\n": "revisit", "page-id: 2\r\n": "revisit", "page-id: 3\r\n": "response", "page-id: 4\r\n": "response", "page-id: 5\r\n": "revisit", "page-id: 6\r\n": "response", "page-id: 7\r\n": "revisit"}
     warc.write_warc(pages, out + "2", min_revisit_bytes=5)
     assert warc.read_warc(spark, out + "2").where("type = 'revisit'").count() == 1
+    # pages of one id and payload keep their urls
+    twice = spark.createDataFrame([(1, "http://a/", "x"), (1, "http://b/", "x")], pages.schema)
+    warc.write_warc(twice, out + "3")
+    assert sorted(r.response.target_uri for r in warc.assemble_captures(warc.read_warc(spark, out + "3")).collect()) == ["http://a/", "http://b/"]
+    warc.write_warc(pages.limit(0), out + "4")
+    assert warc.assemble_captures(warc.read_warc(spark, out + "4")).collect() == []
 
 
 def test_warc_plain_and_members():

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, table
+from ._common import discard, scratch, stored, table
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
-#: Records in one archive at most; Spark's partition size (64 MB advised) bounds the bytes.
-RECORDS_PER_FILE = 30_000
+#: Records in one archive at most, and bytes of an archive of records of average size. A reader takes an archive whole, below 2 GB.
+RECORDS_PER_FILE, FILE_BYTES = 30_000, 96 << 20
 #: Payload bytes that the reader hands on at once.
 BATCH_BYTES = 8 << 20
 
@@ -36,8 +36,8 @@ def _urn(*key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def _page_urn(page: Column, digest: Column) -> Column:
-    return _urn(F.lit("page"), F.coalesce(page.cast("string"), F.lit("null")), digest)
+def _page_urn(page: Column, digest: Column, url: Column) -> Column:
+    return _urn(F.lit("page"), F.coalesce(page.cast("string"), F.lit("null")), digest, F.coalesce(url, F.lit("")))
 
 
 def _record(kind: str | Column, rid: Column, body: Column, content_type: str, *headers: tuple[str, Column]) -> Column:
@@ -53,29 +53,31 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least `min_revisit_bytes` bytes the one with the
     smallest page_id (null before all) is a response, the others are revisits of it without a payload; equal means the same
-    SHA-1 and length. Record ids follow from page_id and payload, so a retried task writes the same bytes; repeated rows write
-    repeated records, which the reader counts. A null url is left out of the headers; line ends in it become blanks.
-    Groups are found by a partial aggregate on the digest, so a payload that a third of all rows share is one row per task.
+    SHA-1 and length. Record ids follow from page_id, url and payload, so a retried task writes the same bytes; rows equal in
+    all three write repeated records, which the reader counts. A null url is left out of the headers; line ends in it become
+    blanks. An empty table writes no record; a record must fit a task's memory. Other columns of pages aren't written.
+    Groups are found by a partial aggregate on the digest, so a payload that a third of all rows share is one row per task;
+    only if the table of repeated payloads is small enough to broadcast do the pages stay where they are.
     """
     base = pages.select("page_id", F.regexp_replace("url", "[\\r\\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    first = (
-        base.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes")
-        .agg(F.min_by("page_id", F.struct(F.col("page_id").isNotNull(), F.col("page_id"))).alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1").withColumn("grouped", F.lit(True))
-    )
+    least = F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
+    payloads = stored(base.groupBy("digest", "bytes").agg(F.min(least).alias("least"), F.count("*").alias("n")), "payloads")
+    mean = payloads.agg((F.sum(F.col("bytes") * F.col("n")) / F.sum("n")).alias("m")).first()["m"] or 0
+    first = stored(payloads.where((F.col("n") > 1) & (F.col("bytes") >= min_revisit_bytes)).select("digest", "bytes", F.col("least.page_id").alias("first_id"), F.col("least.url").alias("first_url"), F.lit(True).alias("grouped")), "repeated")
     rows = base.join(first, ["digest", "bytes"], "left")
     revisit = F.coalesce("grouped", F.lit(False)) & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    rid = _page_urn(F.col("page_id"), F.col("digest"))
+    rid = _page_urn(F.col("page_id"), F.col("digest"), F.col("url"))
     uri, digest = F.col("url"), F.concat(F.lit("sha1:"), F.col("digest"))
     page = F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n"))
     records = F.array(
-        F.when(revisit, _record("revisit", rid, F.lit(""), "application/http;msgtype=response", ("WARC-Target-URI", uri), ("WARC-Refers-To", _page_urn(F.col("first_id"), F.col("digest"))), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))))
+        F.when(revisit, _record("revisit", rid, F.lit(""), "application/http;msgtype=response", ("WARC-Target-URI", uri), ("WARC-Refers-To", _page_urn(F.col("first_id"), F.col("digest"), F.col("first_url"))), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))))
         .otherwise(_record("response", rid, F.concat(F.lit(_HTTP), F.col("html")), "application/http;msgtype=response", ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest))),
         _record("request", _urn(F.lit("request"), rid), F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")), "application/http;msgtype=request", ("WARC-Target-URI", uri), ("WARC-Concurrent-To", rid)),
         _record("metadata", _urn(F.lit("metadata"), rid), F.coalesce(page, F.lit("")), "application/warc-fields", ("WARC-Target-URI", uri), ("WARC-Concurrent-To", rid)),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", min(RECORDS_PER_FILE, max(3, int(FILE_BYTES // (mean / 3 + 400))))).text(path)
+    discard(payloads, first)
 
 
 def _chunks(content: bytes) -> Iterator[bytes]:
@@ -152,49 +154,47 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(rows, RECORD_SCHEMA)
 
 
-def _reference(to: Column, own: Column) -> list[Column]:
-    """Keys of a left join to the record `to`. Rows without one are dealt by their own id, which (own, false) keeps from matching."""
-    return [F.coalesce(to, own).alias("_to"), to.isNotNull().alias("_refers")]
-
-
 def assemble_captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture_id, copies, response, request, metadata), joined through the concurrent-to ids.
+    """One nested row per capture: (capture_id, copies, response, request, metadata, source, source_metadata), by one aggregate
+    on the id that requests and metadata name as concurrent.
 
     response is the response or revisit record; a capture without a request or metadata record has null there. Records
-    written several times under one id count in `copies`. Revisits also carry `source`, the response record they refer to
-    (null if it isn't in the archives). Requests and metadata whose capture is missing are left out. An extra column of
-    `records` stays within the structs.
+    written several times under one id count in `copies`. Revisits also carry `source` and `source_metadata`, the response
+    record they refer to and its metadata (null if it isn't in the archives). Requests and metadata whose capture is missing
+    are left out. An extra column of `records` stays within the structs; no records make no captures. Only revisits take
+    part in the join to their sources, so captures without a reference never meet in one task.
     """
     whole = F.struct(*[F.col(c) for c in records.columns])
-    main = records.where(F.col("type").isin("response", "revisit")).groupBy(F.col("record_id").alias("capture_id")).agg(F.any_value(whole).alias("response"), F.count("*").alias("copies"))
+    main = F.col("type").isin("response", "revisit")
 
-    def side(kind: str) -> DataFrame:
-        return records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.any_value(whole).alias(kind))
+    def of(which: Column) -> Column:
+        return F.first(F.when(which, whole), ignorenulls=True)
 
-    out = main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
-    source = main.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.lit(True).alias("_refers"), F.col("response").alias("source"))
-    return out.select("*", *_reference(F.col("response.refers_to"), F.col("capture_id"))).join(source, ["_to", "_refers"], "left").drop("_to", "_refers")
+    kinds = [of(main).alias("response"), F.count_if(main).alias("copies"), of(F.col("type") == "request").alias("request"), of(F.col("type") == "metadata").alias("metadata")]
+    out = records.groupBy(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id")).agg(*kinds).where("copies > 0")
+    source = out.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.col("response").alias("source"), F.col("metadata").alias("source_metadata"))
+    refers = F.col("response.refers_to").isNotNull()
+    revisits = out.where(refers).join(source, F.col("response.refers_to") == F.col("_to"), "left").drop("_to")
+    return out.where(~refers).select("*", *(F.lit(None).cast(source.schema[c].dataType).alias(c) for c in ("source", "source_metadata"))).unionByName(revisits)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written, read once and assembled; one row per page."""
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     records = read_warc(spark, path)
     fields = F.when(F.col("type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long"))
     digest = F.when(F.col("type") == "response", base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
-    small = records.select("record_id", "type", "concurrent_to", "refers_to", digest.alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), fields.alias("page_id"))
-    captures = assemble_captures(small)
-    # the page of the response that a revisit refers to: its own metadata record has the id
-    pages = captures.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.lit(True).alias("_refers"), F.col("metadata.page_id").alias("to_page"))
+    small = stored(records.select("record_id", "type", "concurrent_to", "refers_to", digest.alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), fields.alias("page_id")), "records")
     return (
-        captures.select("*", *_reference(F.col("response.refers_to"), F.col("capture_id"))).join(pages, ["_to", "_refers"], "left")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        assemble_captures(small)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(
             F.col("metadata.page_id").alias("page_id"),
             F.coalesce("source.bytes", "response.bytes").alias("payload_bytes"),
             F.coalesce("source.digest", "response.digest").alias("payload_digest"),
             F.col("response.type").alias("record_type"),
-            F.col("to_page").alias("refers_to"),
+            F.col("source_metadata.page_id").alias("refers_to"),
         )
     )
 
