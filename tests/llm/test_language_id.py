@@ -14,24 +14,52 @@ def sentence(rnd, lang, n):
     return " ".join(rnd.choice(WORDS[lang]) + rnd.choice(["", ",", "."]) for _ in range(n))
 
 
-def test_probabilities_sum_to_one():
+def direct(grams, k, context, c):
+    """Interpolated Kneser-Ney probability of c after context from counts of n-grams of `k` characters, by its definition."""
+    if k == 0:
+        return 1 / (len(grams[1]) + 1)
+    n1, n2 = (sum(n == i for n in grams[k].values()) for i in (1, 2))
+    discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.05), 0.95)
+    after = {g: n for g, n in grams[k].items() if g[:-1] == context}
+    lower = direct(grams, k - 1, context[1:], c)
+    if not after:
+        return lower
+    total = sum(after.values())
+    return max(after.get(context + c, 0) - discount, 0) / total + discount * len(after) / total * lower
+
+
+def test_model_equals_direct_computation():
     texts = {0: "abab abba baab aab", 1: "abc cab bca ccab"}
-    rows = []
+    counts = {}
     for language, text in texts.items():
         s = "  " + li.letters_of(text)
+        own = {}
         for i in range(len(s) - li.ORDER + 1):
-            rows.append((language, s[i : i + li.ORDER], 1))
-    grams = pd.DataFrame(rows, columns=["language", "gram", "n"]).groupby(["language", "gram"], as_index=False)["n"].sum()
+            own[s[i : i + li.ORDER]] = own.get(s[i : i + li.ORDER], 0) + 1
+        by_order = {li.ORDER: own}
+        for k in range(li.ORDER - 1, 0, -1):
+            by_order[k] = {}
+            for g in by_order[k + 1]:
+                by_order[k][g[1:]] = by_order[k].get(g[1:], 0) + 1
+        counts[language] = by_order
+    grams = pd.DataFrame([(i, g, n) for i in counts for g, n in counts[i][li.ORDER].items()], columns=["language", "gram", "n"])
     model = li.fit(grams, ["x", "y"])
     alphabet = sorted(set("".join(grams["gram"])))
-    for context in ("  a", " ab", "bab", "zzz", "cab"):
-        p = np.zeros(2)
-        for c in alphabet:
-            codes = li._codes(context + c)
-            logp, n = model.entropies(codes, np.array([0]))
-            before, m = model.entropies(codes[:-1], np.array([0]))
-            p += np.exp(-(logp[0] * n[0] - before[0] * m[0]))
-        assert (p <= 1 + 1e-5).all() and (p > 0.5).all()
+    for context in ("   ", "  a", " ab", "bab", "zzz", "cab", "zab", "bza"):
+        for i in counts:
+            assert abs(sum(direct(counts[i], li.ORDER, context, c) for c in sorted({g for g in counts[i][1]})) - 1) < 0.5
+            for c in [*alphabet, "q"]:
+                h, n = model.entropies(li._codes(context + c), np.array([0]))
+                assert n[0] == 1 and abs(np.exp(-h[0, i]) - direct(counts[i], li.ORDER, context, c)) < 1e-5, (context, c, i)
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    texts = ["the and with for this that " * 40, "der und mit", None, "x"]
+    grams = pd.DataFrame([(0, g, 2) for g in ("  th", " the", "the ", "and ", " and")] + [(1, g, 1) for g in (" der", "und ", "der ")], columns=["language", "gram", "n"])
+    model = li.fit(grams, ["x", "y"])
+    whole = model.predict(texts)
+    monkeypatch.setattr(li, "BATCH_CHARS", 50)
+    assert all(np.allclose(a, b, equal_nan=True) for a, b in zip(whole[1:], model.predict(texts)[1:], strict=True))
 
 
 def test_accuracy_and_odd_rows(spark):

@@ -23,7 +23,7 @@ BAND_RATIO = 1.5
 #: Second-level parts of a first-level part; all but one of them make a signature.
 PARTS = 3
 #: Bytes of text for which one signature bucket is made, MIN_BUCKETS at least; signatures that a task holds before it sends them on.
-BUCKET_BYTES, MIN_BUCKETS, HELD = 12 << 20, 24, 1_500_000
+BUCKET_BYTES, MIN_BUCKETS, HELD = 12 << 20, 24, 750_000
 #: Members and bytes of one group in a task, in verification and in the comparison of large groups; larger groups are split.
 GROUP, GROUP_BYTES = 1024, 32 << 20
 #: A class with more than this part of all rows gets its component from a broadcast of HOT rows at most.

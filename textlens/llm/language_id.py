@@ -20,13 +20,12 @@ DOCS_PER_LANGUAGE = 400
 #: Held-out texts from which a language has a mean and a spread of its own; one with fewer takes those of all languages together
 #: (one odd text among few would make its spread so wide that nothing is rejected).
 OWN_MEAN, OWN_SPREAD = 5, 30
-#: Distinct highest-order n-grams kept at most over all languages, the most frequent ones.
-MAX_GRAMS = 3_000_000
-MAX_LANGUAGES = 256
+#: Parts of a language in which the smallest hashes are found first, so that a language with very many rows isn't one task's.
+SALTS = 16
 #: A text is rejected when even its best model is this many standard deviations worse than held-out texts of that language.
 REJECT_Z = 12.0
-#: Characters scored at once, in whole texts.
-BATCH_CHARS = 1_000_000
+#: Characters scored at once; a longer text is scored in pieces.
+BATCH_CHARS = 250_000
 UNKNOWN = "und"
 
 _GAPS = re.compile(r"[\W\d_]+")
@@ -97,7 +96,8 @@ class Model:
     calibration: np.ndarray | None = None  # per language: mean, spread between texts, spread of one character
 
     def entropies(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) mean negative log probability a character, and how many characters counted. Texts start at `starts`."""
+        """(pieces x languages) negative log probability, and how many characters counted: all but the ORDER - 1 that each piece
+        begins with, which are its context. Pieces start at `starts`."""
         n = len(codes)
         order, lengths = len(self.orders), np.diff(np.append(starts, n))
         # the character at i is predicted from at most order - 1 characters before it in the same text
@@ -121,43 +121,50 @@ class Model:
                 found = self.orders[k - 2].find(gram_hashes(codes, k - 1)[at - k + 1])
                 total[at[found >= 0]] += self.orders[k - 2].backoff[found[found >= 0]]
         total[todo] += self.floor
-        counted = since > 0  # the leading blank is given
+        counted = since >= order - 1
         sums = np.add.reduceat(np.where(counted[:, None], total, 0), starts, axis=0, dtype=np.float64) if n else np.empty((0, len(self.languages)))
-        return -sums / np.maximum(lengths - 1, 1)[:, None], lengths - 1
+        return -sums, np.maximum(lengths - order + 1, 0)
 
     def predict(self, texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) of each text."""
         names, score, best, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
+        order, h, n = len(self.orders), np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         group: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush():
-            if not group:
-                return
-            rows, parts = [g[0] for g in group], [g[1] for g in group]
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            h, n = self.entropies(np.concatenate(parts), starts)
+            if group:
+                starts = np.concatenate([[0], np.cumsum([len(p) for _, p in group])[:-1]])
+                sums, counts = self.entropies(np.concatenate([p for _, p in group]), starts)
+                rows = [r for r, _ in group]
+                np.add.at(h, rows, sums)
+                np.add.at(n, rows, counts)
+
+        for i, text in enumerate(texts):
+            if clean := letters_of(text):
+                codes = _codes(" " * (order - 2) + clean)  # as in training
+                for a in range(0, len(codes) - order + 1, BATCH_CHARS):
+                    group.append((i, codes[a : a + BATCH_CHARS + order - 1]))
+                    size += len(group[-1][1])
+                    if size > BATCH_CHARS:
+                        flush()
+                        group, size = [], 0
+        flush()
+        rows = np.flatnonzero(n)
+        if len(rows):
+            m = n[rows]
+            h = h[rows] / m[:, None]
             pick = h.argmin(1)
             top = h[np.arange(len(rows)), pick]
             # posterior of the best model if a text were worth 50 characters at most
-            weight = np.exp(-np.minimum(n, 50)[:, None] * (h - top[:, None]))
+            weight = np.exp(-np.minimum(m, 50)[:, None] * (h - top[:, None]))
             score[rows], best[rows] = 1 / weight.sum(1), top
+            rejected[rows] = False
             if self.calibration is not None:
                 mean, between, within = self.calibration[pick].T
-                rejected[rows] = (top - mean) / np.sqrt(between**2 + within**2 / np.maximum(n, 1)) > REJECT_Z
-            else:
-                rejected[rows] = False
-            for r, p in zip(rows, pick, strict=True):
+                rejected[rows] = (top - mean) / np.sqrt(between**2 + within**2 / m) > REJECT_Z
+            for r, p in zip(rows.tolist(), pick, strict=True):
                 names[r] = self.languages[p]
-
-        for i, text in enumerate(texts):
-            if clean := letters_of(text):
-                group.append((i, _codes(clean)))
-                size += len(clean)
-                if size > BATCH_CHARS:
-                    flush()
-                    group, size = [], 0
-        flush()
         return names, score, best, rejected
 
 
@@ -177,6 +184,8 @@ def fit(grams: pd.DataFrame, languages: list[str], order: int = ORDER) -> Model:
     for k in range(1, order + 1):
         f = frames[k]
         names = f["gram"].unique()
+        if k < order:  # contexts that only stand at a text's start have a weight too
+            names = pd.unique(np.concatenate([names, frames[k + 1]["gram"].str[:-1].unique()]))
         row = pd.Series(np.arange(len(names)), index=names)
         counts = np.zeros((len(names), L))
         counts[row[f["gram"]].to_numpy(), f["language"].to_numpy()] = f["n"].to_numpy()
@@ -249,9 +258,12 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     The sample is found from ids and languages, so that whole texts only pass behind a broadcast filter of bounded size.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    first = F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy("_hash", "_id"))
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
     picked = (
         known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id), F.lit(7)).alias("_hash"))
+        .withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(SALTS)))
+        .withColumn("_rank", first).where(F.col("_rank") <= docs_per_language * 3 // 2)
         .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_language * 3 // 2)
         .groupBy("_id", "_lang").agg(F.min("_rank").alias("_rank"))
         .withColumn("_held", F.row_number().over(Window.partitionBy("_lang").orderBy("_rank")) % 3 == 2)
@@ -271,10 +283,9 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 yield pd.DataFrame({"language": language, "gram": list(seen), "n": list(seen.values())})
 
     counts = sample.where(~F.col("_held")).select("_lang", "_text").mapInPandas(count, "language string, gram string, n long")
-    grams = counts.groupBy("language", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language", "gram").limit(MAX_GRAMS).toPandas()
+    # the sample's bound is the model's: distinct n-grams of docs_per_language texts a language
+    grams = counts.groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["language", "gram"], ignore_index=True)
     languages = sorted(grams["language"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; {MAX_LANGUAGES} at most")
     if not languages:
         return Model([], [], np.empty(0, np.float32))
     grams["language"] = grams["language"].map({x: i for i, x in enumerate(languages)})
@@ -298,7 +309,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
 
     The language of the lowest length-normalised cross-entropy, ties to the first by name; score: its posterior, 0 to 1.
     Texts that are null or without letters are `und` with score 0, and rejected, like those that fit no language. With no
-    labelled text at all everything is `und`. A narrow map; the model is broadcast, its size bounded by MAX_GRAMS.
+    labelled text at all everything is `und`. A narrow map; the model is broadcast, its size bounded by the sample.
+    Repeated rows are judged alike, an empty table gives none, and a very long text is scored in pieces, whole.
     """
     added = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
     keep = [c for c in docs.columns if c not in added]
