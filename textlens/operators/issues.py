@@ -191,10 +191,15 @@ def verb_second(parsed: DataFrame) -> DataFrame:
     return g.where("subject <= 2 and verb > 3")
 
 
-def subclause_comma(parsed: DataFrame) -> DataFrame:
+#: Words that open a subclause. Fixed values.
+SUBJUNCTIONS = ("som", "fordi", "hvis", "når", "dersom", "mens")
+
+
+def subclause_comma(parsed: DataFrame, words: tuple[str, ...] = SUBJUNCTIONS) -> DataFrame:
+    """Words that open a subclause and don't follow a comma, unless they open the sentence."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("id")
     t = parsed.withColumn("_before", F.lag("form").over(w))
-    return t.where(F.lower("form").isin("som", "fordi", "hvis", "når", "dersom", "mens") & F.col("_before").isNotNull() & (F.col("_before") != ",")).select("doc_id", "sent_id", "id", "form")
+    return t.where(F.lower("form").isin(*words) & F.col("_before").isNotNull() & (F.col("_before") != ",")).select("doc_id", "sent_id", "id", "form")
 
 
 def mixed_tense(parsed: DataFrame) -> DataFrame:

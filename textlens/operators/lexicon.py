@@ -16,8 +16,8 @@ MAX_FUZZY_LENGTH = 30
 def build_word_forms(lemma: DataFrame, lemma_paradigm: DataFrame, paradigm: DataFrame, paradigm_inflection: DataFrame, inflections: DataFrame, compounds: DataFrame) -> DataFrame:
     """(form, lemma, word_class, tag): every lemma with the endings of its paradigms (`~` stands for the lemma), and compounds."""
     f = (
-        lemma.select("lemma_id", F.col("grunnform").alias("lemma")).join(lemma_paradigm, "lemma_id").join(F.broadcast(paradigm.select("paradigm_id", F.col("ordklasse").alias("word_class"))), "paradigm_id")
-        .join(F.broadcast(paradigm_inflection), "paradigm_id").join(F.broadcast(inflections.select("boy_nummer", "boy_tekst", F.col("ordbok_tekst").alias("tag"))), "boy_nummer")
+        lemma.select("lemma_id", F.col("grunnform").alias("lemma")).join(lemma_paradigm, "lemma_id").join(F.broadcast(checked_small(paradigm.select("paradigm_id", F.col("ordklasse").alias("word_class")))), "paradigm_id")
+        .join(F.broadcast(checked_small(paradigm_inflection)), "paradigm_id").join(F.broadcast(checked_small(inflections.select("boy_nummer", "boy_tekst", F.col("ordbok_tekst").alias("tag")))), "boy_nummer")
     )
     form = F.when(F.col("boy_tekst").contains("~"), F.replace("boy_tekst", F.lit("~"), F.col("lemma"))).otherwise(F.concat("lemma", "boy_tekst"))
     forms = f.select(F.lower(form).alias("form"), "lemma", "word_class", "tag")
@@ -67,10 +67,11 @@ def compound_parts(words: DataFrame, compounds: DataFrame) -> DataFrame:
 
 
 def inverted_index(forms: DataFrame, compounds: DataFrame) -> DataFrame:
-    """(kind, key, words): classes to words, lemmas to forms, components to compounds."""
+    """(kind, key, start, n, words): classes to words, lemmas to forms, components to compounds. A key's words are listed by their
+    first three letters, so that the list of a common key isn't one row."""
     c = compounds.select(F.lit("component").alias("kind"), F.explode(F.split("components", r"\+", -1)).alias("key"), F.col("word"))
     rows = forms.select(F.lit("class").alias("kind"), F.col("word_class").alias("key"), F.col("form").alias("word")).union(forms.select(F.lit("lemma"), "lemma", "form")).union(c)
-    return rows.distinct().groupBy("kind", "key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+    return rows.distinct().groupBy("kind", "key", F.substring("word", 1, 3).alias("start")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
 
 
 def word_complexity(forms: DataFrame, compounds: DataFrame) -> DataFrame:
@@ -177,11 +178,11 @@ def hyphenate_vocabulary(words: DataFrame, patterns: DataFrame, exceptions: Data
     n = F.char_length("word") + 2
     at = F.explode(F.sequence(F.lit(1), n))
     spans = v.select("word", dotted.alias("d"), n.alias("n"), at.alias("i")).select("word", "d", "i", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("i") + 1, F.lit(8)))).alias("k")).select("word", "i", F.substring("d", F.col("i"), F.col("k")).alias("pattern"))
-    levels = spans.join(F.broadcast(patterns), "pattern").groupBy("word", (F.col("i") + F.col("pos") - 2).alias("gap")).agg(F.max("level").alias("level"))
+    levels = spans.join(F.broadcast(checked_small(patterns)), "pattern").groupBy("word", (F.col("i") + F.col("pos") - 2).alias("gap")).agg(F.max("level").alias("level"))
     breaks = levels.where((F.col("level") % 2 == 1) & (F.col("gap") >= left_min) & (F.col("gap") <= F.char_length("word") - right_min)).groupBy("word").agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
     cut = F.aggregate("gaps", F.struct(F.lit("").alias("s"), F.lit(0).alias("p")), lambda a, g: F.struct(F.concat(a["s"], F.substring(F.col("word"), a["p"] + 1, g - a["p"]), F.lit("-")).alias("s"), g.cast("int").alias("p")), lambda a: F.concat(a["s"], F.substring(F.col("word"), a["p"] + 1, F.char_length("word"))))
     e = exceptions.select(F.col("word").alias("_w"), F.col("hyphenated").alias("_h"))
-    return v.join(breaks, "word", "left").join(F.broadcast(e), F.col("word") == F.col("_w"), "left").select("word", F.coalesce("_h", F.when(F.col("gaps").isNotNull(), cut), "word").alias("hyphenated"))
+    return v.join(breaks, "word", "left").join(e, F.col("word") == F.col("_w"), "left").select("word", F.coalesce("_h", F.when(F.col("gaps").isNotNull(), cut), "word").alias("hyphenated"))
 
 
 def valid_hyphen_parts(hyphenated: DataFrame, dictionary: DataFrame, special: DataFrame) -> DataFrame:

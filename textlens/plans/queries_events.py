@@ -139,25 +139,22 @@ def _(s, d):
     return fb.search_words(fb.suggestion_state(actions(s, d)), "approved", "en", "1").select("lang", "word", "status")
 
 
-OB = f"""ho AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {HOST} AS domain FROM pages)),
+OB = f"""ho AS (SELECT page_id AS i, {HOST} AS domain FROM pages), np AS (SELECT count(*) AS n FROM pages),
 ob AS (SELECT event_id, ts, domain, CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status_code, CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'ENOTFOUND' WHEN 1 THEN 'ETIMEDOUT' WHEN 2 THEN 'ECONNREFUSED' ELSE 'EOTHER' END END AS error_code,
- NOT (event_type = 'error' AND value > 50) AS is_registered FROM events JOIN ho ON event_id % n = i),
+ NOT (event_type = 'error' AND value > 50) AS is_registered FROM events CROSS JOIN np JOIN ho ON event_id % n = i),
 sd AS (SELECT *, coalesce(status_code < 500, false) AS is_up, CASE WHEN error_code = 'ENOTFOUND' THEN 'dns' WHEN error_code = 'ETIMEDOUT' THEN 'timeout' WHEN error_code = 'ECONNREFUSED' THEN 'refused' WHEN error_code IS NOT NULL THEN 'other' END AS failure FROM ob),
 ds AS (SELECT *, CASE WHEN is_up THEN true ELSE coalesce(is_registered, true) END AS registered FROM sd),
 chg AS (SELECT *, coalesce(lag(is_up) OVER w <> is_up OR lag(registered) OVER w <> registered, false) AS changed, coalesce(lag(registered) OVER w AND NOT registered, false) AS became_available FROM ds WINDOW w AS (PARTITION BY domain ORDER BY ts, event_id))"""
 
 
 def observations(s, d):
-    """Checks of the hosts of `pages`, dealt by event number; hosts are numbered by name (a small dimension)."""
-    from pyspark.sql import Window
-
-    hosts = table(s, d, "pages").select(tx.clean_host(F.col("url")).alias("domain")).distinct()
-    hosts = hosts.withColumns({"i": F.row_number().over(Window.orderBy("domain")) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    """Checks of the hosts of `pages`: each event checks the page of its number, modulo the number of pages."""
+    pages = table(s, d, "pages")
+    hosts = pages.select(F.col("page_id").alias("i"), tx.clean_host(F.col("url")).alias("domain"))
     e = table(s, d, "events")
     err = F.col("event_type") == "error"
     code = F.when(err, F.when(F.col("event_id") % 4 == 0, "ENOTFOUND").when(F.col("event_id") % 4 == 1, "ETIMEDOUT").when(F.col("event_id") % 4 == 2, "ECONNREFUSED").otherwise("EOTHER"))
-    n = F.broadcast(hosts.agg(F.count("*").alias("hosts")))
-    j = e.crossJoin(n).withColumn("i", F.col("event_id") % F.col("hosts")).join(F.broadcast(hosts.select("domain", F.col("i").cast("long").alias("i"))), "i")
+    j = e.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n")))).withColumn("i", F.col("event_id") % F.col("n")).join(hosts, "i")
     return j.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "domain", F.when(err, 503).otherwise(200).alias("status_code"), code.alias("error_code"), (~(err & (F.col("value") > 50))).alias("is_registered"))
 
 
@@ -175,15 +172,17 @@ def _(s, d):
     return dm.site_status(observations(s, d)).select("event_id", "is_up", "failure")
 
 
-WHOIS = Literal("domain string, json string, error string", (
-    ("a.no", '{"WhoisRecord":{"registrarName":"R1","expiresDate":"2025-01-02T00:00:00Z"}}', None), ("b.no", '{"registrar":{"name":"R2"},"expiration_date":"2026-03-04"}', None), ("c.no", '{"registered":false}', None),
-    ("d.no", '{"result":{"registered":true,"registrar":"R4","expires":"2027-05-06"}}', None), ("e.no", None, "timeout"), ("f.no", "{}", None),
-))
-
-
-@query("i2_registration", """SELECT * FROM (VALUES ('a.no', true, 'R1', DATE '2025-01-02'), ('b.no', true, 'R2', DATE '2026-03-04'), ('c.no', false, NULL, NULL), ('d.no', true, 'R4', DATE '2027-05-06'), ('e.no', true, NULL, NULL), ('f.no', false, NULL, NULL)) AS t(domain, is_registered, registrar, expires)""")
+# WHOIS answers of four shapes, a failure, and one that says nothing, by event
+@query("i2_registration", """SELECT 'd' || event_id || '.no' AS domain, CASE event_id % 6 WHEN 2 THEN false WHEN 5 THEN false ELSE true END AS is_registered, CASE WHEN event_id % 6 IN (0, 1, 3) THEN 'R' || user_id END AS registrar, CASE WHEN event_id % 6 IN (0, 1, 3) THEN ts::DATE END AS expires FROM events""")
 def _(s, d):
-    return dm.registration(WHOIS.df(s))
+    e = table(s, d, "events")
+    n, name, day = F.col("event_id") % 6, F.concat(F.lit("R"), F.col("user_id").cast("string")), F.date_format("ts", "yyyy-MM-dd")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    json = (
+        F.when(n == 0, said('{"WhoisRecord":{"registrarName":"', name, '","expiresDate":"', day, 'T00:00:00Z"}}')).when(n == 1, said('{"registrar":{"name":"', name, '"},"expiration_date":"', day, '"}'))
+        .when(n == 2, '{"registered":false}').when(n == 3, said('{"result":{"registered":true,"registrar":"', name, '","expires":"', day, '"}}')).when(n == 5, "{}")
+    )
+    return dm.registration(e.select(F.concat(F.lit("d"), F.col("event_id").cast("string"), F.lit(".no")).alias("domain"), json.alias("json"), F.when(n == 4, "timeout").alias("error")))
 
 
 @query("i3_domain_status", f"WITH {OB} SELECT event_id, domain, registered, CASE WHEN is_up THEN 'active' WHEN registered THEN 'registered, site down' ELSE 'available' END AS description FROM ds")
@@ -217,9 +216,10 @@ def _(s, d):
     return dm.upsert_registry(REG.df(s), dm.current_status(status(s, d))).drop("ts")
 
 
-@query("i7_active", f"WITH r AS ({REG.sql()}) SELECT lower(name) AS name FROM r WHERE is_active")
+@query("i7_active", f"WITH {OB}, r AS ({REG.sql()} UNION ALL SELECT DISTINCT upper(domain), NULL, length(domain) % 2 = 0 FROM ob) SELECT lower(name) AS name FROM r WHERE is_active")
 def _(s, d):
-    return dm.active_domains(REG.df(s))
+    seen = observations(s, d).select("domain").distinct().select(F.upper("domain"), F.lit(None).cast("string"), F.char_length("domain") % 2 == 0)
+    return dm.active_domains(REG.df(s).union(seen))
 
 
 @query("i7_add", f"WITH {OB}, r AS ({REG.sql()}) SELECT name, is_active FROM r UNION ALL SELECT DISTINCT domain, true FROM ob WHERE domain NOT IN (SELECT lower(name) FROM r)")

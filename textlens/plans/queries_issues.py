@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import issues as iss
@@ -210,43 +211,47 @@ def _(s, d):
     return odd.join(a, ["doc_id", "sent_id"], "left").select("doc_id", "sent_id", "share", F.when(F.col("_a"), "adjective-after-noun").otherwise("other").alias("hint"))
 
 
-PARSE = Literal("doc_id bigint, sent_id int, id int, form string, upos string, gender string, number string, tense string, head int, deprel string", (
-    (1, 0, 1, "Et", "DET", "Neut", "Sing", None, 2, "det"), (1, 0, 2, "bil", "NOUN", "Masc", "Sing", None, 3, "nsubj"), (1, 0, 3, "kjører", "VERB", None, "Sing", "Pres", 0, "root"), (1, 0, 4, "fordi", "SCONJ", None, None, None, 6, "mark"), (1, 0, 5, "de", "PRON", None, "Plur", None, 6, "nsubj"), (1, 0, 6, "spiste", "VERB", None, "Sing", "Past", 3, "advcl"),
-    (2, 0, 1, "En", "DET", "Masc", "Sing", None, 2, "det"), (2, 0, 2, "mann", "NOUN", "Masc", "Sing", None, 5, "nsubj"), (2, 0, 3, "i", "ADP", None, None, None, 4, "case"), (2, 0, 4, "huset", "NOUN", "Neut", "Sing", None, 2, "nmod"), (2, 0, 5, "leser", "VERB", None, "Sing", "Pres", 0, "root"), (2, 0, 6, ",", "PUNCT", None, None, None, 5, "punct"), (2, 0, 7, "som", "PRON", None, None, None, 5, "mark"),
-))
+# Parsed tokens: the tagged tokens of `documents`, each hanging on the next one of its sentence; features by the last letters.
+PS = SENTS + """, ps AS MATERIALIZED (SELECT doc_id, sent_id, id, form, pos AS upos, CASE WHEN pos IN ('DET', 'NOUN', 'PRON') THEN CASE WHEN right(lower, 1) IN ('e', 'a') THEN 'Fem' WHEN right(lower, 1) = 'n' THEN 'Masc' ELSE 'Neut' END END AS gender,
+ CASE WHEN right(lower, 1) = 's' THEN 'Plur' ELSE 'Sing' END AS number, CASE WHEN pos = 'VERB' THEN CASE WHEN right(lower, 2) = 'ed' THEN 'Past' ELSE 'Pres' END END AS tense,
+ CASE WHEN p1 IS NULL THEN 0 ELSE id + 1 END AS head, CASE WHEN p1 IS NULL THEN 'root' WHEN pos = 'DET' THEN 'det' WHEN pos IN ('NOUN', 'PRON') AND (p1 = 'VERB' OR id = 1) THEN 'nsubj' ELSE 'dep' END AS deprel FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id)::INT AS id FROM ld))"""
 
 
-def parsed(s):
-    p = PARSE.df(s)
-    return p.withColumn("feats", F.map_filter(F.create_map(F.lit("Gender"), "gender", F.lit("Number"), "number", F.lit("Tense"), "tense"), lambda k, v: v.isNotNull()))
-
-
-PS = f"ps AS ({PARSE.sql()})"
+def parsed(s, d):
+    w = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+    t = tagged_sentences(s, d).withColumns({"_next": F.lead("pos").over(w), "id": F.row_number().over(w)})
+    end = lambda n: F.right("lower", F.lit(n))
+    gender = F.when(F.col("pos").isin("DET", "NOUN", "PRON"), F.when(end(1).isin("e", "a"), "Fem").when(end(1) == "n", "Masc").otherwise("Neut"))
+    tense = F.when(F.col("pos") == "VERB", F.when(end(2) == "ed", "Past").otherwise("Pres"))
+    feats = F.map_filter(F.create_map(F.lit("Gender"), gender, F.lit("Number"), F.when(end(1) == "s", "Plur").otherwise("Sing"), F.lit("Tense"), tense), lambda k, v: v.isNotNull())
+    last = F.col("_next").isNull()
+    rel = F.when(last, "root").when(F.col("pos") == "DET", "det").when(F.col("pos").isin("NOUN", "PRON") & ((F.col("_next") == "VERB") | (F.col("id") == 1)), "nsubj").otherwise("dep")
+    return t.select("doc_id", "sent_id", "id", "form", F.col("pos").alias("upos"), feats.alias("feats"), F.when(last, 0).otherwise(F.col("id") + 1).alias("head"), rel.alias("deprel"))
 
 
 @query("f13a_determiner", f"WITH {PS} SELECT a.doc_id, a.sent_id, a.id, a.form || ' ' || h.form AS issue FROM ps a JOIN ps h ON a.doc_id = h.doc_id AND a.sent_id = h.sent_id AND a.head = h.id WHERE a.deprel = 'det' AND h.upos = 'NOUN' AND (a.gender <> h.gender OR a.number <> h.number)")
 def _(s, d):
-    return iss.determiner_agreement(parsed(s))
+    return iss.determiner_agreement(parsed(s, d))
 
 
 @query("f13b_subject_verb", f"WITH {PS} SELECT a.doc_id, a.sent_id, a.id, a.form || ' ' || h.form AS issue FROM ps a JOIN ps h ON a.doc_id = h.doc_id AND a.sent_id = h.sent_id AND a.head = h.id WHERE a.deprel = 'nsubj' AND h.upos = 'VERB' AND a.number <> h.number")
 def _(s, d):
-    return iss.subject_verb_agreement(parsed(s))
+    return iss.subject_verb_agreement(parsed(s, d))
 
 
 @query("f13c_verb_second", f"WITH {PS}, g AS (SELECT doc_id, sent_id, min(CASE WHEN upos = 'VERB' THEN id END) AS verb, min(CASE WHEN deprel = 'nsubj' THEN id END) AS subject FROM ps GROUP BY ALL) SELECT * FROM g WHERE subject <= 2 AND verb > 3")
 def _(s, d):
-    return iss.verb_second(parsed(s))
+    return iss.verb_second(parsed(s, d))
 
 
-@query("f13d_subclause_comma", f"WITH {PS}, b AS (SELECT *, lag(form) OVER (PARTITION BY doc_id, sent_id ORDER BY id) AS b FROM ps) SELECT doc_id, sent_id, id, form FROM b WHERE lower(form) IN ('som', 'fordi', 'hvis', 'når', 'dersom', 'mens') AND b <> ','")
+@query("f13d_subclause_comma", f"WITH {PS}, b AS (SELECT *, lag(form) OVER (PARTITION BY doc_id, sent_id ORDER BY id) AS b FROM ps) SELECT doc_id, sent_id, id, form FROM b WHERE lower(form) IN ('som', 'fordi', 'hvis', 'når', 'dersom', 'mens', 'that', 'que', 'dass', 'les') AND b <> ','")
 def _(s, d):
-    return iss.subclause_comma(parsed(s))
+    return iss.subclause_comma(parsed(s, d), (*iss.SUBJUNCTIONS, "that", "que", "dass", "les"))
 
 
 @query("f13e_mixed_tense", f"WITH {PS} SELECT doc_id, sent_id, string_agg(DISTINCT tense, ',' ORDER BY tense) AS tenses FROM ps WHERE upos = 'VERB' GROUP BY ALL HAVING count(DISTINCT tense) > 1")
 def _(s, d):
-    return iss.mixed_tense(parsed(s))
+    return iss.mixed_tense(parsed(s, d))
 
 
 ALL_RULES = Literal(RULE, tuple(r for name in ("f1a_spacing", "f1b_repeats", "f1d_blanks", "f1f_prepositions", "f1h_grammar", "f1i_words") for r in RULES[name]))
@@ -268,13 +273,19 @@ def _(s, d):
 BASE = Literal("type string, base double", (("spelling", 0.9), ("grammar", 0.7), ("style", 0.4)))
 FACTORS = Literal("factor string, delta double", (("proper_noun", -0.2), ("user_trusted", 0.1), ("short_text", -0.1), ("seen_before", 0.3)))
 RATES = Literal("type string, rate double", (("spelling", 0.9), ("style", 0.1)))
-SCORED = Literal("issue_id int, type string, factors array<string>", ((1, "spelling", ("user_trusted", "seen_before")), (2, "grammar", ("proper_noun",)), (3, "style", ("short_text", "unknown")), (4, "other", ()), (5, "style", ("seen_before",))))
+SCORED = "SELECT event_id AS issue_id, CASE event_type WHEN 'view' THEN 'spelling' WHEN 'click' THEN 'grammar' WHEN 'error' THEN 'style' ELSE 'other' END AS type, list_filter([CASE WHEN user_id % 2 = 0 THEN 'user_trusted' END, CASE WHEN value > 40 THEN 'seen_before' END, CASE WHEN value < 5 THEN 'short_text' END, CASE WHEN event_id % 3 = 0 THEN 'unknown' END], lambda x: x IS NOT NULL) AS factors FROM events"
+
 
+def scored(s, d):
+    kind = F.when(F.col("event_type") == "view", "spelling").when(F.col("event_type") == "click", "grammar").when(F.col("event_type") == "error", "style").otherwise("other")
+    factors = F.array_compact(F.array(F.when(F.col("user_id") % 2 == 0, "user_trusted"), F.when(F.col("value") > 40, "seen_before"), F.when(F.col("value") < 5, "short_text"), F.when(F.col("event_id") % 3 == 0, "unknown")))
+    return table(s, d, "events").select(F.col("event_id").alias("issue_id"), kind.alias("type"), factors.alias("factors"))
 
-@query("f15_confidence", f"""WITH i AS ({SCORED.sql()}), b AS ({BASE.sql()}), f AS ({FACTORS.sql()}), a AS ({RATES.sql()}), u AS (SELECT issue_id, unnest(factors) AS factor FROM i), s AS (SELECT issue_id, sum(delta) AS d FROM u JOIN f USING (factor) GROUP BY 1)
+
+@query("f15_confidence", f"""WITH i AS ({SCORED}), b AS ({BASE.sql()}), f AS ({FACTORS.sql()}), a AS ({RATES.sql()}), u AS (SELECT issue_id, unnest(factors) AS factor FROM i), s AS (SELECT issue_id, sum(delta) AS d FROM u JOIN f USING (factor) GROUP BY 1)
 SELECT issue_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(base, 0.5) + coalesce(d, 0) + coalesce((rate - 0.5) * 0.2, 0))) AS confidence FROM i LEFT JOIN b USING (type) LEFT JOIN a USING (type) LEFT JOIN s USING (issue_id)""")
 def _(s, d):
-    return iss.score_confidence(SCORED.df(s), BASE.df(s), FACTORS.df(s), RATES.df(s))
+    return iss.score_confidence(scored(s, d), BASE.df(s), FACTORS.df(s), RATES.df(s))
 
 
 @query("f16_display", f"WITH {MERGED} SELECT doc_id, type, start, CASE WHEN confidence >= 0.8 THEN 'show' WHEN confidence >= 0.6 THEN 'suggest' WHEN confidence >= 0.4 THEN 'verify' ELSE 'hide' END AS decision FROM mg")
@@ -307,12 +318,17 @@ def _(s, d):
     return iss.merge_with_model_issues(x.where("start % 5 <> 0"), model.union(more))
 
 
-MODEL_JSON = Literal("doc_id int, json string", ((1, '[{"type":"spelling","issue":"hei","suggestion":"Hei","confidence":0.9},{"type":"x"}]'), (2, "not json"), (3, '[{"type":"style","issue":"a","severity":"low"}]'), (4, "[]"), (5, None)))
-
-
-@query("f20_model_issues", "SELECT * FROM (VALUES (1, 'spelling', 'hei', 'Hei', 'medium', 0.9::DOUBLE), (3, 'style', 'a', NULL, 'low', 0.7::DOUBLE)) AS t(doc_id, type, issue, suggestion, severity, confidence)")
+# answers of a model: a list with a whole and a poor entry, one without issue, one that isn't JSON, an empty one, none
+@query("f20_model_issues", """SELECT event_id AS doc_id, event_type AS type, 'w' || user_id AS issue, CASE WHEN event_id % 6 = 0 THEN 's' || user_id END AS suggestion, CASE WHEN event_id % 6 = 1 THEN 'low' ELSE 'medium' END AS severity, CASE WHEN event_id % 6 = 0 THEN (user_id % 10) / 10::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM events WHERE event_id % 6 IN (0, 1)
+UNION ALL SELECT event_id, 'style', props, NULL, 'medium', 0.7::DOUBLE FROM (SELECT event_id, replace(props, '"', '') AS props FROM events WHERE event_id % 6 = 0)""")
 def _(s, d):
-    return iss.parse_model_issues(MODEL_JSON.df(s))
+    quoted = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    n, user, kind = F.col("event_id") % 6, F.col("user_id"), F.col("event_type")
+    json = (
+        F.when(n == 0, quoted('[{"type":"', kind, '","issue":"w', user, '","suggestion":"s', user, '","confidence":', (user % 10) / 10, '},{"type":"style","issue":"', F.replace("props", F.lit('"'), F.lit("")), '"}]'))
+        .when(n == 1, quoted('[{"type":"', kind, '","issue":"w', user, '","severity":"low"}]')).when(n == 2, quoted('[{"type":"', kind, '"}]')).when(n == 3, "not json").when(n == 4, "[]")
+    )
+    return iss.parse_model_issues(table(s, d, "events").select(F.col("event_id").alias("doc_id"), json.alias("json")))
 
 
 @query("f21_common_errors", f"WITH {MERGED} SELECT issue AS wrong, suggestion AS correct, count(*) AS n FROM mg WHERE suggestion IS NOT NULL GROUP BY ALL ORDER BY n DESC, wrong, correct LIMIT 20")

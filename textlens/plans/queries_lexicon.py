@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as lx
@@ -23,33 +24,65 @@ COMPOUNDS = Literal("word string, components string", (("bokhylle", "bok+hylle")
 FORMS = f"""fm AS (WITH l AS ({LEMMA.sql()}), lp AS ({LEMMA_PARADIGM.sql()}), p AS ({PARADIGM.sql()}), pi AS ({PARADIGM_INFLECTION.sql()}), i AS ({INFLECTIONS.sql()}), c AS ({COMPOUNDS.sql()})
  SELECT DISTINCT lower(CASE WHEN contains(boy_tekst, '~') THEN replace(boy_tekst, '~', grunnform) ELSE grunnform || boy_tekst END) AS form, grunnform AS lemma, ordklasse AS word_class, ordbok_tekst AS tag
  FROM l JOIN lp USING (lemma_id) JOIN p USING (paradigm_id) JOIN pi USING (paradigm_id) JOIN i USING (boy_nummer) UNION SELECT lower(word), word, 'compound', '' FROM c), cp AS ({COMPOUNDS.sql()})"""
-WORDS = Literal("word string", tuple((w,) for w in ("bil", "Bilen", "boka", "boken", "hus", "huset", "spiser", "spiserx", "ukjent", "bokhylle", "storbilhus", "color", "flavour", "fjor", "gas", "a'b")))
-WS = f"ws AS ({WORDS.sql()})"
 
 
 def forms(s):
     return lx.build_word_forms(LEMMA.df(s), LEMMA_PARADIGM.df(s), PARADIGM.df(s), PARADIGM_INFLECTION.df(s), INFLECTIONS.df(s), COMPOUNDS.df(s))
 
 
-@query("d1_word_forms", f"WITH {FORMS} SELECT * FROM fm")
+COUNTS = TOK.replace("tk AS (", "tk AS MATERIALIZED (", 1) + ", wc AS MATERIALIZED (SELECT lower AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tk GROUP BY 1)"
+
+
+def counts(s, d):
+    """(word, n, docs) of the vocabulary; kept, as one query reads it several times."""
+    return op.tokenize(docs(s, d)).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).persist()
+
+
+# A lexicon made of the vocabulary: its words of more than one document, with paradigms by their last letter, and compounds of
+# two halves. The words to look up are all spellings in `documents`.
+VOCABULARY_PARADIGMS = Literal("last string, paradigm_id string", tuple((c, p) for c, ps in (("n", ("m1", "f1")), ("t", ("m1",)), ("s", ("m1", "n1")), ("e", ("f1",)), ("a", ("f1",)), ("d", ("v1",)), ("r", ("v1", "a1")), ("g", ("n1",)), ("h", ("n1",)), ("y", ("a1",))) for p in ps))
+VOCABULARY_FORMS = COUNTS + f""", lm AS MATERIALIZED (SELECT word AS lemma_id, word AS grunnform FROM wc WHERE docs > 1), lpd AS (SELECT word AS lemma_id, paradigm_id FROM wc JOIN ({VOCABULARY_PARADIGMS.sql()}) ON right(word, 1) = last),
+pd AS ({PARADIGM.sql()}), pid AS ({PARADIGM_INFLECTION.sql()}), ind AS ({INFLECTIONS.sql()}),
+cp AS MATERIALIZED (SELECT word, substr(word, 1, length(word) // 2) || '+' || substr(word, length(word) // 2 + 1) AS components FROM wc WHERE length(word) >= 10),
+fm AS MATERIALIZED (SELECT DISTINCT lower(CASE WHEN contains(boy_tekst, '~') THEN replace(boy_tekst, '~', grunnform) ELSE grunnform || boy_tekst END) AS form, grunnform AS lemma, ordklasse AS word_class, ordbok_tekst AS tag
+ FROM lm JOIN lpd USING (lemma_id) JOIN pd USING (paradigm_id) JOIN pid USING (paradigm_id) JOIN ind USING (boy_nummer) UNION SELECT lower(word), word, 'compound', '' FROM cp)"""
+SPELLED = "ws AS (SELECT DISTINCT form AS word FROM tk)"
+
+
+def compounds(c):
+    half = F.floor(F.char_length("word") / 2).cast("int")
+    return c.where(F.char_length("word") >= 10).select("word", F.concat(F.substring("word", F.lit(1), half), F.lit("+"), F.substring("word", half + 1, F.char_length("word"))).alias("components"))
+
+
+def vocabulary_forms(s, c):
+    lemma = c.where("docs > 1").select(F.col("word").alias("lemma_id"), F.col("word").alias("grunnform"))
+    paradigms = c.join(F.broadcast(VOCABULARY_PARADIGMS.df(s)), F.right("word", F.lit(1)) == F.col("last")).select(F.col("word").alias("lemma_id"), "paradigm_id")
+    return lx.build_word_forms(lemma, paradigms, PARADIGM.df(s), PARADIGM_INFLECTION.df(s), INFLECTIONS.df(s), compounds(c)).persist()
+
+
+def spelled(s, d):
+    return op.tokenize(docs(s, d)).select(F.col("form").alias("word")).distinct()
+
+
+@query("d1_word_forms", f"WITH {VOCABULARY_FORMS} SELECT * FROM fm")
 def _(s, d):
-    return forms(s)
+    return vocabulary_forms(s, counts(s, d))
 
 
-@query("d2_lookup", f"""WITH {FORMS}, {WS}, k AS (SELECT form, string_agg(DISTINCT lemma, ',' ORDER BY lemma) AS l, string_agg(DISTINCT word_class, ',' ORDER BY word_class) AS c FROM fm GROUP BY 1)
+@query("d2_lookup", f"""WITH {VOCABULARY_FORMS}, {SPELLED}, k AS (SELECT form, string_agg(DISTINCT lemma, ',' ORDER BY lemma) AS l, string_agg(DISTINCT word_class, ',' ORDER BY word_class) AS c FROM fm GROUP BY 1)
 SELECT word, coalesce(a.l, b.l) AS lemmas, coalesce(a.c, b.c) AS classes FROM ws LEFT JOIN k a ON lower(word) = a.form LEFT JOIN k b ON substr(lower(word), 1, length(word) - 1) = b.form""")
 def _(s, d):
-    return lx.lookup(WORDS.df(s), forms(s))
+    return lx.lookup(spelled(s, d), vocabulary_forms(s, counts(s, d)))
 
 
-@query("d3_existing", f"WITH {FORMS}, {WS} SELECT word FROM ws WHERE lower(word) IN (SELECT form FROM fm)")
+@query("d3_existing", f"WITH {VOCABULARY_FORMS}, {SPELLED} SELECT word FROM ws WHERE lower(word) IN (SELECT form FROM fm)")
 def _(s, d):
-    return lx.existing(WORDS.df(s), forms(s))
+    return lx.existing(spelled(s, d), vocabulary_forms(s, counts(s, d)))
 
 
-@query("d3_missing", f"WITH {FORMS}, {WS} SELECT word FROM ws WHERE lower(word) NOT IN (SELECT form FROM fm)")
+@query("d3_missing", f"WITH {VOCABULARY_FORMS}, {SPELLED} SELECT word FROM ws WHERE lower(word) NOT IN (SELECT form FROM fm)")
 def _(s, d):
-    return lx.missing(WORDS.df(s), forms(s))
+    return lx.missing(spelled(s, d), vocabulary_forms(s, counts(s, d)))
 
 
 def _read(pairs: dict[str, str]) -> str:
@@ -60,46 +93,41 @@ PARSED = f"""pt AS (SELECT *, {_read({'ent': 'sing', 'fl': 'plur'})} AS number,
  {_read({'pres': 'present', 'pret': 'past', 'inf': 'infinitive', 'perf-part': 'perfect', 'imp': 'imperative'})} AS tense, {_read({'pos': 'positive', 'komp': 'comparative', 'sup': 'superlative'})} AS degree FROM fm)"""
 
 
-@query("d4_parse_tags", f"WITH {FORMS}, {PARSED} SELECT * FROM pt")
+@query("d4_parse_tags", f"WITH {VOCABULARY_FORMS}, {PARSED} SELECT * FROM pt")
 def _(s, d):
-    return lx.parse_tags(forms(s))
+    return lx.parse_tags(vocabulary_forms(s, counts(s, d)))
 
 
-@query("d5_noun_gender", f"WITH {FORMS}, {PARSED}, {WS}, g AS (SELECT form, min(gender) AS gender FROM pt WHERE word_class = 'NOUN' AND gender IS NOT NULL GROUP BY 1) SELECT word, gender FROM ws LEFT JOIN g ON lower(word) = form")
+@query("d5_noun_gender", f"WITH {VOCABULARY_FORMS}, {PARSED}, {SPELLED}, g AS (SELECT form, min(gender) AS gender FROM pt WHERE word_class = 'NOUN' AND gender IS NOT NULL GROUP BY 1) SELECT word, gender FROM ws LEFT JOIN g ON lower(word) = form")
 def _(s, d):
-    return lx.noun_gender(WORDS.df(s), forms(s))
+    return lx.noun_gender(spelled(s, d), vocabulary_forms(s, counts(s, d)))
 
 
-@query("d6_compound_parts", f"WITH {FORMS}, {WS} SELECT ws.word, (unnest(range(len(string_split(components, '+')))))::INT AS n, unnest(string_split(components, '+')) AS part FROM ws JOIN cp ON lower(ws.word) = lower(cp.word)")
+@query("d6_compound_parts", f"WITH {VOCABULARY_FORMS}, {SPELLED} SELECT ws.word, (unnest(range(len(string_split(components, '+')))))::INT AS n, unnest(string_split(components, '+')) AS part FROM ws JOIN cp ON lower(ws.word) = lower(cp.word)")
 def _(s, d):
-    return lx.compound_parts(WORDS.df(s), COMPOUNDS.df(s))
+    return lx.compound_parts(spelled(s, d), compounds(counts(s, d)))
 
 
-@query("d7_inverted_index", f"""WITH {FORMS}, r AS (SELECT 'class' AS kind, word_class AS key, form AS word FROM fm UNION SELECT 'lemma', lemma, form FROM fm UNION SELECT 'component', unnest(string_split(components, '+')), word FROM cp)
-SELECT kind, key, count(*) AS n, string_agg(word, ',' ORDER BY word) AS words FROM r GROUP BY ALL""")
+@query("d7_inverted_index", f"""WITH {VOCABULARY_FORMS}, r AS (SELECT 'class' AS kind, word_class AS key, form AS word FROM fm UNION SELECT 'lemma', lemma, form FROM fm UNION SELECT 'component', unnest(string_split(components, '+')), word FROM cp)
+SELECT kind, key, substr(word, 1, 3) AS start, count(*) AS n, string_agg(word, ',' ORDER BY word) AS words FROM r GROUP BY ALL""")
 def _(s, d):
-    return lx.inverted_index(forms(s), COMPOUNDS.df(s))
+    c = counts(s, d)
+    return lx.inverted_index(vocabulary_forms(s, c), compounds(c))
 
 
-@query("d8_word_complexity", f"""WITH {FORMS}, g AS (SELECT form, count(DISTINCT word_class) AS k, max((word_class = 'VERB')::INT) AS v FROM fm GROUP BY 1), p AS (SELECT lower(word) AS form, max(len(string_split(components, '+'))) AS p FROM cp GROUP BY 1)
+@query("d8_word_complexity", f"""WITH {VOCABULARY_FORMS}, g AS (SELECT form, count(DISTINCT word_class) AS k, max((word_class = 'VERB')::INT) AS v FROM fm GROUP BY 1), p AS (SELECT lower(word) AS form, max(len(string_split(components, '+'))) AS p FROM cp GROUP BY 1)
 SELECT form AS word, least(1.0::DOUBLE, least(length(form) / 20.0::DOUBLE, 0.5::DOUBLE) + CASE WHEN coalesce(p, 1) > 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN k > 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN v = 1 THEN 0.1::DOUBLE ELSE 0 END) AS complexity FROM g LEFT JOIN p USING (form)""")
 def _(s, d):
-    return lx.word_complexity(forms(s), COMPOUNDS.df(s))
+    c = counts(s, d)
+    return lx.word_complexity(vocabulary_forms(s, c), compounds(c))
 
 
 AFFIXES = Literal("kind string, affix string", (("prefix", "stor"), ("prefix", "bok"), ("suffix", "hus"), ("suffix", "en"), ("suffix", "et"), ("suffix", "er")))
 
 
-@query("d9_derivations", f"WITH {FORMS}, {WS}, a AS ({AFFIXES.sql()}), m AS (SELECT word, affix, CASE WHEN kind = 'prefix' THEN affix || word ELSE word || affix END AS derived FROM ws, a) SELECT * FROM m WHERE derived IN (SELECT form FROM fm)")
+@query("d9_derivations", f"WITH {VOCABULARY_FORMS}, {SPELLED}, a AS ({AFFIXES.sql()}), m AS (SELECT word, affix, CASE WHEN kind = 'prefix' THEN affix || word ELSE word || affix END AS derived FROM ws, a) SELECT * FROM m WHERE derived IN (SELECT form FROM fm)")
 def _(s, d):
-    return lx.derivations(WORDS.df(s), forms(s), AFFIXES.df(s))
-
-
-COUNTS = TOK + ", wc AS (SELECT lower AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tk GROUP BY 1)"
-
-
-def counts(s, d):
-    return op.tokenize(docs(s, d)).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return lx.derivations(spelled(s, d), vocabulary_forms(s, counts(s, d)), AFFIXES.df(s))
 
 
 @query("d10_word_frequencies", f"WITH {COUNTS} SELECT word, n FROM wc WHERE length(word) >= 2")
@@ -124,9 +152,11 @@ def _(s, d):
 EDGES = Literal("dialect string, word string, synonym string", (("nb", "bil", "kjøretøy"), ("nn", "bil", "køyretøy"), ("nb", "Hus", "bolig"), ("nb", "hus", "bo�lig"), ("nn", "hus", "�")))
 
 
-@query("d12_synonyms", f"WITH {WS}, e AS (SELECT DISTINCT lower(word) AS w, replace(synonym, chr(65533), '') AS synonym FROM ({EDGES.sql()})) SELECT DISTINCT word, synonym FROM ws JOIN e ON lower(word) = w WHERE synonym <> ''")
+@query("d12_synonyms", f"WITH {COUNTS}, {SPELLED}, e AS (SELECT DISTINCT lower(word) AS w, replace(synonym, chr(65533), '') AS synonym FROM (SELECT word, substr(word, 3) || chr(65533) AS synonym FROM wc UNION ALL SELECT word, synonym FROM ({EDGES.sql()}))) SELECT DISTINCT word, synonym FROM ws JOIN e ON lower(word) = w WHERE synonym <> ''")
 def _(s, d):
-    return lx.synonyms(WORDS.df(s), EDGES.df(s))
+    # every word with its end as a synonym, with the mark of a broken character
+    edges = counts(s, d).select("word", F.concat(F.expr("substr(word, 3)"), F.lit("\ufffd")).alias("synonym")).union(EDGES.df(s).select("word", "synonym"))
+    return lx.synonyms(spelled(s, d), edges)
 
 
 @query("d13_category_mates", f"WITH {COUNTS}, x AS ({tb.LEXICON.sql()}) SELECT DISTINCT wc.word, b.word AS mate FROM wc JOIN x a ON wc.word = a.word JOIN x b ON a.category = b.category AND a.word <> b.word")
@@ -143,10 +173,10 @@ def lev(a: str, b: str) -> str:
 RARE, COMMON = "docs = 1 AND length(word) BETWEEN 4 AND 12", "docs >= 20 AND length(word) >= 3"
 
 
-@query("d14_fuzzy_candidates", f"""WITH {COUNTS}, r AS (SELECT word FROM wc WHERE {RARE} OR docs = 25), v AS (SELECT word AS candidate FROM wc WHERE {COMMON}),
-n AS (SELECT r.word, candidate, {lev('r.word', 'candidate')} AS distance FROM r JOIN v ON substr(r.word, 1, 3) = substr(candidate, 1, 3) AND abs(length(r.word) - length(candidate)) <= 2 WHERE r.word NOT IN (SELECT candidate FROM v)),
+@query("d14_fuzzy_candidates", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT word FROM wc WHERE {RARE} OR docs = 25), v AS MATERIALIZED (SELECT word AS candidate FROM wc WHERE {COMMON}),
+n AS MATERIALIZED (SELECT r.word, candidate, {lev('r.word', 'candidate')} AS distance FROM (SELECT word, substr(word, 1, 3) AS p FROM r ANTI JOIN v ON word = candidate) r JOIN (SELECT candidate, substr(candidate, 1, 3) AS p FROM v) v USING (p) WHERE abs(length(r.word) - length(candidate)) <= 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, candidate) AS k FROM n WHERE distance <= 2)
-SELECT word, candidate, distance::INT AS distance FROM k WHERE k <= 5 UNION ALL SELECT word, word, 0 FROM r WHERE word IN (SELECT candidate FROM v)""")
+SELECT word, candidate, distance::INT AS distance FROM k WHERE k <= 5 UNION ALL SELECT word, word, 0 FROM r SEMI JOIN v ON word = candidate""")
 def _(s, d):
     c = counts(s, d)
     return lx.fuzzy_candidates(c.where(f"({RARE}) or docs = 25").select("word"), c.where(COMMON).select("word"))
@@ -162,40 +192,41 @@ def _(s, d):
 SWAPS = Literal("a string, b string", (("a", "e"), ("o", "u"), ("i", "a")))
 
 
-@query("d16_letter_variants", f"""WITH {COUNTS}, p AS (SELECT a, b FROM ({SWAPS.sql()}) UNION ALL SELECT b, a FROM ({SWAPS.sql()})), r AS (SELECT word FROM wc WHERE docs BETWEEN 10 AND 40),
+@query("d16_letter_variants", f"""WITH {COUNTS}, p AS (SELECT a, b FROM ({SWAPS.sql()}) UNION ALL SELECT b, a FROM ({SWAPS.sql()})), r AS (SELECT word FROM wc),
 l AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM r), m AS (SELECT word, substr(word, 1, i - 1) || b || substr(word, i + 1) AS variant FROM l JOIN p ON substr(word, i, 1) = a)
-SELECT DISTINCT word, variant FROM m WHERE variant IN (SELECT word FROM wc WHERE docs >= 5)""")
+SELECT DISTINCT word, variant FROM m WHERE variant IN (SELECT word FROM wc)""")
 def _(s, d):
     c = counts(s, d)
-    return lx.letter_variants(c.where("docs between 10 and 40").select("word"), c.where("docs >= 5").select("word"), SWAPS.df(s))
+    return lx.letter_variants(c.select("word"), c.select("word"), SWAPS.df(s))
 
 
 SPELLINGS = Literal("a string, b string", (("colour", "color"), ("flavour", "flavor"), ("grey", "gray")))
 
 
-@query("d17_spelling_variants", f"WITH {WS}, p AS ({SPELLINGS.sql()}), b AS (SELECT a AS w, b AS variant FROM p UNION ALL SELECT b, a FROM p) SELECT DISTINCT word, variant FROM ws JOIN b ON lower(word) = w")
+@query("d17_spelling_variants", f"WITH {COUNTS}, {SPELLED}, p AS ({SPELLINGS.sql()} UNION ALL SELECT word, replace(word, 'th', 't') FROM wc WHERE contains(word, 'th')), b AS (SELECT a AS w, b AS variant FROM p UNION ALL SELECT b, a FROM p) SELECT DISTINCT word, variant FROM ws JOIN b ON lower(word) = w")
 def _(s, d):
-    return lx.spelling_variants(WORDS.df(s), SPELLINGS.df(s))
+    pairs = counts(s, d).where(F.contains("word", F.lit("th"))).select("word", F.replace("word", F.lit("th"), F.lit("t")))
+    return lx.spelling_variants(spelled(s, d), SPELLINGS.df(s).union(pairs))
 
 
-@query("d18_merge_vocabularies", f"WITH {COUNTS}, e AS ({EDGES.sql()}) SELECT lower(word) AS word FROM e WHERE dialect IN ('nb') UNION SELECT word FROM wc WHERE docs >= 100")
+@query("d18_merge_vocabularies", f"WITH {COUNTS}, e AS ({EDGES.sql()}) SELECT lower(word) AS word FROM e WHERE dialect IN ('nb') UNION SELECT word FROM wc")
 def _(s, d):
-    sources = EDGES.df(s).select("dialect", "word").union(counts(s, d).where("docs >= 100").select(F.lit("nb"), "word")).union(s.createDataFrame([("xx", "off")], "dialect string, word string"))
+    sources = EDGES.df(s).select("dialect", "word").union(counts(s, d).select(F.lit("nb"), "word")).union(s.createDataFrame([("xx", "off")], "dialect string, word string"))
     return lx.merge_vocabularies(sources, ["nb"])
 
 
 PATTERNS = Literal("pattern string, pos int, level int", (("th", 3, 1), ("er", 1, 1), ("er", 3, 2), ("ion", 1, 3), (".an", 4, 1), ("ent", 2, 1), ("ch", 3, 1), ("hs", 2, 3)))
 EXCEPTIONS = Literal("word string, hyphenated string", (("there", "the-re"), ("under", "un-der")))
-HYPHEN = COUNTS + f""", v AS (SELECT word FROM wc WHERE docs >= 30), pa AS ({PATTERNS.sql()}), ex AS ({EXCEPTIONS.sql()}),
+HYPHEN = COUNTS + f""", v AS MATERIALIZED (SELECT word FROM wc), pa AS ({PATTERNS.sql()}), ex AS ({EXCEPTIONS.sql()}),
 sp AS (SELECT word, i, substr('.' || word || '.', i, k) AS pattern FROM (SELECT word, i, unnest(range(1, least(length(word) + 2 - i + 1, 8) + 1)) AS k FROM (SELECT word, unnest(range(1, length(word) + 3)) AS i FROM v))),
-lv AS (SELECT word, i + pos - 2 AS gap, max(level) AS level FROM sp JOIN pa USING (pattern) GROUP BY ALL),
+lv AS MATERIALIZED (SELECT word, i + pos - 2 AS gap, max(level) AS level FROM sp JOIN pa USING (pattern) GROUP BY ALL),
 br AS (SELECT word, list(gap ORDER BY gap) AS g FROM lv WHERE level % 2 = 1 AND gap >= 2 AND gap <= length(word) - 2 GROUP BY 1),
-hy AS (SELECT v.word, coalesce(ex.hyphenated, CASE WHEN g IS NOT NULL THEN array_to_string(list_transform(range(0, len(g) + 1), lambda j: substr(v.word, 1 + CASE WHEN j = 0 THEN 0 ELSE g[j] END, CASE WHEN j = len(g) THEN 1000 ELSE g[j + 1] - CASE WHEN j = 0 THEN 0 ELSE g[j] END END)), '-') END, v.word) AS hyphenated
+hy AS MATERIALIZED (SELECT v.word, coalesce(ex.hyphenated, CASE WHEN g IS NOT NULL THEN array_to_string(list_transform(range(0, len(g) + 1), lambda j: substr(v.word, 1 + CASE WHEN j = 0 THEN 0 ELSE g[j] END, CASE WHEN j = len(g) THEN 1000 ELSE g[j + 1] - CASE WHEN j = 0 THEN 0 ELSE g[j] END END)), '-') END, v.word) AS hyphenated
  FROM v LEFT JOIN br USING (word) LEFT JOIN ex USING (word))"""
 
 
 def hyphenated(s, d):
-    return lx.hyphenate_vocabulary(counts(s, d).where("docs >= 30").select("word"), PATTERNS.df(s), EXCEPTIONS.df(s))
+    return lx.hyphenate_vocabulary(counts(s, d).select("word"), PATTERNS.df(s), EXCEPTIONS.df(s))
 
 
 @query("d19_hyphenate", f"WITH {HYPHEN} SELECT * FROM hy")
@@ -203,9 +234,9 @@ def _(s, d):
     return hyphenated(s, d)
 
 
-@query("d20_hyphen_parts", f"WITH {HYPHEN}, p AS (SELECT DISTINCT word, unnest(string_split(hyphenated, '-')) AS part FROM hy) SELECT word, part FROM p WHERE length(part) > 1 AND part IN (SELECT word FROM wc WHERE docs >= 5) AND part NOT IN ('the', 'en')")
+@query("d20_hyphen_parts", f"WITH {HYPHEN}, p AS (SELECT DISTINCT word, unnest(string_split(hyphenated, '-')) AS part FROM hy) SELECT word, part FROM p WHERE length(part) > 1 AND part IN (SELECT word FROM wc) AND part NOT IN ('the', 'en')")
 def _(s, d):
-    return lx.valid_hyphen_parts(hyphenated(s, d), counts(s, d).where("docs >= 5").select("word"), s.createDataFrame([("the",), ("en",)], "word string"))
+    return lx.valid_hyphen_parts(hyphenated(s, d), counts(s, d).select("word"), s.createDataFrame([("the",), ("en",)], "word string"))
 
 
 SENTS = TAGGED + """, sg AS (SELECT *, coalesce(sum((form IN ('.', '!', '?'))::INT) OVER (PARTITION BY doc_id ORDER BY tok_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sent_id FROM tg),
@@ -230,12 +261,13 @@ def _(s, d):
     return lx.score_pos_sequence(t, lx.pos_ngrams(t.where("doc_id % 2 = 0")).where("n >= 1000"))
 
 
-DEPS = Literal("sent_id int, dep string, gov string, rel string", ((0, "bil", "kjører", "nsubj"), (0, "Hus", "bor", "obl"), (1, "bil", "eier", "obj"), (2, "boka", "leser", "obj")))
-
-
-@query("d23_word_relations", f"WITH {WS}, p AS ({DEPS.sql()}) SELECT word, gov, rel, sent_id FROM ws JOIN p ON lower(word) = lower(dep)")
+@query("d23_word_relations", f"WITH {SENTS}, p AS (SELECT * FROM (SELECT doc_id * 100000 + sent_id AS sent_id, form AS dep, lead(form) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS gov, lower(pos) AS rel FROM sg) WHERE gov IS NOT NULL), w AS (SELECT DISTINCT lower AS word FROM sg WHERE kind = 'word') SELECT word, gov, rel, sent_id FROM w JOIN p ON word = lower(dep)")
 def _(s, d):
-    return lx.word_relations(WORDS.df(s), DEPS.df(s))
+    # each token hangs on the next one of its sentence
+    t = tagged_sentences(s, d)
+    w = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+    deps = t.select((F.col("doc_id") * 100000 + F.col("sent_id")).alias("sent_id"), F.col("form").alias("dep"), F.lead("form").over(w).alias("gov"), F.lower("pos").alias("rel")).where("gov is not null")
+    return lx.word_relations(t.where("kind = 'word'").select(F.col("lower").alias("word")).distinct(), deps)
 
 
 SAMPLE = Literal("word string", (("the",), ("that",), ("und",), ("Que",), ("nowhere",)))
@@ -249,24 +281,29 @@ def _(s, d):
 CHANGES = Literal("ts int, word string, form string, tag string", ((1, "bil", "bilen", "x"), (2, "bil", "bilen", "subst mask ent be ny"), (1, "båt", "båten", "subst mask ent be")))
 
 
-@query("d25_upsert_lexicon", f"WITH {FORMS}, c AS (SELECT word, form, arg_max(tag, ts) AS t FROM ({CHANGES.sql()}) GROUP BY ALL), u AS (SELECT DISTINCT lemma AS word, form, tag FROM fm) SELECT coalesce(u.word, c.word) AS word, coalesce(u.form, c.form) AS form, coalesce(t, tag) AS tag FROM u FULL JOIN c ON u.word = c.word AND u.form = c.form")
+@query("d25_upsert_lexicon", f"WITH {VOCABULARY_FORMS}, c AS (SELECT word, form, arg_max(tag, ts) AS t FROM ({CHANGES.sql()} UNION ALL SELECT 1, word, word, 'old' FROM wc WHERE docs = 2 UNION ALL SELECT n, word, word, 'changed ' || n FROM wc WHERE docs = 2 UNION ALL SELECT 5, word, word || 'en', 'new' FROM wc WHERE docs = 1) GROUP BY ALL), u AS (SELECT DISTINCT lemma AS word, form, tag FROM fm) SELECT coalesce(u.word, c.word) AS word, coalesce(u.form, c.form) AS form, coalesce(t, tag) AS tag FROM u FULL JOIN c ON u.word = c.word AND u.form = c.form")
 def _(s, d):
-    return lx.upsert_lexicon(forms(s).select(F.col("lemma").alias("word"), "form", "tag").distinct(), CHANGES.df(s))
+    c = counts(s, d)
+    change = lambda where, ts, form, tag: c.where(where).select(F.lit(ts) if isinstance(ts, int) else ts, "word", form, tag)
+    changes = CHANGES.df(s).union(change("docs = 2", 1, F.col("word"), F.lit("old"))).union(change("docs = 2", F.col("n"), F.col("word"), F.concat(F.lit("changed "), F.col("n").cast("string")))).union(change("docs = 1", 5, F.concat("word", F.lit("en")), F.lit("new")))
+    return lx.upsert_lexicon(vocabulary_forms(s, c).select(F.col("lemma").alias("word"), "form", "tag").distinct(), changes)
 
 
 LINES = Literal("line string", (("Bil.\tsubst mask app",), ("gå\tverb",), ("ting\tsubst fem mask nøyt",), ("\tsubst",), ("alene",)))
 
 
-@query("d26_flat_entries", f"""WITH l AS ({LINES.sql()}) SELECT regexp_replace(lower(split_part(line, chr(9), 1)), '[.,;:!?]+$', '') AS word,
+@query("d26_flat_entries", f"""WITH {VOCABULARY_FORMS}, l AS ({LINES.sql()} UNION ALL SELECT form || CASE WHEN length(form) % 5 = 0 THEN '.' ELSE '' END || chr(9) || tag FROM fm) SELECT regexp_replace(lower(split_part(line, chr(9), 1)), '[.,;:!?]+$', '') AS word,
  array_to_string(list_filter(['mask', 'fem', 'nøyt', 'subst', 'verb', 'adj', 'adv'], lambda x: list_contains(string_split(split_part(line, chr(9), 2), ' '), x)), ',') AS attributes FROM l WHERE regexp_replace(lower(split_part(line, chr(9), 1)), '[.,;:!?]+$', '') <> ''""")
 def _(s, d):
-    return lx.parse_flat_entries(LINES.df(s))
+    f = vocabulary_forms(s, counts(s, d))
+    lines = f.select(F.concat("form", F.when(F.char_length("form") % 5 == 0, ".").otherwise(""), F.lit("\t"), F.col("tag")))
+    return lx.parse_flat_entries(LINES.df(s).union(lines))
 
 
 CUSTOM = Literal("word string", (("Thstble",), ("anline",), ("ererer",)))
 SPECIAL = Literal("word string", (("tiontion",), ("ge",)))
-CHECKED = COUNTS + f""", vo AS (SELECT word FROM wc WHERE NOT regexp_matches(word, '^[0-9]+$')), di AS (SELECT word FROM wc WHERE docs >= 3), cu AS (SELECT lower(word) AS word FROM ({CUSTOM.sql()})), sp AS ({SPECIAL.sql()}), ac AS (SELECT word FROM wc WHERE docs = 2 AND length(word) = 6),
-ck AS (SELECT word, CASE WHEN word IN (SELECT word FROM sp) THEN 'special' WHEN word IN (SELECT word FROM cu) THEN 'custom' WHEN word IN (SELECT word FROM ac) THEN 'feedback' WHEN word IN (SELECT word FROM di) THEN 'dictionary' ELSE 'none' END AS source FROM vo)"""
+CHECKED = COUNTS + f""", vo AS MATERIALIZED (SELECT word FROM wc WHERE NOT regexp_matches(word, '^[0-9]+$')), di AS (SELECT word FROM wc WHERE docs >= 3), cu AS (SELECT lower(word) AS word FROM ({CUSTOM.sql()})), sp AS ({SPECIAL.sql()}), ac AS (SELECT word FROM wc WHERE docs = 2 AND length(word) = 6),
+ck AS MATERIALIZED (SELECT word, CASE WHEN word IN (SELECT word FROM sp) THEN 'special' WHEN word IN (SELECT word FROM cu) THEN 'custom' WHEN word IN (SELECT word FROM ac) THEN 'feedback' WHEN word IN (SELECT word FROM di) THEN 'dictionary' ELSE 'none' END AS source FROM vo)"""
 
 
 def checked(s, d):
@@ -296,10 +333,11 @@ def _(s, d):
     return lx.check_text(op.tokenize(docs(s, d)), checked(s, d))
 
 
-@query("e4_apostrophe", f"WITH {FORMS}, {WS}, w AS (SELECT word FROM ws UNION ALL SELECT 'bi''l' UNION ALL SELECT 'x''y') SELECT word, CASE WHEN lower(word) IN (SELECT form FROM fm) THEN word ELSE replace(word, '''', '') END AS accepted_as FROM w WHERE lower(word) IN (SELECT form FROM fm) OR (contains(word, '''') AND lower(replace(word, '''', '')) IN (SELECT form FROM fm))")
+@query("e4_apostrophe", f"WITH {VOCABULARY_FORMS}, {SPELLED}, w AS (SELECT word FROM ws UNION ALL SELECT substr(word, 1, 2) || chr(39) || substr(word, 3) FROM ws) SELECT word, CASE WHEN lower(word) IN (SELECT form FROM fm) THEN word ELSE replace(word, '''', '') END AS accepted_as FROM w WHERE lower(word) IN (SELECT form FROM fm) OR (contains(word, '''') AND lower(replace(word, '''', '')) IN (SELECT form FROM fm))")
 def _(s, d):
-    words = WORDS.df(s).union(s.createDataFrame([("bi'l",), ("x'y",)], "word string"))
-    return lx.retry_without_apostrophe(words, forms(s).select(F.col("form").alias("word")))
+    words = spelled(s, d)
+    words = words.union(words.select(F.concat(F.substring("word", 1, 2), F.lit("'"), F.expr("substr(word, 3)"))))
+    return lx.retry_without_apostrophe(words, vocabulary_forms(s, counts(s, d)).select(F.col("form").alias("word")))
 
 
 @query("e5_custom_suggestions", f"WITH {COUNTS}, c AS ({SAMPLE.sql()} UNION ALL SELECT 'thener'), k AS (SELECT wc.word, c.word AS term, {lev('wc.word', 'c.word')}::INT AS distance, row_number() OVER (PARTITION BY wc.word ORDER BY {lev('wc.word', 'c.word')}, c.word)::INT AS rank FROM wc JOIN c ON abs(length(wc.word) - length(c.word)) <= 2 AND {lev('wc.word', 'c.word')} <= 2) SELECT * FROM k WHERE rank <= 5")
