@@ -113,12 +113,22 @@ def category_mates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def fuzzy_candidates(words: DataFrame, vocab: DataFrame, distance: int = 2, prefix: int = 3, k: int = 5) -> DataFrame:
-    """(word, candidate, distance): a known word itself, else the k nearest of those with the same first letters. Blocked by
-    prefix, so that no pair outside a block is compared; edit distances stop beyond `distance`."""
+    """(word, candidate, distance): a known word itself, else the k nearest of those with the same first letters. Two such words
+    share, behind these, a string that is left when at most `distance` letters of each are deleted; only words that are longer
+    than MAX_FUZZY_LENGTH there meet by the first letters alone."""
     v = vocab.select(F.col("word").alias("candidate")).distinct()
     same = words.join(v, F.col("word") == F.col("candidate")).select("word", "candidate", F.lit(0).alias("distance"))
-    rest = words.join(v, F.col("word") == F.col("candidate"), "left_anti").withColumn("_p", F.substring("word", 1, prefix))
-    near = rest.join(v.withColumn("_p", F.substring("candidate", 1, prefix)), "_p").where(F.abs(F.char_length("word") - F.char_length("candidate")) <= distance).withColumn("distance", F.expr(f"levenshtein(word, candidate, {distance})")).where("distance >= 0")
+    unknown = words.join(v, F.col("word") == F.col("candidate"), "left_anti").distinct()
+
+    def cut(df: DataFrame, c: str) -> DataFrame:
+        return df.select(c, F.substring(c, 1, prefix).alias("_p"), F.expr(f"substr({c}, {prefix + 1})").alias("_rest"))
+
+    a, b = cut(unknown, "word"), cut(v, "candidate")
+    size = F.char_length("_rest")
+    keyed = lambda df, c, most: df.where(size <= most).select(c, "_p", F.explode(_deletions(F.col("_rest"), distance)).alias("_k"))
+    pairs = keyed(a, "word", MAX_FUZZY_LENGTH).join(keyed(b, "candidate", MAX_FUZZY_LENGTH + distance), ["_p", "_k"]).select("word", "candidate")
+    long_ones = a.where(size > MAX_FUZZY_LENGTH).join(b.where(size > MAX_FUZZY_LENGTH - distance).drop("_rest"), "_p").select("word", "candidate")
+    near = pairs.union(long_ones).distinct().withColumn("distance", F.expr(f"levenshtein(word, candidate, {distance})")).where("distance >= 0")
     w = Window.partitionBy("word").orderBy("distance", "candidate")
     return same.union(near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("word", "candidate", "distance"))
 

@@ -118,10 +118,10 @@ def _(s, d):
     return fb.best_modification(prints(s, d))
 
 
-@query("h11_apply_feedback", f"WITH {FP}, {BM}, i AS (SELECT event_id, fingerprint, 'x' AS suggestion, 0.5::DOUBLE AS confidence FROM fe WHERE event_id % 10 = 0), g AS (SELECT fingerprint FROM fi WHERE negative / total > 0.45) SELECT event_id, fingerprint, coalesce(modification, suggestion) AS suggestion, CASE WHEN modification IS NOT NULL THEN 0.95 ELSE confidence END::DOUBLE AS confidence FROM i LEFT JOIN bm USING (fingerprint) WHERE fingerprint NOT IN (SELECT fingerprint FROM g)")
+@query("h11_apply_feedback", f"WITH {FP}, {BM}, i AS (SELECT event_id, fingerprint, 'x' AS suggestion, 0.5::DOUBLE AS confidence FROM fe), g AS (SELECT fingerprint FROM fi WHERE negative / total > 0.45) SELECT event_id, fingerprint, coalesce(modification, suggestion) AS suggestion, CASE WHEN modification IS NOT NULL THEN 0.95 ELSE confidence END::DOUBLE AS confidence FROM i LEFT JOIN bm USING (fingerprint) WHERE fingerprint NOT IN (SELECT fingerprint FROM g)")
 def _(s, d):
     p = prints(s, d)
-    i = p.where("event_id % 10 = 0").select("event_id", "fingerprint", F.lit("x").alias("suggestion"), F.lit(0.5).alias("confidence"))
+    i = p.select("event_id", "fingerprint", F.lit("x").alias("suggestion"), F.lit(0.5).alias("confidence"))
     ignored = fb.issue_feedback(p).withColumn("ignored", F.col("negative") / F.col("total") > 0.45)
     return fb.apply_issue_feedback(i, ignored, fb.best_modification(p)).select("event_id", "fingerprint", "suggestion", "confidence")
 
@@ -404,11 +404,11 @@ def _(s, d):
     return dm.purchase_links(observations(s, d).select("domain", F.lit("New").alias("preferred_registrar")).distinct(), more)
 
 
-@query("a8_custom_words", f"WITH {EV}, a AS (SELECT DISTINCT lang, word, 'old' AS added_by, 'c' AS category, NULL::VARCHAR AS notes FROM ev WHERE user_id < 100), b AS (SELECT DISTINCT lang, word, 'new' AS added_by, NULL::VARCHAR AS category, 'n' AS notes FROM ev WHERE user_id >= 140) SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.word, b.word) AS word, CASE WHEN b.word IS NOT NULL THEN b.added_by ELSE a.added_by END AS added_by, CASE WHEN b.word IS NOT NULL THEN b.category ELSE a.category END AS category, CASE WHEN b.word IS NOT NULL THEN b.notes ELSE a.notes END AS notes FROM a FULL JOIN b ON a.lang = b.lang AND a.word = b.word")
+@query("a8_custom_words", f"WITH {EV}, a AS (SELECT DISTINCT lang, word, 'old' AS added_by, 'c' AS category, NULL::VARCHAR AS notes FROM ev WHERE user_id < 120), b AS (SELECT DISTINCT lang, word, 'new' AS added_by, NULL::VARCHAR AS category, 'n' AS notes FROM ev WHERE user_id >= 80) SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.word, b.word) AS word, CASE WHEN b.word IS NOT NULL THEN b.added_by ELSE a.added_by END AS added_by, CASE WHEN b.word IS NOT NULL THEN b.category ELSE a.category END AS category, CASE WHEN b.word IS NOT NULL THEN b.notes ELSE a.notes END AS notes FROM a FULL JOIN b ON a.lang = b.lang AND a.word = b.word")
 def _(s, d):
     from ..sources.files import merge_custom_words
 
     v = votes(s, d)
-    a = v.where("user_id < 100").select("lang", "word", F.lit("old").alias("added_by"), F.lit("c").alias("category"), F.lit(None).cast("string").alias("notes")).distinct()
-    b = v.where("user_id >= 140").select("lang", "word", F.lit("new").alias("added_by"), F.lit(None).cast("string").alias("category"), F.lit("n").alias("notes")).distinct()
+    a = v.where("user_id < 120").select("lang", "word", F.lit("old").alias("added_by"), F.lit("c").alias("category"), F.lit(None).cast("string").alias("notes")).distinct()
+    b = v.where("user_id >= 80").select("lang", "word", F.lit("new").alias("added_by"), F.lit(None).cast("string").alias("category"), F.lit("n").alias("notes")).distinct()
     return merge_custom_words(a, b)

@@ -170,7 +170,8 @@ def lev(a: str, b: str) -> str:
     return f"levenshtein({one(a)}, {one(b)})"
 
 
-RARE, COMMON = "docs = 1 AND length(word) BETWEEN 4 AND 12", "docs >= 20 AND length(word) >= 3"
+#: Words to be corrected, and the known ones.
+RARE, COMMON = "docs = 1", "docs > 1"
 
 
 @query("d14_fuzzy_candidates", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT word FROM wc WHERE {RARE} OR docs = 25), v AS MATERIALIZED (SELECT word AS candidate FROM wc WHERE {COMMON}),
@@ -179,14 +180,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, candidat
 SELECT word, candidate, distance::INT AS distance FROM k WHERE k <= 5 UNION ALL SELECT word, word, 0 FROM r SEMI JOIN v ON word = candidate""")
 def _(s, d):
     c = counts(s, d)
-    return lx.fuzzy_candidates(c.where(f"({RARE}) or docs = 25").select("word"), c.where(COMMON).select("word"))
+    return lx.fuzzy_candidates(c.where(f"{RARE} or docs = 25").select("word"), c.where(COMMON).select("word"))
 
 
-@query("d15_near_terms", f"""WITH {COUNTS}, r AS (SELECT word FROM wc WHERE docs BETWEEN 10 AND 12), v AS (SELECT word AS term FROM wc WHERE docs >= 60)
+@query("d15_near_terms", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT word FROM wc), v AS MATERIALIZED (SELECT word AS term FROM wc WHERE docs >= 60)
 SELECT r.word, term, {lev('r.word', 'term')}::INT AS distance FROM r JOIN v ON abs(length(r.word) - length(term)) <= 2 AND {lev('r.word', 'term')} <= 2""")
 def _(s, d):
     c = counts(s, d)
-    return lx.near_terms(c.where("docs between 10 and 12").select("word"), c.where("docs >= 60").select(F.col("word").alias("term")))
+    return lx.near_terms(c.select("word"), c.where("docs >= 60").select(F.col("word").alias("term")))
 
 
 SWAPS = Literal("a string, b string", (("a", "e"), ("o", "u"), ("i", "a")))
@@ -316,15 +317,15 @@ def _(s, d):
     return checked(s, d)
 
 
-@query("e2_suggest", f"""WITH {COUNTS}, r AS (SELECT word FROM wc WHERE {RARE}), v AS (SELECT word AS candidate FROM wc WHERE docs >= 60 AND length(word) >= 3), f AS (SELECT word FROM wc WHERE {RARE} AND length(word) <= 6),
+@query("e2_suggest", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT word FROM wc WHERE {RARE}), v AS MATERIALIZED (SELECT word AS candidate FROM wc WHERE docs >= 60),
 c AS (SELECT r.word, candidate FROM r JOIN v ON substr(r.word, 1, 3) = substr(candidate, 1, 3) AND abs(length(r.word) - length(candidate)) <= 2 AND {lev('r.word', 'candidate')} <= 2
  QUALIFY row_number() OVER (PARTITION BY r.word ORDER BY {lev('r.word', 'candidate')}, candidate) <= 5
- UNION SELECT f.word, candidate FROM f JOIN v ON abs(length(f.word) - length(candidate)) <= 1 AND {lev('f.word', 'candidate')} <= 1),
+ UNION SELECT r.word, candidate FROM r JOIN v ON abs(length(r.word) - length(candidate)) <= 1 AND {lev('r.word', 'candidate')} <= 1),
 k AS (SELECT word, candidate, {lev('word', 'candidate')}::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY {lev('word', 'candidate')}, candidate)::INT AS rank FROM c) SELECT * FROM k WHERE rank <= 10""")
 def _(s, d):
     c = counts(s, d)
-    rare, common = c.where(RARE).select("word"), c.where("docs >= 60 and length(word) >= 3").select("word")
-    near = lx.near_terms(rare.where("length(word) <= 6"), common.select(F.col("word").alias("term")), 1).select("word", F.col("term").alias("candidate"))
+    rare, common = c.where(RARE).select("word"), c.where("docs >= 60").select("word")
+    near = lx.near_terms(rare, common.select(F.col("word").alias("term")), 1).select("word", F.col("term").alias("candidate"))
     return lx.suggest(rare, [lx.fuzzy_candidates(rare, common), near])
 
 
