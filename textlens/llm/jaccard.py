@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, mix64, pack, stored, table, unpack
+from ._common import discard, give_back, mix64, pack, stored, table, unpack
 from ._components import connected_components
 
 WORDS = 5
@@ -155,6 +155,7 @@ def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
                 digests = [xxhash.xxh3_128_digest(r) if r else None for r in raw]
                 columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d and _key(d) for d in digests], pa.int64()), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if with_set else [])], names=[f.split()[0] for f in schema.split(", ")])
+            give_back()
 
     return docs.select(doc_id, text).mapInArrow(rows, schema)
 
@@ -177,6 +178,7 @@ def shared_signatures(docs: DataFrame, text: str = "text", words: int = WORDS, p
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, seen = PartEnum(percent), set()
         held: list[tuple[np.ndarray, ...]] = []
+        give_back()
 
         def blobs() -> pa.RecordBatch:
             sigs, keys, need, need_keys = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -206,6 +208,7 @@ def shared_signatures(docs: DataFrame, text: str = "text", words: int = WORDS, p
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield blobs()
                     held = []
+                    give_back()
         if sum(len(h[0]) for h in held):
             yield blobs()
 

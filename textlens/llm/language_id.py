@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import give_back, table
 
 ORDER = 4
 #: Labelled documents that each language's model is fitted on at most, half as many again to calibrate: of those with the smallest
@@ -325,6 +325,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
             else:
                 names, score, best, rejected = [UNKNOWN] * len(texts), 0.0, np.nan, True
             yield pd.DataFrame({"lang_pred": names, "score": score, "cross_entropy": best, "rejected": rejected}, index=range(len(texts)))
+            give_back()
 
     out = docs.select(*keep, predict(F.col(text)).alias("_found"))
     return out.select(*keep, *[F.col(f"_found.{x[len(prefix):]}").alias(x) for x in added])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chunks import chunk_count, deal, freeze, spread, squeeze, thaw
-from ._common import mix64, stored, table
+from ._common import give_back, mix64, stored, table
 from ._suffixes import suffix_array
 
 #: Length of a repeated string, and of the strings that are hashed for minimizers.
@@ -294,6 +294,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         """The chunk's distinct minimizers by bucket, which of them occur again within it, and how many different surroundings
         each has."""
+        give_back()
         _, data, starts, _, _ = _documents(thaw(part["texts"]))
         found, _, _, content = surroundings(data, starts, length, k)
         h, n = np.unique(found, return_counts=True)
@@ -340,6 +341,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (bucket -2), of which only the strings' hashes are sent (buckets from `parts` on)."""
         if not len(part):
             return pd.DataFrame(columns=names)
+        give_back()
         number = int(part["chunk"].iloc[0])
         _, data, starts, ids, ties = _documents(thaw(part["texts"]))
         h, first, last, content = surroundings(data, starts, length, k)
