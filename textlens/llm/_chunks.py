@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pack, unpack
+from ._common import give_back, pack, unpack
 
 #: Bytes of text in one chunk, about, and chunks at least.
 CHUNK_BYTES = 6 << 20
@@ -46,6 +46,7 @@ def deal(docs: DataFrame, chunk: Column) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             whole = pa.Table.from_batches([batch])
             number = batch.column(0).to_numpy()
             rest = whole.drop_columns(["_chunk"])

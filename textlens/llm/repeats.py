@@ -403,6 +403,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.DataFrame(out, columns=names)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if part["bucket"].iloc[0] >= 0:
             return _earlier(part, length)
         found = [(np.full(len(i := spread(r["id"], np.int64)), r["chunk"]), i, *(spread(r[c], np.int64) for c in ("tie", "first", "windows"))) for r in part.to_dict("records")]
@@ -425,6 +426,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = T.StructType([*keep, *added])
 
     def cut(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if not len(part):
             return pd.DataFrame(columns=["rows"])
         held, data, starts, ids, ties = _documents(thaw(part["texts"]))
@@ -455,6 +457,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for b in batch.column(0).to_pylist():
                 yield from thaw([b]).to_batches(max_chunksize=2000)
 
