@@ -159,3 +159,33 @@ def test_plans_have_no_python_or_cartesian(spark):
 def test_small_pieces(spark):
     assert nlp.extractive_summary(docs(spark, "kort", None)).count() == 2
     assert feedback.trust_scores(spark.createDataFrame([(1, 1, 1, True)], "event_id int, ts int, user_id int, positive boolean")).first().trust == 1.0
+
+
+def test_registry_without_a_working_checker(spark):
+    from textlens.plans.registry_ext import CheckerRegistry
+
+    registry = CheckerRegistry()
+    registry.register("bad", lambda docs: docs.select("no_such_column"))
+    assert registry.run(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect() == [] and "bad" in registry.failed
+
+
+def test_fuzzy_candidates_by_brute_force(spark):
+    from textlens.operators.lexicon import fuzzy_candidates
+
+    words = ["abcdef", "abcdxf", "abcef", "abc", "ab", "abxdef", "abcdefgh", "abc" + "q" * 40, "abc" + "q" * 29]
+    vocab = ["abcdef", "abcde", "abcdefg", "abcq", "ab", "abc" + "q" * 39 + "r", "abc" + "q" * 31]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = []
+    for w in words:
+        near = [(0, w)] if w in vocab else sorted((distance(w, v), v) for v in vocab if w[:3] == v[:3] and distance(w, v) <= 2)[:5]
+        want += [(w, v, n) for n, v in near]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    assert sorted((r.word, r.candidate, r.distance) for r in fuzzy_candidates(frame(words), frame(vocab)).collect()) == sorted(want)

@@ -70,8 +70,10 @@ def monitoring_cycles(status: DataFrame, every: str = "1 hour") -> DataFrame:
 
 
 def purchase_links(domains: DataFrame, registrars: DataFrame) -> DataFrame:
-    """(domain, link): the preferred registrar's template, the one named Default when it is unknown."""
-    r = F.broadcast(registrars)
+    """(domain, link): the preferred registrar's template, the one named Default when it is unknown. registrars: a small table."""
+    from ..plans.literal import checked_small
+
+    r = F.broadcast(checked_small(registrars))
     default = r.where("registrar = 'Default'").select(F.col("template").alias("_default"))
     j = domains.join(r, F.col("preferred_registrar") == F.col("registrar"), "left").crossJoin(F.broadcast(default))
     return j.select("domain", F.replace(F.coalesce("template", "_default"), F.lit("{d}"), F.col("domain")).alias("link"))

@@ -28,7 +28,8 @@ def tokenize(docs: DataFrame, policy: str = "unicode", text: str = "text") -> Da
 
 
 def tokenize_with_offsets(docs: DataFrame, policy: str = "unicode") -> DataFrame:
-    """tokenize() with start and end (excluded) in characters, from the lengths of gaps and words. No shuffle."""
+    """tokenize() with start and end (excluded) in characters, from the lengths of gaps and words, added up by document
+    (one shuffle of the tokens)."""
     pairs = rf"([\s\S]*?)({tx.WORD[policy]})"
     gaps = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pairs), F.lit(1))
     forms = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pairs), F.lit(2))
@@ -50,9 +51,11 @@ def split_sentences(docs: DataFrame, policy: str = "ends") -> DataFrame:
 
 
 def split_sentences_abbrev(docs: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    """Sentences of blank-separated tokens; a token ends one if it ends with .!? and isn't a listed abbreviation."""
+    """Sentences of blank-separated tokens; a token ends one if it ends with .!? and isn't a listed abbreviation (a small table)."""
+    from ..plans.literal import checked_small
+
     tokens = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), lambda x: x != "")).alias("tok_id", "form"))
-    known = F.broadcast(abbreviations.select(F.lower("abbreviation").alias("lower")).distinct().withColumn("abbr", F.lit(True)))
+    known = F.broadcast(checked_small(abbreviations.select(F.lower("abbreviation").alias("lower")).distinct()).withColumn("abbr", F.lit(True)))
     w = Window.partitionBy("doc_id").orderBy("tok_id")
     ends = F.col("form").rlike("[.!?]$") & F.col("abbr").isNull()
     marked = tokens.withColumn("lower", F.lower("form")).join(known, "lower", "left").withColumn("ends", ends.cast("int"))

@@ -13,7 +13,8 @@ from ..operators.readability import classify
 
 
 class CheckerRegistry:
-    """Named functions from documents (or tokens) to issues. A checker that can't be planned is left out and kept in `failed`."""
+    """Named functions from documents (or tokens) to issues. A checker that can't be planned is left out and kept in `failed`; if
+    none is left there are no issues."""
 
     def __init__(self):
         self.checkers: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -33,6 +34,8 @@ class CheckerRegistry:
                 found.append(out)
             except Exception as e:
                 self.failed[name] = str(e).splitlines()[0]
+        if not found:
+            return source.sparkSession.createDataFrame([], "doc_id long, type string, issue string")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
