@@ -207,11 +207,14 @@ def mixed_tense(parsed: DataFrame) -> DataFrame:
     return g.where("size(t) > 1").select("doc_id", "sent_id", F.array_join("t", ",").alias("tenses"))
 
 
-def merge_issues(tables: list[DataFrame], threshold: float = 0.5, cap: int = 10) -> DataFrame:
-    """All issues of sufficient confidence, duplicates by (type, place, issue) dropped, at most `cap` of a type in a document."""
+def merge_issues(tables: list[DataFrame], threshold: float = 0.5, cap: int | None = 10) -> DataFrame:
+    """All issues of sufficient confidence, duplicates by (type, place, issue) dropped, at most `cap` of a type in a document
+    (None: all)."""
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).where(F.col("confidence") >= threshold)
     one = Window.partitionBy("doc_id", "type", "start", "end", "issue").orderBy(F.desc("confidence"), "checker", "suggestion")
     u = u.withColumn("_k", F.row_number().over(one)).where("_k = 1")
+    if cap is None:
+        return u.drop("_k")
     few = Window.partitionBy("doc_id", "type").orderBy("start", "end", "issue")
     return u.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= cap).drop("_k")
 
