@@ -23,7 +23,7 @@ BAND_RATIO = 1.5
 #: Second-level parts of a first-level part; all but one of them make a signature.
 PARTS = 3
 #: Bytes of text for which one signature bucket is made, MIN_BUCKETS at least; signatures that a task holds before it sends them on.
-BUCKET_BYTES, MIN_BUCKETS, HELD = 4 << 20, 24, 750_000
+BUCKET_BYTES, MIN_BUCKETS, HELD = 8 << 20, 24, 750_000
 #: Members and bytes of one group in a task, in verification and in the comparison of large groups; larger groups are split.
 GROUP, GROUP_BYTES = 1024, 32 << 20
 #: A class with more than this part of all rows gets its component from a broadcast of HOT rows at most.
@@ -227,11 +227,11 @@ def shared_signatures(docs: DataFrame, text: str = "text", words: int = WORDS, p
         sigs, keys = np.concatenate(whole("sigs", np.uint64)), whole("keys", np.int64)
         if part["bucket"].iloc[0] < 0:
             return pd.DataFrame({"hub": pd.array([None] * len(sigs), "Int64"), "key": np.concatenate(keys), "band": (sigs >> np.uint64(32)).astype(np.int64), "n": 0, "need": (sigs & np.uint64(0xFFFFFFFF)).astype(np.int64)})
-        keys = np.concatenate([k[w] for k, w in zip(keys, whole("which", np.uint32), strict=True)])
         order = np.argsort(sigs)
-        sigs, keys = sigs[order], keys[order]
-        shared = _shared(sigs)  # most stand alone
-        sigs, keys = sigs[shared], keys[shared]
+        order = order[_shared(sigs[order])]  # most stand alone, and need no key
+        before = np.cumsum([0, *map(len, keys)])
+        which = np.concatenate([w + np.uint32(b) for w, b in zip(whole("which", np.uint32), before[:-1], strict=True)])
+        sigs, keys = sigs[order], np.concatenate(keys)[which[order]]
         order = np.lexsort((mix64(keys.view(np.uint64)), sigs))
         sigs, keys = sigs[order], keys[order]
         new = np.append(True, (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]))[: len(sigs)]  # copies from several tasks are one
