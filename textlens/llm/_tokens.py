@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters whose chunks are looked up at once.
 BATCH_CHARS = 2_000_000
@@ -16,6 +17,8 @@ CACHED = 500_000
 
 #: A blank before white space or the end, after which a text can't be cut by blanks alone.
 _UNSAFE = re.compile(r" (?=\s|\Z)")
+#: The same for Arrow, whose white space is that of ASCII; it may find more.
+_MAYBE_UNSAFE = r" (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|\z)"
 
 
 def take(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +54,7 @@ def parts(text: str) -> Iterator[str]:
 
 
 class ChunkEncoder:
-    """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, CACHED at most.
+    """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, CACHED and those of one batch at most.
     `encode` gets chunks and returns a ragged array of ids. `special` finds tokens that are cut out before anything else, as
     what stands before one is matched as if the text ended there; each is a chunk."""
 
@@ -68,51 +71,73 @@ class ChunkEncoder:
             at = m.end()
         return [x for x in (*out, text[at:]) if x]
 
-    def _chunks(self, text: str) -> list[str]:
-        segments = self._segments(text)
-        return chunks(text) if len(segments) == 1 else [c for x in segments for c in chunks(x)]
-
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.data, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.place: dict[str, int] = {"": 0}
+        self.data, self.offsets = np.empty(0, np.int32), np.zeros(2, np.int64)
 
-    def _ids(self, held: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > CACHED:
-            self._clear()
-        index = np.fromiter(map(self.place.get, held, repeat(-1)), np.int64, len(held))
+    def _numbers(self, distinct: list[str]) -> np.ndarray:
+        """The rows of self.data that hold the ids of the chunks; new ones are encoded."""
+        index = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(index < 0)
         if len(new):
-            missing = list(dict.fromkeys(held[i] for i in new.tolist()))
+            missing = [distinct[i] for i in new.tolist()]
             data, offsets = self.encode(missing)
-            self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing)), strict=True))
+            index[new] = np.arange(len(self.place), len(self.place) + len(missing))
+            self.place.update(zip(missing, index[new].tolist(), strict=True))
             self.data = np.concatenate([self.data, data])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-            index[new] = np.fromiter(map(self.place.__getitem__, (held[i] for i in new.tolist())), np.int64, len(new))
-        return take(self.data, self.offsets, index)
+        return index
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of every text, as numbers, in a ragged array. Texts that blanks alone cut right are cut and their distinct
+        chunks found by Arrow; a piece has a blank before it unless it begins its text."""
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, _MAYBE_UNSAFE).to_numpy(zero_copy_only=False)
+        if self.special is not None:
+            odd |= np.fromiter((self.special.search(x) is not None for x in texts), bool, len(texts))
+        pieces = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        coded, offsets = pieces.flatten().dictionary_encode(), pieces.offsets.to_numpy().astype(np.int64)
+        keys = coded.indices.to_numpy().astype(np.int64) * 2
+        keys[offsets[:-1]] += 1
+        words, number = coded.dictionary.to_numpy(zero_copy_only=False), np.zeros(2 * len(coded.dictionary), np.int64)
+        number[keys] = 1
+        used = np.flatnonzero(number)
+        number[used] = self._numbers([w if k else " " + w for w, k in zip(words[used >> 1].tolist(), (used & 1).tolist(), strict=True)])
+        index = number[keys]
+        if not odd.any():
+            return index, offsets
+        cut = [[c for segment in self._segments(texts[i]) for c in chunks(segment)] for i in np.flatnonzero(odd).tolist()]
+        flat = list(chain.from_iterable(cut))
+        self._numbers(list(dict.fromkeys(flat)))
+        index = np.concatenate([index, np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))])
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in cut])])
+        return take(index, offsets, np.argsort(np.argsort(odd, kind="stable"), kind="stable"))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number in each text)."""
+        if len(self.place) > CACHED:
+            self._clear()
+        index, ends = self._cut(texts)
+        ids, out = take(self.data, self.offsets, index)
+        return ids, np.diff(out[ends])
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Yields (first, last, ids, counts) for texts[first:last] in turn: their ids in a row and the number for each text. Null is empty."""
-        first, held, ends, size = 0, [], [0], 0
-
-        def flush(last: int):
-            ids, out = self._ids(held)
-            return first, last, ids, np.diff(out[np.array(ends)])
-
+        first, held, size = 0, [], 0
         for i, text in enumerate(texts):
             text = text or ""
             if size and size + len(text) > BATCH_CHARS:
-                yield flush(i)
-                first, held, ends, size = i, [], [0], 0
+                yield first, i, *self._ids(held)
+                first, held, size = i, [], 0
             if len(text) > 2 * BATCH_CHARS:
-                ids = np.concatenate([self._ids(chunks(x))[0] for segment in self._segments(text) for x in parts(segment)])
+                ids = np.concatenate([self._ids([x])[0] for segment in self._segments(text) for x in parts(segment)])
                 yield i, i + 1, ids, np.array([len(ids)])
                 first = i + 1
                 continue
-            held += self._chunks(text)
-            ends.append(len(held))
+            held.append(text)
             size += len(text) + 1
-        if first < len(texts):
-            yield flush(len(texts))
+        if held:
+            yield first, len(texts), *self._ids(held)
 
 
 def list_array(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -140,7 +141,9 @@ _LOADED: dict[int, tuple] = {}
 
 
 def _loaded(content: str) -> tuple[ChunkEncoder, int]:
-    """An encoder with the tokenizer of a file and the vocabulary size, built once in a Python worker, which keeps its chunks."""
+    """An encoder with the tokenizer of a file and the vocabulary size, built once in a Python worker, which keeps its chunks.
+    The library uses the one core of its task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     key = hash(content)
