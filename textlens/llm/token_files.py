@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ SHARD_TOKENS = 1_000_000
 MIN_COUNT = 16
 #: Bytes of text that one task encodes, about.
 TASK_BYTES = 16 << 20
+#: Chunks that the library gets as one text.
+JOINED = 2000
 END_ID = 0
 
 #: The file format, one row a shard. rules: (left, right) as byte planes of uint32, the k-th being symbol base + k; rule_lengths:
@@ -154,10 +157,27 @@ def _loaded(content: str) -> tuple[ChunkEncoder, int]:
             raise ValueError("added tokens that take blanks or look at their neighbours are not supported")
         names = sorted((t.content for t in added), key=len, reverse=True)
 
+        size = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)  # bytes of each id: a byte is a letter of its name
+        for name, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            size[i] = len(name)
+
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-            return np.fromiter(chain.from_iterable(found), np.int32, offsets[-1]), offsets
+            """Chunks that begin with a blank and no further white space follow each other as in a text, JOINED to one, and are
+            told apart by their bytes; the others are encoded one by one."""
+            joined = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks), bool, len(chunks))
+            alone = [c for c, j in zip(chunks, joined.tolist(), strict=True) if not j]
+            inside = [c for c, j in zip(chunks, joined.tolist(), strict=True) if j]
+            found = [e.ids for e in tokenizer.encode_batch_fast(["".join(inside[k : k + JOINED]) for k in range(0, len(inside), JOINED)], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), np.int32)
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            wanted = np.concatenate([[0], np.cumsum(pc.binary_length(pa.array(inside, pa.string())).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            offsets = np.searchsorted(ends, wanted)
+            if ends[-1] != wanted[-1] or (ends[offsets] != wanted).any():
+                raise ValueError("the tokenizer doesn't cut texts at blanks, or its ids don't stand for bytes")
+            found = [e.ids for e in tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.int32)])
+            offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in found])]).astype(np.int64)
+            return take(ids, offsets, np.argsort(np.argsort(~joined, kind="stable"), kind="stable"))
 
         special = re.compile("|".join(map(re.escape, names))) if names else None
         _LOADED[key] = ChunkEncoder(encode, special), tokenizer.get_vocab_size(with_added_tokens=True)
