@@ -58,18 +58,26 @@ def repair(ids: np.ndarray, base: int, barrier: int | None = END_ID, min_count:
     """(rules, symbols): rounds until no pair occurs min_count times. Each round counts all pairs and numbers those of at least
     min_count, most frequent first; where two of them overlap, the more frequent one is replaced, and the other is counted
     anew in the next round. Only pairs that are replaced min_count times become rules. Pairs with `barrier` on either side
-    stay, so that no rule crosses it."""
+    stay, so that no rule crosses it. A pair that is rare once stays rare, so a round looks only at places where the round before
+    found a frequent pair or put a symbol."""
     seq, rules, top = ids.astype(np.int64), [], base
+    live = np.ones(len(seq), bool)
     while len(seq) >= 2:
-        keys = seq[:-1] << 32 | seq[1:]
-        hashed = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        maybe = np.bincount(hashed, minlength=1 << 20)[hashed] >= min_count  # pairs in rarer hash cells are rarer themselves
+        at = np.flatnonzero(live[:-1])
+        left, right = seq[at], seq[at + 1]
         if barrier is not None:
-            maybe &= (seq[:-1] != barrier) & (seq[1:] != barrier)
-        places = np.flatnonzero(maybe)
-        pairs, index, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
+            inside = (left != barrier) & (right != barrier)
+            at, left, right = at[inside], left[inside], right[inside]
+        keys = left << 32 | right
+        bits = len(keys).bit_length() + 1  # of a hash; pairs in rarer hash cells are rarer themselves
+        hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        maybe = np.bincount(hashed, minlength=1 << bits)[hashed] >= min_count
+        places = at[maybe]
+        pairs, index, counts = np.unique(keys[maybe], return_inverse=True, return_counts=True)
         often = counts[index] >= min_count
         places, index = places[often], index[often]
+        live = np.zeros(len(seq), bool)
+        live[places] = True
         taken = _apart(places, counts[index] * (len(pairs) + 1) - index)
         places, index = places[taken], index[taken]
         uses = np.bincount(index, minlength=len(pairs))
@@ -82,9 +90,11 @@ def repair(ids: np.ndarray, base: int, barrier: int | None = END_ID, min_count:
         symbols = symbol[index]
         places, symbols = places[symbols >= 0], symbols[symbols >= 0]
         seq[places] = symbols
+        live[places] = True
+        live[np.maximum(places - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep]
         rules.append(np.stack([pairs[order] >> 32, pairs[order] & 0xFFFFFFFF], 1))
         top += len(order)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), seq.astype(np.uint32)
