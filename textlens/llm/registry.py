@@ -7,6 +7,7 @@ from .decontaminate import OP9_SQL, op9_decontamination
 from .jaccard import op7_jaccard_join
 from .language_id import op1_language_id
 from .language_model import op4_language_model
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .neighbours import op8_neighbours
 from .repeats import op3_suffix_dedup
 from .token_files import op6_token_files
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
