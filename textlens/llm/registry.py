@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
 from .jaccard import op7_jaccard_join
 from .language_id import op1_language_id
 from .language_model import op4_language_model
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_divergence": op13_source_divergence,
 }
-SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+SQL = {"op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_source_divergence": OP13_SQL}
