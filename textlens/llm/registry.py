@@ -10,6 +10,7 @@ from .language_id import op1_language_id
 from .language_model import op4_language_model
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .neighbours import op8_neighbours
+from .quality import op11_quality
 from .repeats import op3_suffix_dedup
 from .token_files import op6_token_files
 from .url_filter import OP10_SQL, op10_url_filters
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_quality": op11_quality,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_source_divergence": op13_source_divergence,
 }
