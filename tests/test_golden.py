@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textlens.operators import domains, feedback, issues, lexicon, nlp, readability, text
 from textlens.plans import QUERIES, SQL, queries_issues, registry_ext, tables
-from textlens.plans.literal import checked_small
+from textlens.functions.checks import checked_small
 from textlens.sources import files
 from textlens.streaming import streams
 

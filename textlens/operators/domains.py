@@ -71,7 +71,7 @@ def monitoring_cycles(status: DataFrame, every: str = "1 hour") -> DataFrame:
 
 def purchase_links(domains: DataFrame, registrars: DataFrame) -> DataFrame:
     """(domain, link): the preferred registrar's template, the one named Default when it is unknown. registrars: a small table."""
-    from ..plans.literal import checked_small
+    from ..functions.checks import checked_small
 
     r = F.broadcast(checked_small(registrars))
     default = r.where("registrar = 'Default'").select(F.col("template").alias("_default"))

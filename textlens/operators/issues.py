@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.literal import checked_small
+from ..functions.checks import checked_small
+from ..functions.patterns import index_grams, java_pattern
 
 ISSUE = ("doc_id", "checker", "type", "start", "end", "issue", "suggestion", "severity", "confidence")
 
@@ -18,21 +19,81 @@ def with_sentences(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("sent_id", F.coalesce(F.sum(F.col("form").isin(".", "!", "?").cast("int")).over(w), F.lit(0)).cast("int"))
 
 
-def scan_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Issues of a rule table (checker, type, pattern, suggestion, severity, confidence, requires) in all documents.
-
-    pattern: without groups; suggestion: a template in which `$0` is the hit, null for none; requires: another pattern that the
-    text must match, null for none. Offsets are summed up from the gaps between hits. A nested-loop join to the rules, whose
-    number is checked."""
-    r = F.broadcast(checked_small(rules)).select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(r, F.rlike("text", F.col("_pattern")) & (F.col("_requires").isNull() | F.rlike("text", F.coalesce("_requires", F.lit("")))))
+#: Rules of one scan at most; with the strings that index them they are broadcast (some MB).
+MAX_RULES = 10_000
+#: Characters before and after a hit that a rule's contexts see.
+CONTEXT = 20
+_RULE_FIELDS = ("checker", "type", "pattern", "suggestion", "severity", "confidence", "requires", "unless", "lead", "find", "lookup", "before", "not_before", "after", "not_after")
+
+_PATTERNS = ("pattern", "requires", "unless", "lead", "find", "before", "not_before", "after", "not_after")
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(gram, grams, fields of the rule): a rule stands under each of the three-letter strings of which a text that it hits holds one
+    at least, and under the empty string if its pattern names none. Absent optional fields are null."""
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules; scan with several tables")
+    entries = []
+    for row in rows:
+        r = {k: row[k] if k in rules.columns else None for k in _RULE_FIELDS}
+        r |= {k: r[k] and java_pattern(r[k]) for k in _PATTERNS}
+        grams = index_grams(row["pattern"], r["requires"] and row["requires"])
+        entries += [(gram, grams, *r.values()) for gram in grams or [""]]
+    fields = ", ".join(f"_{k} {'double' if k == 'confidence' else 'string'}" for k in _RULE_FIELDS)
+    return rules.sparkSession.createDataFrame(entries, f"_gram string, _grams array<string>, {fields}")
+
+
+def running_sum(sizes: Column) -> Column:
+    """Sums of an array up to each place, by doubling the stretch that is added at each step: n log n."""
+
+    def step(sums: Column, j: Column) -> Column:
+        by = F.pow(F.lit(2), j).cast("int")
+        shifted = F.concat(F.array_repeat(F.lit(0), F.least(by, F.size(sums))), F.slice(sums, F.lit(1), F.greatest(F.size(sums) - by, F.lit(0))))
+        return F.when(by < F.size(sums), F.zip_with(sums, shifted, lambda a, b: a + b)).otherwise(sums)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), sizes, step)
+
+
+def scan_rules(docs: DataFrame, rules: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """Issues of a rule table in all documents: (doc_id, checker, type, start, end, issue, suggestion, severity, confidence).
+
+    A rule has a pattern without capturing groups; all else may be null or absent. requires, unless: the text must, must not match
+    them. lead: matched from the hit's start and cut off it. before, not_before, after, not_after: what the 20 characters on that
+    side must, must not match. suggestion: with lookup, the `form` of the issue among forms (lookup, word, form), null if it has
+    none; with find, what replaces that pattern in the issue ($1 for groups); else a text in which $0 is the issue. Words (\\w, \\b) are
+    of ASCII letters, digits and _, case is that of Unicode, as in RE2.
+
+    Each text is cut once into its three-letter strings; an equi-join with the strings that rules can't match without hands it only
+    those that can hit (and those that name no such string). So the number of rules hardly matters, and texts aren't shuffled.
+    Null and empty texts have no issues, repeated rows have theirs each time.
+    """
+    low = F.lower("text")
+    grams = F.array_append(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=(\S{3}))"), F.lit(1))), F.lit(""))
+    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_gram", F.explode(grams))
+    t = cut.join(F.broadcast(rule_index(rules)), "_gram")
+    # a rule with alternatives is met under the first one that the text holds
+    t = t.where((F.size("_grams") < 2) | (F.element_at(F.filter("_grams", lambda g: F.contains(low, g)), 1) == F.col("_gram")))
+    holds = lambda name, text: F.col(name).isNull() | F.rlike(text, F.coalesce(F.col(name), F.lit("")))
+    lacks = lambda name, text: F.col(name).isNull() | ~F.rlike(text, F.coalesce(F.col(name), F.lit("")))
+    t = t.where(F.rlike("text", F.col("_pattern")) & holds("_requires", F.col("text")) & lacks("_unless", F.col("text")))
     # gaps by split, hits by extraction: both pass over the text once
-    gaps, hits = F.call_function("split", F.col("text"), F.col("_pattern"), F.lit(-1)), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))
-    found = t.withColumn("_h", hits).withColumn("_p", F.zip_with(F.slice(gaps, F.lit(1), F.size("_h")), "_h", lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
-    # running ends by one fold, so that long texts stay linear
-    ends = F.aggregate("_p", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("out")), lambda a, p: F.struct((a["at"] + F.char_length(p["gap"]) + F.char_length(p["hit"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.char_length(p["gap"])).alias("start"), p["hit"].alias("hit")))).alias("out")), lambda a: a["out"])
-    x = found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in rules.columns], F.explode(ends).alias("x"))
-    return x.select("doc_id", "checker", "type", F.col("x.start").alias("start"), (F.col("x.start") + F.char_length("x.hit")).alias("end"), F.col("x.hit").alias("issue"), F.replace("suggestion", F.lit("$0"), F.col("x.hit")).alias("suggestion"), "severity", "confidence")
+    t = t.withColumns({"_g": F.call_function("split", F.col("text"), F.col("_pattern"), F.lit(-1)), "_h": F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))})
+    t = t.withColumn("_e", running_sum(F.zip_with(F.slice("_g", F.lit(1), F.size("_h")), "_h", lambda g, h: F.char_length(g) + F.char_length(h))))
+    t = t.select("doc_id", "text", *[f"_{k}" for k in _RULE_FIELDS], F.explode(F.arrays_zip("_e", "_h")).alias("_x"))
+    led = F.coalesce(F.char_length(F.call_function("regexp_extract", F.col("_x._h"), F.concat(F.lit("^(?:"), F.col("_lead"), F.lit(")")), F.lit(0))), F.lit(0))
+    t = t.withColumns({"end": F.col("_x._e"), "issue": F.substring(F.col("_x._h"), led + 1, F.char_length("_x._h"))})
+    t = t.withColumn("start", F.col("end") - F.char_length("issue"))
+    left = F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
+    right = F.substring(F.col("text"), F.col("end") + 1, F.lit(CONTEXT))
+    t = t.where(holds("_before", left) & lacks("_not_before", left) & holds("_after", right) & lacks("_not_after", right))
+    if forms is not None:
+        f = F.broadcast(checked_small(forms)).alias("f")
+        t = t.alias("t").join(f, (F.col("t._lookup") == F.col("f.lookup")) & (F.lower("t.issue") == F.col("f.word")), "left").select("t.*", F.col("f.form").alias("_form"))
+    else:
+        t = t.withColumn("_form", F.lit(None).cast("string"))
+    made = F.when(F.col("_lookup").isNotNull(), F.col("_form")).when(F.col("_find").isNotNull(), F.regexp_replace("issue", F.col("_find"), F.col("_suggestion"))).otherwise(F.replace("_suggestion", F.lit("$0"), F.col("issue")))
+    return t.select("doc_id", F.col("_checker").alias("checker"), F.col("_type").alias("type"), "start", "end", "issue", made.alias("suggestion"), F.col("_severity").alias("severity"), F.col("_confidence").alias("confidence"))
 
 
 def token_issues(tokens: DataFrame, test: Column, kind: str, suggestion: Column, checker: str, severity: str = "medium") -> DataFrame:
@@ -267,17 +328,20 @@ def common_errors(decisions: DataFrame, k: int = 20) -> DataFrame:
     return decisions.groupBy("wrong", "correct").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "wrong", "correct").limit(k)
 
 
-def apply_suggestions(docs: DataFrame, issues: DataFrame, mark: bool = False) -> DataFrame:
+def apply_suggestions(docs: DataFrame, issues: DataFrame, mark: bool = False, block: int = 64) -> DataFrame:
     """(doc_id, text, n_applied): each text with its non-overlapping suggestions put in; of overlapping ones the earliest start
-    wins, then the longest. mark=True brackets the issue instead."""
+    wins, then the longest. mark=True brackets the issue instead. Issues are gone through in blocks, so that one text's many don't
+    copy what was kept before at each step."""
     a = issues.where("suggestion is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("neg_end"), "suggestion"))).alias("_i"))
     kind = "array<struct<start:int,end:int,suggestion:string>>"
-    kept = F.aggregate(
-        F.transform("_i", lambda x: F.struct(x["start"].cast("int").alias("start"), (-x["neg_end"]).cast("int").alias("end"), x["suggestion"].alias("suggestion"))),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out")),
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"],
-    )
+    all_ = F.transform("_i", lambda x: F.struct(x["start"].cast("int").alias("start"), (-x["neg_end"]).cast("int").alias("end"), x["suggestion"].alias("suggestion")))
+    keep = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
+    own = lambda s, b: F.aggregate(b, F.struct(s["at"].alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), keep)
+    blocks = F.transform(F.sequence(F.lit(1), F.size("_i"), F.lit(block)), lambda i: F.slice("_all", i, F.lit(block)))
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out")), lambda s, b: F.transform(F.array(own(s, b)), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))[0], lambda s: F.flatten(s["out"]))
     text = F.coalesce("text", F.lit(""))
     new = lambda x: F.concat(F.lit("["), F.substring(text, x["start"] + 1, x["end"] - x["start"]), F.lit("]")) if mark else x["suggestion"]
-    made = F.aggregate("_k", F.struct(F.lit("").alias("s"), F.lit(0).alias("at")), lambda s, x: F.struct(F.concat(s["s"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), new(x)).alias("s"), x["end"].alias("at")), lambda s: F.concat(s["s"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return docs.join(a, "doc_id").withColumn("_k", kept).select("doc_id", made.alias("text"), F.size("_k").alias("n_applied"))
+    before = F.concat(F.array(F.lit(0)), F.transform("_k", lambda x: x["end"]))
+    pieces = F.zip_with("_k", F.slice(before, F.lit(1), F.size("_k")), lambda x, at: F.concat(F.substring(text, at + 1, x["start"] - at), new(x)))
+    made = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(before, -1) + 1, F.char_length(text)))
+    return docs.join(a, "doc_id").withColumn("_all", all_).withColumn("_k", whole).select("doc_id", made.alias("text"), F.size("_k").alias("n_applied"))

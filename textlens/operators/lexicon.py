@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.literal import checked_small
+from ..functions.checks import checked_small
 
 #: Longest word for which deletion keys are made (their number grows with the square of the length).
 MAX_FUZZY_LENGTH = 30

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.literal import checked_small
+from ..functions.checks import checked_small
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:

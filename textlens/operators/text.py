@@ -52,7 +52,7 @@ def split_sentences(docs: DataFrame, policy: str = "ends") -> DataFrame:
 
 def split_sentences_abbrev(docs: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Sentences of blank-separated tokens; a token ends one if it ends with .!? and isn't a listed abbreviation (a small table)."""
-    from ..plans.literal import checked_small
+    from ..functions.checks import checked_small
 
     tokens = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), lambda x: x != "")).alias("tok_id", "form"))
     known = F.broadcast(checked_small(abbreviations.select(F.lower("abbreviation").alias("lower")).distinct()).withColumn("abbr", F.lit(True)))

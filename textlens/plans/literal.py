@@ -6,9 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows above which a rule or lexicon table is refused as the broadcast side of a theta join.
-MAX_THETA_ROWS = 10_000
-
 
 def _sql(v) -> str:
     if v is None:
@@ -40,10 +37,3 @@ class Literal:
         types = [kinds[part.split()[1]] for part in self.schema.split(", ")]
         cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(self.names, types, strict=True))
         return f"SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in self.rows) + f") AS t({', '.join(self.names)})"
-
-
-def checked_small(df: DataFrame, limit: int = MAX_THETA_ROWS) -> DataFrame:
-    """df, after a check that it has at most `limit` rows; for the side of a theta join that every task holds."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"a rule table has over {limit} rows; a theta join would not scale")
-    return df

@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import issues as iss
 from ..operators import text as op
+from . import rules as rl
 from . import tables as tb
 from .literal import Literal
 from .queries_lexicon import COMPOUNDS, FORMS, PARSED, SENTS, forms, tagged_sentences
 from .queries_text import PUNCT_TOKENS, TAGGED, docs
 from .registry import query, table
 
-RULE = "checker string, type string, pattern string, suggestion string, severity string, confidence double, requires string"
-#: Pattern rules by group; patterns have no groups and stay in the common subset of Java and RE2. Fixed values.
-RULES = {
-    "f1a_spacing": ((("spacing", "missing_space", r"[,;:!?][\p{L}]", None, "medium", 0.8, None), ("spacing", "space_before", r" [,.;:!?]", None, "medium", 0.8, None))),
-    "f1b_repeats": ((("punctuation", "repeated_mark", r"!!+|\?\?+", "!", "low", 0.9, None), ("punctuation", "many_dots", r"\.\.\.\.+", "...", "low", 0.7, None), ("punctuation", "doubled", r",,+|;;+|::+", None, "low", 0.7, None))),
-    "f1c_abbreviations": ((("abbreviation", "abbreviation", r"\bfeks\b", "f.eks.", "medium", 0.9, None), ("abbreviation", "abbreviation", r"\bbla\b", "bl.a.", "medium", 0.9, None), ("time", "split_time", r"\bigår\b", "i går", "medium", 0.9, None), ("time", "split_time", r"\bther\b", "the r", "low", 0.5, None))),
-    "f1d_blanks": ((("spacing", "double_blank", r"  +", " ", "low", 0.9, None), ("comma", "comma_before_conjunction", r", (?:og|men|eller|and|or|und|et) ", "$0", "low", 0.4, None))),
-    "f1e_comma_context": ((("comma", "comma_conjunction", r"[a-z]+(?:ed|er|en|ing), (?:and|or|und|et|y) [a-z]+", None, "low", 0.5, r"(?:ed|er|ing)\b"),)),
-    "f1f_prepositions": ((("preposition", "weekday", r"\bi (?:mandag|tirsdag|onsdag)\b", None, "medium", 0.7, None), ("preposition", "decade", r"\b(?:of|in) th[a-z]*", None, "low", 0.4, None))),
-    "f1h_grammar": ((("negation", "negation_before_verb", r"\b(?:ikke|not) (?:er|har|was|is)\b", None, "medium", 0.6, None), ("infinitive", "present_after_marker", r"\bå [a-zæøå]+er\b", None, "medium", 0.7, None), ("agreement", "article_plural", r"\bthe and\b", "the", "medium", 0.6, None))),
-    "f1i_words": ((("words", "literal", r"\bvan\b", "von", "low", 0.5, None), ("words", "literal", r"\bthat this\b", "this", "low", 0.5, "thin"))),
-    "f1j_clauses": ((("clause", "question_order", r"\b(?:hvorfor|why) [a-zæøå]+ ", None, "low", 0.5, None), ("formality", "formal", r"\b(?:De|Dem|Deres)\b", None, "low", 0.3, None))),
-}
+#: Common words of `documents` and what stands for them, so that the Norwegian rules have texts to hit; both engines replace alike.
+NORWEGIAN_FOR = (
+    (" the ", " feks "), (" of ", " idag "), (" and ", " og "), (" to ", " i mandag "), (" in ", " å spiser "), (" that ", " det ikke er "), (" is ", " er "), (" for ", " hvorfor han ikke spiser "), (" with ", " på 90-tallet "), (" this ", " et stor hus "),
+    (" on ", " i går kommer "), (" der ", " i butikk "), (" die ", " tidligere er "), (" und ", " eller "), (" que ", " butikken åpent "), (" en ", " grammatik feil "), (" con ", " lovte "), (" le ", " i sommer "), (" les ", " nå gikk "), (" des ", " en stort bil "), (" ist ", " fordi han ikke er "), (" la ", " takk du "), (" de ", " blåse i går "),
+)
+RULES = {name: Literal(rl.COLUMNS, rows) for name, rows in rl.RULES.items()}
 
 
-def _scan(rules: str, source: str = "documents") -> str:
-    """Hits by positions of doubled group patterns: gaps and hits, as in the DataFrame form."""
-    return f"""r AS ({rules}), t AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
-j AS (SELECT doc_id, r.*, regexp_extract_all(text, '((?s:.*?))(' || pattern || ')', 1) AS g, regexp_extract_all(text, '((?s:.*?))(' || pattern || ')', 2) AS h FROM t JOIN r ON regexp_matches(text, pattern) AND (requires IS NULL OR regexp_matches(text, requires))),
-x AS (SELECT doc_id, checker, type, pattern, suggestion, severity, confidence, unnest(range(len(h))) AS k, unnest(g) AS gap, unnest(h) AS hit FROM j),
-e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, pattern ORDER BY k) AS stop FROM x),
-si AS (SELECT doc_id, checker, type, (stop - length(hit))::INT AS start, stop::INT AS "end", hit AS issue, replace(suggestion, '$0', hit) AS suggestion, severity, confidence FROM e)"""
+def norsk(c):
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), NORWEGIAN_FOR, c)
 
 
-def _group(name):
-    return Literal(RULE, RULES[name])
+NORSK = "(SELECT doc_id, " + reduce(lambda t, p: f"replace({t}, '{p[0]}', '{p[1]}')", NORWEGIAN_FOR, "text") + " AS text FROM documents)"
+
+
+def _scan(rules: str, source: str = NORSK) -> str:
+    """Hits by positions of doubled group patterns: gaps and hits, as in the DataFrame form."""
+    return f"""r AS ({rules}), fo AS ({rl.FORMS.sql()}), t AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
+j AS (SELECT doc_id, text, r.*, regexp_extract_all(text, '((?s:.*?))(' || pattern || ')', 1) AS g, regexp_extract_all(text, '((?s:.*?))(' || pattern || ')', 2) AS h FROM t JOIN r ON regexp_matches(text, pattern) AND (requires IS NULL OR regexp_matches(text, requires)) AND (unless IS NULL OR NOT regexp_matches(text, unless))),
+x AS (SELECT * EXCLUDE (g, h), unnest(range(len(h))) AS k, unnest(g) AS gap, unnest(h) AS hit FROM j),
+e AS (SELECT *, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, checker, type, pattern, suggestion ORDER BY k))::INT AS "end", substr(hit, 1 + coalesce(length(regexp_extract(hit, '^(?:' || lead || ')')), 0)) AS issue FROM x),
+b AS (SELECT *, "end" - length(issue)::INT AS start FROM e),
+si AS (SELECT doc_id, checker, type, start, "end", issue, CASE WHEN b.lookup IS NOT NULL THEN form WHEN find IS NOT NULL THEN regexp_replace(issue, find, replace(suggestion, '$', '\\')) ELSE replace(suggestion, '$0', issue) END AS suggestion, severity, confidence
+  FROM b LEFT JOIN fo ON b.lookup = fo.lookup AND lower(issue) = fo.word
+  WHERE (before IS NULL OR regexp_matches(substr(text, greatest(start - 20, 0) + 1, least(start, 20)), before)) AND (not_before IS NULL OR NOT regexp_matches(substr(text, greatest(start - 20, 0) + 1, least(start, 20)), not_before))
+    AND (after IS NULL OR regexp_matches(substr(text, "end" + 1, 20), after)) AND (not_after IS NULL OR NOT regexp_matches(substr(text, "end" + 1, 20), not_after)))"""
 
 
 SOURCE = {
     "f1a_spacing": ("(SELECT doc_id, replace(text, ', ', ' , ') AS text FROM documents)", lambda t: F.replace(t, F.lit(", "), F.lit(" , "))),
-    "f1d_blanks": ("(SELECT doc_id, replace(text, '. ', '.  ') AS text FROM documents)", lambda t: F.replace(t, F.lit(". "), F.lit(".  "))),
+    "f1b_repeats": ("documents", lambda t: t),
+    "f1d_blanks": (NORSK.replace("SELECT doc_id, ", "SELECT doc_id, replace(").replace(" AS text", ", '. ', '.  ') AS text"), lambda t: F.replace(norsk(t), F.lit(". "), F.lit(".  "))),
 }
 for _name in RULES:
 
-    @query(_name, f"WITH {_scan(_group(_name).sql(), SOURCE.get(_name, ('documents',))[0])} SELECT * FROM si")
+    @query(_name, f"WITH {_scan(RULES[_name].sql(), SOURCE.get(_name, (NORSK,))[0])} SELECT * FROM si")
     def _(s, d, name=_name):
-        x = docs(s, d).select("doc_id", "text")
-        if name in SOURCE:
-            x = x.withColumn("text", SOURCE[name][1](F.col("text")))
-        return iss.scan_rules(x, _group(name).df(s))
+        x = docs(s, d).select("doc_id", SOURCE.get(name, (None, norsk))[1](F.col("text")).alias("text"))
+        return iss.scan_rules(x, RULES[name].df(s), rl.FORMS.df(s))
 
 
 @query("f1g_split_suffix", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zæøå]+') AS l FROM documents), k AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM t),
@@ -254,16 +256,16 @@ def _(s, d):
     return iss.mixed_tense(parsed(s, d))
 
 
-ALL_RULES = Literal(RULE, tuple(r for name in ("f1a_spacing", "f1b_repeats", "f1d_blanks", "f1f_prepositions", "f1h_grammar", "f1i_words") for r in RULES[name]))
+ALL_RULES = Literal(rl.COLUMNS, tuple(r for rows in rl.RULES.values() for r in rows))
 MERGED = _scan(ALL_RULES.sql()) + """, u AS (SELECT * FROM si WHERE confidence >= 0.5), dd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, "end", issue ORDER BY confidence DESC, checker, suggestion NULLS FIRST) AS k FROM u),
 mg AS (SELECT * EXCLUDE (k) FROM (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY doc_id, type ORDER BY start, "end", issue) AS k FROM dd WHERE k = 1) WHERE k <= 10)"""
 
 
 def merged(s, d, cap=10):
-    x = docs(s, d).select("doc_id", "text")
+    x = docs(s, d).select("doc_id", norsk(F.col("text")).alias("text"))
     # two checkers that share some rules
     half = len(ALL_RULES.rows) // 2
-    return iss.merge_issues([iss.scan_rules(x, Literal(RULE, rows).df(s)) for rows in (ALL_RULES.rows[: half + 2], ALL_RULES.rows[half:])], cap=cap)
+    return iss.merge_issues([iss.scan_rules(x, Literal(rl.COLUMNS, rows).df(s), rl.FORMS.df(s)) for rows in (ALL_RULES.rows[: half + 2], ALL_RULES.rows[half:])], cap=cap)
 
 
 @query("f14_merge_issues", f"WITH {MERGED} SELECT * FROM mg")
@@ -337,10 +339,12 @@ def _(s, d):
     return iss.common_errors(merged(s, d, cap=None).where("suggestion is not null").select(F.col("issue").alias("wrong"), F.col("suggestion").alias("correct")))
 
 
-FIXES = Literal(RULE, tuple(r for r in RULES["f1b_repeats"] + RULES["f1c_abbreviations"] + RULES["f1i_words"] if r[3]))
+FIXES = Literal(rl.COLUMNS, tuple(r for name in ("f1b_repeats", "f1c_abbreviations", "f1f_prepositions", "f1i_words") for r in rl.RULES[name]))
 
 
-@query("f22_apply", f"WITH {_scan(FIXES.sql())}, d AS (SELECT doc_id, count(*) AS n_applied, sum(length(suggestion) - length(issue)) AS grown FROM (SELECT DISTINCT doc_id, start, issue, suggestion FROM si) GROUP BY 1) SELECT doc_id, n_applied::INT AS n_applied, (length(text) + grown)::INT AS length FROM d JOIN documents USING (doc_id)")
+@query("f22_apply", f"""WITH {_scan(FIXES.sql())}, o AS (SELECT DISTINCT ON (doc_id, start) doc_id, start, "end", suggestion FROM si WHERE suggestion IS NOT NULL ORDER BY doc_id, start, "end" DESC, suggestion),
+l AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM o), k AS (SELECT doc_id, start, "end", suggestion, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM l WHERE start >= prev)
+SELECT k.doc_id, count(*)::INT AS n_applied, md5(string_agg(substr(t.text, prev + 1, start - prev) || suggestion, '' ORDER BY start) || substr(any_value(t.text), max("end") + 1)) AS text_md5 FROM k JOIN t ON k.doc_id = t.doc_id GROUP BY k.doc_id""")
 def _(s, d):
-    x = docs(s, d).select("doc_id", "text")
-    return iss.apply_suggestions(x, iss.scan_rules(x, FIXES.df(s))).select("doc_id", "n_applied", F.char_length("text").alias("length"))
+    x = docs(s, d).select("doc_id", norsk(F.col("text")).alias("text"))
+    return iss.apply_suggestions(x, iss.scan_rules(x, FIXES.df(s), rl.FORMS.df(s))).select("doc_id", "n_applied", F.md5("text").alias("text_md5"))
