@@ -326,19 +326,7 @@ def _(s, d):
 
 @query("j2_debounce", "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts >= INTERVAL 30 MINUTES")
 def _(s, d):
-    return st.debounce_batch(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "30 minutes").select("event_id", "user_id")
-
-
-@query("j3_correlate", """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT user_id, ts, event_id AS response_id FROM events WHERE event_type = 'view'),
-j AS (SELECT a.event_id, min(response_id) AS response_id, count(response_id) AS answers FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOURS GROUP BY 1) SELECT *, answers = 0 AS partial FROM j""")
-def _(s, d):
-    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return st.correlate_batch(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "2 hours")
-
-
-@query("j4_rate_limit", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) > 2 AS excess FROM events")
-def _(s, d):
-    return st.rate_limit_batch(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "1 day", 2).select("event_id", "user_id", "excess")
+    return st.last_of_burst(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "30 minutes").select("event_id", "user_id")
 
 
 @query("j5_user_state", "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event, max(ts) AS t FROM events GROUP BY 1) SELECT user_id, last_event FROM l WHERE last_event <> 'error' AND t >= TIMESTAMP '2024-01-29 00:00:00'")

@@ -55,7 +55,7 @@ RULES: dict[str, tuple] = {
     "f1h_grammar": (
         rule("negation", "negation_before_verb", r"(?i)\b(?:det|han|hun|de|vi|jeg|du)\s+ikke\s+(?:er|var|har|hadde)\b", "$1 $3 $2", find=r"^(\w+)\s+(\w+)\s+(\w+)$"),
         rule("negation", "question_order", r"(?i)\b(?:hvorfor|når|hvor|hva|hvem|hvilken|hvordan)\s+\w+\s+ikke\s+\w+", "$1 $4 $2 $3", find=r"^([^\s]+)\s+(\w+)\s+(\w+)\s+(\w+)$"),
-        rule("infinitive", "present_after_marker", r"(?:^|[^\p{L}\p{N}_])[åÅ]\s+\w+er\b", "e", lead=_LAST_WORD, find="er$"),
+        rule("infinitive", "present_after_marker", r"(?:^|\s)[åÅ]\s+\w+er\b", "e", lead=_LAST_WORD, find="er$"),
         rule("definite", "bare_noun_after_preposition", r"(?i)\b(?:til|i|på|med|for|om|av|fra)\s+(?:butikk|dag|uke|måned|år|bil|hus|bok)\b", lead=_LAST_WORD, lookup="definite"),
         rule("article", "missing_article", r"(?i)\b(?:dag|butikk)\b", lookup="article", not_before=r"(?:en|et|den|det|denne|dette|til|i|på|med|for|om|av|fra|min|din|sin|vår|deres|hans|hennes)\s+$"),
         rule("agreement", "masculine_adjective", r"(?i)\b(?:en|den)\s+\w+t\s+(?:bil|mann|gutt|stol|dag)\b", "$1", find=r"t(\s+\w+)$"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,5 +115,62 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return parse_requests(spark.readStream.format("text").load(path))
 
 
-def write_results(df: DataFrame, path: str, checkpoint: str, format: str = "parquet"):
-    return df.writeStream.format(format).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder path below spark.checkpoint.dir, which the cluster shares; a local one only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="textlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _parts(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the finished `base` and `batch` folders of a result table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    if fs.exists(at):
+        for status in fs.listStatus(at):
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found[kind].append(int(number))
+    return found
+
+
+def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ...], order: str) -> bool:
+    """Adds a batch's last row of each key to the result table at `path`, under the batch's id; False, and nothing is done, if that id
+    is there already. A write that was cut short has no end mark and is written anew."""
+    parts = _parts(batch.sparkSession, path)
+    if batch_id in parts["batch"] or batch_id <= max(parts["base"], default=-1):
+        return False
+    _last(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return True
+
+
+def _last(df: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def read_results(spark: SparkSession, path: str, keys: tuple[str, ...], order: str) -> DataFrame:
+    """The result table: for each key the row with the greatest `order`, of equal ones that of the latest batch."""
+    parts = _parts(spark, path)
+    base = max(parts["base"], default=-1)
+    folders = [(f"{path}/base={base}", base)] * (base >= 0) + [(f"{path}/batch={b}", b) for b in sorted(parts["batch"]) if b > base]
+    if not folders:
+        raise FileNotFoundError(path)
+    return _last(reduce(DataFrame.unionByName, [spark.read.parquet(f).withColumn("_batch", F.lit(b)) for f, b in folders]), keys, order, "_batch").drop("_batch")
+
+
+def compact_results(spark: SparkSession, path: str, keys: tuple[str, ...], order: str) -> None:
+    """Merges all finished batches into a new base, so that a long stream's table stays few folders; their ids stay known by its number."""
+    parts = _parts(spark, path)
+    newest = max([*parts["batch"], *parts["base"]], default=-1)
+    if newest > max(parts["base"], default=-1):
+        read_results(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/base={newest}")
+
+
+def write_results(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("client", "id"), order: str = "ts", mode: str = "append"):
+    """Starts a stream of results into the table at `path`, keyed by client and request: each micro-batch is merged under its id, so
+    that one that is replayed after a failure changes nothing."""
+    return df.writeStream.foreachBatch(lambda batch, i: merge_batch(batch, i, path, keys, order)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
