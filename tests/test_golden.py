@@ -180,23 +180,6 @@ def run_stream(spark, df, name, mode):
     return spark.table(name).collect()
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(str(tmp_path / "e"))
-    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 50).parquet(str(tmp_path / "e"))
-    got = run_stream(spark, streams.user_state(stream()), "users", "update")
-    last = {r.user_id: r for r in sorted(got, key=lambda r: r.ts_us)}
-    want = {r.user_id: r.e for r in events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("e")).collect()}
-    assert {u: r.last_event for u, r in last.items()} == {u: None if e == "error" else e for u, e in want.items()}
-    assert len(run_stream(spark, streams.rate_limit(stream(), 3600, 1), "rates", "append")) == events.count()
-    quiet = {(r.user_id, r.event_id) for r in run_stream(spark, streams.debounce(stream(), 1800), "quiet", "append")}
-    batch = {(r.user_id, r.event_id) for r in streams.debounce_batch(events, "30 minutes").collect()}
-    assert quiet <= batch and len(quiet) > len(batch) * 0.8  # the last burst of each user waits for later events
-    status = lambda df: df.select(F.concat(F.lit("d"), F.col("event_id") % 5).alias("domain"), "ts", "event_id", (F.col("event_type") != "error").alias("is_up"), F.lit(True).alias("registered"))
-    changes = {(r.event_id, r.changed) for r in run_stream(spark, streams.stream_status_changes(status(stream())), "changes", "append")}
-    assert changes == {(r.event_id, r.changed) for r in domains.status_changes(status(events)).collect()}
-
-
 def test_readability_stream(spark, tmp_path):
     d = docs(spark, "a bb ccccccc. d!", "e f")
     d.write.parquet(str(tmp_path / "d"))
