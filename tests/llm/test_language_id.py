@@ -107,3 +107,12 @@ def test_calibration_pools_languages():
     told = pd.DataFrame({"language": ["x"] * 6 + ["y"], "h": [2.0, 2.1, 1.9, 2.0, 2.2, 1.8, 2.6], "n": [500] * 7})
     x, y, z = li._calibration(told, ["x", "y", "z"])
     assert x[0] == 2.0 and y[0] == z[0] == 2.6 and (y[1:] == x[1:]).all() and (z[1:] == x[1:]).all()
+
+
+def test_letters_are_those_of_unicode(spark):
+    assert [li.letters_of(t) for t in ("½ ² ①", "Ⅷ", "一二", "a½b", "é", "́", "_1_", "ªb")] == ["", "", " 一二 ", " a b ", " é ", "", "", " ªb "]
+    rows = [(i, f"the quick brown fox number {i} runs over the lazy dog and the cat", "en") for i in range(30)]
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ"), (3, "́"), (4, "123"), (5, "the fox")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in li.identify(odd, model).collect()}
+    assert {got[i][0] for i in (1, 2, 3, 4)} == {"und"} and all(got[i][1] for i in (1, 2, 3, 4)) and got[5][0] == "en"

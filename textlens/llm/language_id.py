@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +28,14 @@ REJECT_Z = 12.0
 BATCH_CHARS = 250_000
 UNKNOWN = "und"
 
-_GAPS = re.compile(r"[\W\d_]+")
+#: Letters and marks by Unicode category; numerals that aren't digits (½, Ⅷ) are gaps too.
+_GAPS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters_of(text: str | None) -> str:
-    """Lower-case letters with a blank for every run of anything else, blanks around; empty if there is no letter."""
-    words = _GAPS.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    """Lower-case letters and marks with a blank for every run of anything else, blanks around; empty if there is no letter."""
+    words = _GAPS.sub(" ", (text or "").lower()).strip(" ")
+    return f" {words} " if _LETTER.search(words) else ""
 
 
 def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
