@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import checked_small
+from ..functions.substrings import containing
 
 #: Longest word for which deletion keys are made (their number grows with the square of the length).
 MAX_FUZZY_LENGTH = 30
@@ -224,9 +225,9 @@ def word_relations(words: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 
 def examples(words: DataFrame, sentences: DataFrame, k: int = 5) -> DataFrame:
-    """The first k sentences (by id) that contain each word of a small list."""
+    """The first k sentences (by id) that contain each word, whatever the case; see containing() for many words."""
     w = Window.partitionBy("word").orderBy("item_id")
-    hits = sentences.join(F.broadcast(checked_small(words)), F.lower("text").contains(F.lower("word")))
+    hits = containing(sentences.select("item_id", F.lower("text").alias("_text")), "_text", words.select("word", F.lower("word").alias("_lower")), "_lower")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("word", "item_id", "rank")
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.checks import checked_small
+from ..functions.substrings import containing
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, positive, negative, label, score): terms contained in the lower-cased text, anywhere."""
-    hits = docs.select("doc_id", F.lower("text").alias("t")).join(F.broadcast(checked_small(lexicon)), F.col("t").contains(F.col("term")))
+    """(doc_id, positive, negative, label, score): terms contained in the lower-cased text, anywhere. lexicon: (term, polarity)."""
+    hits = containing(docs.select("doc_id", F.lower("text").alias("t")), "t", lexicon.select("term", "polarity"), "term")
     p = hits.groupBy("doc_id").pivot("polarity", ["positive", "negative"]).count()
     x = docs.select("doc_id").join(p, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("positive", "negative")])
     label = F.when(F.col("positive") > F.col("negative"), "positive").when(F.col("negative") > F.col("positive"), "negative").otherwise("neutral")

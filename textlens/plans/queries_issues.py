@@ -231,12 +231,15 @@ def parsed(s, d):
     return t.select("doc_id", "sent_id", "id", "form", F.col("pos").alias("upos"), feats.alias("feats"), F.when(last, 0).otherwise(F.col("id") + 1).alias("head"), rel.alias("deprel"))
 
 
-@query("f13a_determiner", f"WITH {PS} SELECT a.doc_id, a.sent_id, a.id, a.form || ' ' || h.form AS issue FROM ps a JOIN ps h ON a.doc_id = h.doc_id AND a.sent_id = h.sent_id AND a.head = h.id WHERE a.deprel = 'det' AND h.upos = 'NOUN' AND (a.gender <> h.gender OR a.number <> h.number)")
+HEADS = PS + ", hd AS (SELECT *, lead(form) OVER w AS h_form, lead(upos) OVER w AS h_upos, lead(gender) OVER w AS h_gender, lead(number) OVER w AS h_number FROM ps WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY id))"
+
+
+@query("f13a_determiner", f"WITH {HEADS} SELECT doc_id, sent_id, id, form || ' ' || h_form AS issue FROM hd WHERE deprel = 'det' AND h_upos = 'NOUN' AND (gender <> h_gender OR number <> h_number)")
 def _(s, d):
     return iss.determiner_agreement(parsed(s, d))
 
 
-@query("f13b_subject_verb", f"WITH {PS} SELECT a.doc_id, a.sent_id, a.id, a.form || ' ' || h.form AS issue FROM ps a JOIN ps h ON a.doc_id = h.doc_id AND a.sent_id = h.sent_id AND a.head = h.id WHERE a.deprel = 'nsubj' AND h.upos = 'VERB' AND a.number <> h.number")
+@query("f13b_subject_verb", f"WITH {HEADS} SELECT doc_id, sent_id, id, form || ' ' || h_form AS issue FROM hd WHERE deprel = 'nsubj' AND h_upos = 'VERB' AND number <> h_number")
 def _(s, d):
     return iss.subject_verb_agreement(parsed(s, d))
 

@@ -175,7 +175,7 @@ RARE, COMMON = "docs = 1", "docs > 1"
 
 
 @query("d14_fuzzy_candidates", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT word FROM wc WHERE {RARE} OR docs = 25), v AS MATERIALIZED (SELECT word AS candidate FROM wc WHERE {COMMON}),
-n AS MATERIALIZED (SELECT r.word, candidate, {lev('r.word', 'candidate')} AS distance FROM (SELECT word, substr(word, 1, 3) AS p FROM r ANTI JOIN v ON word = candidate) r JOIN (SELECT candidate, substr(candidate, 1, 3) AS p FROM v) v USING (p) WHERE abs(length(r.word) - length(candidate)) <= 2),
+n AS MATERIALIZED (SELECT r.word, candidate, {lev('r.word', 'candidate')} AS distance FROM (SELECT word, substr(word, 1, 3) AS p, unnest(range(length(word) - 2, length(word) + 3)) AS l FROM r ANTI JOIN v ON word = candidate) r JOIN (SELECT candidate, substr(candidate, 1, 3) AS p, length(candidate) AS l FROM v) v USING (p, l)),
 k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, candidate) AS k FROM n WHERE distance <= 2)
 SELECT word, candidate, distance::INT AS distance FROM k WHERE k <= 5 UNION ALL SELECT word, word, 0 FROM r SEMI JOIN v ON word = candidate""")
 def _(s, d):
@@ -235,7 +235,7 @@ def _(s, d):
     return hyphenated(s, d)
 
 
-@query("d20_hyphen_parts", f"WITH {HYPHEN}, p AS (SELECT DISTINCT word, unnest(string_split(hyphenated, '-')) AS part FROM hy) SELECT word, part FROM p WHERE length(part) > 1 AND part IN (SELECT word FROM wc) AND part NOT IN ('the', 'en')")
+@query("d20_hyphen_parts", f"WITH {HYPHEN}, p AS MATERIALIZED (SELECT DISTINCT word, unnest(string_split(hyphenated, '-')) AS part FROM hy), k AS MATERIALIZED (SELECT word AS part FROM wc WHERE word NOT IN ('the', 'en')) SELECT p.word, part FROM p SEMI JOIN k USING (part) WHERE length(part) > 1")
 def _(s, d):
     return lx.valid_hyphen_parts(hyphenated(s, d), counts(s, d).select("word"), s.createDataFrame([("the",), ("en",)], "word string"))
 
@@ -274,9 +274,10 @@ def _(s, d):
 SAMPLE = Literal("word string", (("the",), ("that",), ("und",), ("Que",), ("nowhere",)))
 
 
-@query("d24_examples", f"WITH w AS ({SAMPLE.sql()}), h AS (SELECT word, item_id, row_number() OVER (PARTITION BY word ORDER BY item_id) AS rank FROM w JOIN benchmark ON contains(lower(text), lower(word))) SELECT word, item_id, rank::INT AS rank FROM h WHERE rank <= 5")
+# examples for the whole vocabulary of five letters and more in the texts of `benchmark`
+@query("d24_examples", f"WITH {COUNTS}, w AS MATERIALIZED (SELECT word FROM wc WHERE length(word) >= 5), t AS MATERIALIZED (SELECT item_id, lower(text) AS t FROM benchmark), h AS (SELECT word, item_id, row_number() OVER (PARTITION BY word ORDER BY item_id) AS rank FROM w JOIN t ON contains(t, word)) SELECT word, item_id, rank::INT AS rank FROM h WHERE rank <= 5")
 def _(s, d):
-    return lx.examples(SAMPLE.df(s), table(s, d, "benchmark"))
+    return lx.examples(counts(s, d).where(F.char_length("word") >= 5).select("word"), table(s, d, "benchmark"))
 
 
 CHANGES = Literal("ts int, word string, form string, tag string", ((1, "bil", "bilen", "x"), (2, "bil", "bilen", "subst mask ent be ny"), (1, "båt", "båten", "subst mask ent be")))
