@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import checked_small
 from ..functions.patterns import index_grams, java_pattern
+from ..functions.substrings import grams
+from ..functions.text import running_sum
 
 ISSUE = ("doc_id", "checker", "type", "start", "end", "issue", "suggestion", "severity", "confidence")
 
@@ -38,23 +40,12 @@ def rule_index(rules: DataFrame) -> DataFrame:
     for row in rows:
         r = {k: row[k] if k in rules.columns else None for k in _RULE_FIELDS}
         r |= {k: r[k] and java_pattern(r[k]) for k in _PATTERNS}
-        grams = index_grams(row["pattern"], r["requires"] and row["requires"])
-        entries += [(gram, grams, *r.values()) for gram in grams or [""]]
+        known = index_grams(row["pattern"], r["requires"] and row["requires"])
+        entries += [(gram, known, *r.values()) for gram in known or [""]]
     fields = ", ".join(f"_{k} {'double' if k == 'confidence' else 'string'}" for k in _RULE_FIELDS)
     return rules.sparkSession.createDataFrame(entries, f"_gram string, _grams array<string>, {fields}")
 
 
-def running_sum(sizes: Column) -> Column:
-    """Sums of an array up to each place, by doubling the stretch that is added at each step: n log n."""
-
-    def step(sums: Column, j: Column) -> Column:
-        by = F.pow(F.lit(2), j).cast("int")
-        shifted = F.concat(F.array_repeat(F.lit(0), F.least(by, F.size(sums))), F.slice(sums, F.lit(1), F.greatest(F.size(sums) - by, F.lit(0))))
-        return F.when(by < F.size(sums), F.zip_with(sums, shifted, lambda a, b: a + b)).otherwise(sums)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), sizes, step)
-
-
 def scan_rules(docs: DataFrame, rules: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """Issues of a rule table in all documents: (doc_id, checker, type, start, end, issue, suggestion, severity, confidence).
 
@@ -69,8 +60,7 @@ def scan_rules(docs: DataFrame, rules: DataFrame, forms: DataFrame | None = None
     Null and empty texts have no issues, repeated rows have theirs each time.
     """
     low = F.lower("text")
-    grams = F.array_append(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=(\S{3}))"), F.lit(1))), F.lit(""))
-    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_gram", F.explode(grams))
+    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_gram", F.explode(F.array_append(grams(low), F.lit(""))))
     t = cut.join(F.broadcast(rule_index(rules)), "_gram")
     # a rule with alternatives is met under the first one that the text holds
     t = t.where((F.size("_grams") < 2) | (F.element_at(F.filter("_grams", lambda g: F.contains(low, g)), 1) == F.col("_gram")))

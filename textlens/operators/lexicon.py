@@ -274,6 +274,31 @@ def check_text(tokens: DataFrame, checked: DataFrame) -> DataFrame:
     return g.withColumn("error_rate", F.col("n_errors") / F.col("n_words"))
 
 
+def suggestion_sources(words: DataFrame, forms: DataFrame, compounds: DataFrame, lexicon: DataFrame, dictionary: DataFrame, swaps: DataFrame, spellings: DataFrame, hyphenated: DataFrame) -> list[DataFrame]:
+    """The candidates (word, candidate) of each source for suggest(): lemmas of the word or of it without its last letter, parts of a
+    compound, words of the same category, near words of the dictionary, words with one letter swapped, other spellings, and parts
+    between hyphens that are words."""
+    named = lambda df, c: df.select("word", F.col(c).alias("candidate"))
+    bases = lookup(words, forms).where("lemmas is not null").select("word", F.explode(F.split("lemmas", ",", -1)).alias("candidate"))
+    parts = valid_hyphen_parts(hyphenated, dictionary, dictionary.limit(0))
+    return [
+        bases, named(compound_parts(words, compounds), "part"), named(category_mates(words, lexicon), "mate"), named(fuzzy_candidates(words, dictionary), "candidate"),
+        named(letter_variants(words, dictionary, swaps), "variant"), named(spelling_variants(words, spellings), "variant"), named(parts, "part"),
+    ]
+
+
+def misspelled_tokens(docs: DataFrame, checked: DataFrame, suggested: DataFrame, lang: str = "en") -> DataFrame:
+    """(doc_id, tok_id, form, start, end, suggestions): every misspelled word of a text with its place and its suggestions, nearest
+    first, null for none. Numbers, addresses and the like are skipped. checked: check_words() of the lower-cased vocabulary;
+    suggested: suggest() for its misspelled words. Words are looked up once each and hang on their tokens by equi-joins."""
+    from .text import spell_skip_filter, tokenize_with_offsets
+
+    listed = suggested.groupBy(F.col("word").alias("lower")).agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("_c")).select("lower", F.array_join(F.col("_c.candidate"), ",").alias("suggestions"))
+    wrong = checked.where("not correct").select(F.col("word").alias("lower")).distinct().join(listed, "lower", "left")
+    t = spell_skip_filter(tokenize_with_offsets(docs), lang).withColumn("lower", F.lower("form"))
+    return t.join(wrong, "lower").select("doc_id", "tok_id", "form", "start", "end", "suggestions")
+
+
 def retry_without_apostrophe(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     d = dictionary.select(F.lower("word").alias("_d")).distinct()
     first = words.join(d, F.lower("word") == F.col("_d"), "left_semi").select("word", F.col("word").alias("accepted_as"))

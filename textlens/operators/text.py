@@ -28,14 +28,12 @@ def tokenize(docs: DataFrame, policy: str = "unicode", text: str = "text") -> Da
 
 
 def tokenize_with_offsets(docs: DataFrame, policy: str = "unicode") -> DataFrame:
-    """tokenize() with start and end (excluded) in characters, from the lengths of gaps and words, added up by document
-    (one shuffle of the tokens)."""
+    """tokenize() with start and end (excluded) in characters, from the lengths of gaps and words, added up within the row."""
     pairs = rf"([\s\S]*?)({tx.WORD[policy]})"
-    gaps = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pairs), F.lit(1))
-    forms = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pairs), F.lit(2))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), forms.alias("form"))).alias("tok_id", "p"))
-    w = Window.partitionBy("doc_id").orderBy("tok_id")
-    end = F.sum(F.char_length("p.gap") + F.char_length("p.form")).over(w)
+    cut = docs.select("doc_id", *[F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pairs), F.lit(i)).alias(c) for i, c in ((1, "gap"), (2, "form"))])
+    ends = tx.running_sum(F.zip_with("gap", "form", lambda g, f: F.char_length(g) + F.char_length(f)))
+    rows = cut.select("doc_id", F.posexplode(F.arrays_zip(ends.alias("end"), F.col("form"))).alias("tok_id", "p"))
+    end = F.col("p.end").cast("long")
     return rows.select("doc_id", "tok_id", F.col("p.form").alias("form"), (end - F.char_length("p.form")).alias("start"), end.alias("end"))
 
 

@@ -330,6 +330,43 @@ def _(s, d):
     return lx.suggest(rare, [lx.fuzzy_candidates(rare, common), near])
 
 
+_ALL_WORDS = """r AS MATERIALIZED (SELECT word FROM wc WHERE docs = 1), d AS MATERIALIZED (SELECT word FROM wc WHERE docs >= 3)"""
+_FUZZY = f"""n AS MATERIALIZED (SELECT a.word, candidate, {lev('a.word', 'candidate')} AS distance FROM (SELECT word, substr(word, 1, 3) AS p, unnest(range(length(word) - 2, length(word) + 3)) AS l FROM r) a JOIN (SELECT word AS candidate, substr(word, 1, 3) AS p, length(word) AS l FROM d) b USING (p, l)),
+fz AS (SELECT word, candidate FROM n WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, candidate) <= 5)"""
+_LETTERS = f"""sw AS (SELECT a, b FROM ({SWAPS.sql()}) UNION ALL SELECT b, a FROM ({SWAPS.sql()})), le AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM r),
+lv2 AS (SELECT DISTINCT m.word, candidate FROM (SELECT word, substr(word, 1, i - 1) || b || substr(word, i + 1) AS candidate FROM le JOIN sw ON substr(word, i, 1) = a) m SEMI JOIN d ON candidate = d.word)"""
+_SPELLINGS = f"""pr AS (SELECT a, b FROM ({SPELLINGS.sql()}) UNION ALL SELECT word, replace(word, 'th', 't') FROM wc WHERE contains(word, 'th')), sv AS (SELECT r.word, b AS candidate FROM r JOIN pr ON r.word = a UNION SELECT r.word, a FROM r JOIN pr ON r.word = b)"""
+_RANKED = f"su AS MATERIALIZED (SELECT word, candidate, {lev('word', 'candidate')}::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY {lev('word', 'candidate')}, candidate)::INT AS rank FROM al WHERE word <> candidate QUALIFY rank <= 15)"
+
+
+def spellings(s, c):
+    return SPELLINGS.df(s).union(c.where(F.contains("word", F.lit("th"))).select("word", F.replace("word", F.lit("th"), F.lit("t"))))
+
+
+@query("e2_suggest_sources", f"""WITH {VOCABULARY_FORMS}{HYPHEN[len(COUNTS):].replace("v AS MATERIALIZED (SELECT word FROM wc)", "v AS MATERIALIZED (SELECT word FROM wc WHERE docs = 1)")}, {_ALL_WORDS}, {_FUZZY}, {_LETTERS}, {_SPELLINGS}, x AS ({tb.LEXICON.sql()}),
+kl AS MATERIALIZED (SELECT form, list(DISTINCT lemma) AS l FROM fm GROUP BY 1), ba AS (SELECT r.word, unnest(coalesce(a.l, b.l)) AS candidate FROM r LEFT JOIN kl a ON r.word = a.form LEFT JOIN kl b ON substr(r.word, 1, length(r.word) - 1) = b.form),
+al AS (SELECT * FROM ba UNION SELECT r.word, unnest(string_split(components, '+')) FROM r JOIN cp ON r.word = cp.word UNION SELECT r.word, b.word FROM r JOIN x a ON r.word = a.word JOIN x b ON a.category = b.category AND a.word <> b.word
+ UNION SELECT * FROM fz UNION SELECT * FROM lv2 UNION SELECT * FROM sv UNION SELECT h.word, part FROM (SELECT DISTINCT word, unnest(string_split(hyphenated, '-')) AS part FROM hy) h SEMI JOIN d ON part = d.word WHERE length(part) > 1), {_RANKED} SELECT * FROM su""")
+def _(s, d):
+    c = counts(s, d)
+    rare, dictionary = c.where(RARE).select("word"), c.where("docs >= 3").select("word")
+    hyphens = lx.hyphenate_vocabulary(rare, PATTERNS.df(s), EXCEPTIONS.df(s))
+    return lx.suggest(rare, lx.suggestion_sources(rare, vocabulary_forms(s, c), compounds(c), tb.LEXICON.df(s), dictionary, SWAPS.df(s), spellings(s, c), hyphens), 15)
+
+
+# every misspelled word of every document with its place; words of one document are checked, suggestions come from three sources
+@query("e3_misspelled", rf"""WITH {CHECKED}, {_ALL_WORDS}, {_FUZZY}, {_LETTERS}, {_SPELLINGS}, al AS (SELECT * FROM fz UNION SELECT * FROM lv2 UNION SELECT * FROM sv), {_RANKED},
+sl AS MATERIALIZED (SELECT word, string_agg(candidate, ',' ORDER BY rank) AS suggestions FROM su GROUP BY 1), wr AS MATERIALIZED (SELECT ck.word, suggestions FROM ck LEFT JOIN sl USING (word) WHERE source = 'none'),
+p AS (SELECT doc_id, (unnest(range(len(f))))::INT AS tok_id, unnest(g) AS gap, unnest(f) AS form FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '((?s:.*?))([\p{{L}}\p{{M}}\p{{N}}_]+)', 1) AS g, regexp_extract_all(coalesce(text, ''), '((?s:.*?))([\p{{L}}\p{{M}}\p{{N}}_]+)', 2) AS f FROM documents)),
+e AS (SELECT *, sum(length(gap) + length(form)) OVER (PARTITION BY doc_id ORDER BY tok_id) AS e FROM p)
+SELECT doc_id, tok_id, form, (e - length(form))::BIGINT AS start, e::BIGINT AS "end", suggestions FROM e JOIN wr ON lower(form) = wr.word WHERE NOT regexp_matches(form, '^[0-9]+$')""")
+def _(s, d):
+    c = counts(s, d)
+    rare, dictionary = c.where(RARE).select("word"), c.where("docs >= 3").select("word")
+    near = [lx.fuzzy_candidates(rare, dictionary).select("word", "candidate"), lx.letter_variants(rare, dictionary, SWAPS.df(s)).select("word", F.col("variant").alias("candidate")), lx.spelling_variants(rare, spellings(s, c)).select("word", F.col("variant").alias("candidate"))]
+    return lx.misspelled_tokens(docs(s, d), checked(s, d), lx.suggest(rare, near, 15))
+
+
 @query("e3_check_text", f"WITH {CHECKED} SELECT doc_id, count(*) AS n_words, count(ck.word) AS n_errors, count(ck.word) / count(*) AS error_rate FROM tk LEFT JOIN ck ON tk.lower = ck.word AND source = 'none' GROUP BY doc_id")
 def _(s, d):
     return lx.check_text(op.tokenize(docs(s, d)), checked(s, d))
