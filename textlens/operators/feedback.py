@@ -59,11 +59,13 @@ def suggestion_stats(state: DataFrame) -> DataFrame:
 
 
 def admin_stats(state: DataFrame, events: DataFrame, custom: DataFrame, now: str) -> DataFrame:
-    """(lang, custom_words, added_7d, active_users) for each language of the custom words."""
+    """(lang, custom_words, added_7d, active_users, pending, approved) for each language of the custom words. state: see
+    suggestion_state()."""
     recent = F.col("added_at") >= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
     c = custom.groupBy("lang").agg(F.count("*").alias("custom_words"), F.count_if(recent).alias("added_7d"))
     u = events.select("lang", "user_id").union(custom.select("lang", "user_id")).groupBy("lang").agg(F.count_distinct("user_id").alias("active_users"))
-    return c.join(u, "lang")
+    s = state.groupBy("lang").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("pending", "approved")])
+    return c.join(u, "lang").join(s, "lang", "left").fillna(0, ["pending", "approved"])
 
 
 def issue_feedback(events: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import domains as dm
 from ..operators import feedback as fb
 from ..operators import nlp
+from ..operators import sketches as sk
 from ..streaming import streams as st
 from . import registry_ext as ext
 from . import tables as tb
@@ -90,12 +91,22 @@ def _(s, d):
     return fb.suggestion_stats(fb.suggestion_state(actions(s, d)))
 
 
-@query("h8_admin", f"""WITH {EV}, c AS (SELECT lang, user_id, ts AS added_at FROM ev WHERE event_type = 'signup'), k AS (SELECT lang, count(*) AS custom_words, count_if(added_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS) AS added_7d FROM c GROUP BY 1),
-u AS (SELECT lang, count(DISTINCT user_id) AS active_users FROM ev WHERE event_type IN ('view', 'signup') GROUP BY 1) SELECT * FROM k JOIN u USING (lang)""")
+@query("h8_admin", f"""WITH {EV}{ACT}, c AS (SELECT lang, user_id, ts AS added_at FROM ev WHERE event_type = 'signup'), k AS (SELECT lang, count(*) AS custom_words, count_if(added_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS) AS added_7d FROM c GROUP BY 1),
+us AS (SELECT lang, count(DISTINCT user_id) AS active_users FROM ev WHERE event_type IN ('view', 'signup') GROUP BY 1), sg AS (SELECT lang, count_if(status = 'pending') AS pending, count_if(status = 'approved') AS approved FROM ss GROUP BY 1) SELECT * FROM k JOIN us USING (lang) LEFT JOIN sg USING (lang)""")
 def _(s, d):
     v = votes(s, d)
     c = v.where("event_type = 'signup'").select("lang", "user_id", F.col("ts").alias("added_at"))
-    return fb.admin_stats(v.limit(0), v.where("event_type = 'view'"), c, NOW)
+    return fb.admin_stats(fb.suggestion_state(actions(s, d)), v.where("event_type = 'view'"), c, NOW)
+
+
+# users of each day and of the week up to it, from sketches by day; sets of some hundred are exact
+@query("h8_active_users", """WITH u AS (SELECT ts::DATE AS day, user_id FROM events), d AS (SELECT day, count(*) AS events, count(DISTINCT user_id) AS users FROM u GROUP BY 1)
+SELECT d.day, d.events, d.users, (SELECT count(DISTINCT user_id) FROM u WHERE u.day > d.day - 7 AND u.day <= d.day) AS users_7d FROM d""")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("ts").cast("date").alias("day"), "user_id")
+    daily = sk.distinct_sketches(e, ["day"], "user_id")
+    week = sk.estimate(sk.trailing(daily, [], "day", 7), "users_7d").drop("n")
+    return sk.estimate(daily, "users").withColumnRenamed("n", "events").join(week, "day")
 
 
 FP = EV + ", fe AS (SELECT *, 'spelling:' || word AS fingerprint, CASE WHEN event_id % 4 = 0 THEN 'm' || (event_id % 5) END AS modification FROM ev), fi AS (SELECT fingerprint, count(*) AS total, count_if(NOT positive) AS negative FROM fe GROUP BY 1)"

@@ -306,6 +306,16 @@ def _(s, d):
     return rd.most_common_words(docs(s, d))
 
 
+@query("c15_corpus_diversity")
+def _(s, d):
+    """Words and distinct words of each language, by sketches of each source merged; no SQL, as estimates differ by engine."""
+    from ..operators import sketches as sk
+
+    t = docs(s, d).select("lang", "source", F.explode(tx.words(F.lower("text"))).alias("word"))
+    merged = sk.estimate(sk.merge_sketches(sk.distinct_sketches(t, ["lang", "source"], "word"), ["lang"]))
+    return merged.select("lang", F.col("n").alias("n_words"), "n_distinct", (F.col("n_distinct") / F.col("n")).alias("diversity"))
+
+
 @query("c15_lexical_diversity", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{W}') AS w FROM documents)
 SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS diversity FROM w""")
 def _(s, d):
