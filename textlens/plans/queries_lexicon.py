@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import compounds as cm
 from ..operators import lexicon as lx
 from ..operators import text as op
 from . import tables as tb
@@ -389,3 +390,39 @@ SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NULL THEN 'second'
 def _(s, d):
     t = op.tokenize(docs(s, d)).select("doc_id", F.col("lower").alias("word"))
     return lx.dialect_gap(t.where("doc_id % 2 = 0").select("word"), t.where("doc_id % 2 = 1").select("word"))
+
+
+# --- F6: words of the vocabulary that can be cut into words of three documents and more, and texts in which they are written apart
+
+_NOUN_ENDS = ("n", "t", "s", "e", "a", "g", "h")
+SEGMENTS = COUNTS + f""", vc AS MATERIALIZED (SELECT word, 10 * length(word) + length(bin(n)) + CASE WHEN right(word, 1) IN {_NOUN_ENDS} THEN 5 ELSE 0 END AS weight FROM wc WHERE docs >= 3 AND length(word) >= 2),
+cw AS MATERIALIZED (SELECT word, n FROM wc WHERE docs > 1 AND length(word) BETWEEN 4 AND 24),
+ed AS MATERIALIZED (SELECT c.word, i, j, part, weight FROM (SELECT word, i, j, substr(word, i + 1, j - i) AS part FROM (SELECT word, i, unnest(range(i + 2, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word) - 1)) AS i FROM cw)) WHERE i > 0 OR j < length(word)) c JOIN vc ON part = vc.word),
+wy AS (SELECT word, j AS pos, -weight AS s, 1 AS k, part AS t FROM ed WHERE i = 0 UNION ALL SELECT wy.word, j, s - weight, k + 1, t || '+' || part FROM wy JOIN ed ON wy.word = ed.word AND wy.pos = ed.i WHERE k < 4),
+sgm AS MATERIALIZED (SELECT word, string_split(arg_min(t, (s, k, t)), '+') AS parts FROM wy WHERE pos = length(word) AND k > 1 GROUP BY 1)"""
+
+
+def segments(s, d):
+    c = counts(s, d)
+    weight = 10 * F.char_length("word") + F.char_length(F.bin("n")) + F.when(F.right("word", F.lit(1)).isin(*_NOUN_ENDS), 5).otherwise(0)
+    return c, cm.segment(c.where("docs > 1 and length(word) between 4 and 24").select("word"), c.where("docs >= 3").select("word", weight.alias("weight")))
+
+
+@query("d6_segments", f"WITH RECURSIVE {SEGMENTS} SELECT word, array_to_string(parts, '+') AS parts FROM sgm")
+def _(s, d):
+    return segments(s, d)[1].select("word", F.array_join("parts", "+").alias("parts"))
+
+
+@query("f6_compound_issues", rf"""WITH RECURSIVE {SEGMENTS}, cc AS MATERIALIZED (SELECT word, parts, n, right(word, 1) IN {_NOUN_ENDS} AS noun FROM sgm JOIN cw USING (word)),
+p AS (SELECT doc_id, (unnest(range(len(f))))::INT AS i, unnest(g) AS gap, unnest(f) AS form FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '((?s:.*?))([\p{{L}}\p{{M}}\p{{N}}_]+)', 1) AS g, regexp_extract_all(coalesce(text, ''), '((?s:.*?))([\p{{L}}\p{{M}}\p{{N}}_]+)', 2) AS f FROM documents)),
+e AS MATERIALIZED (SELECT doc_id, i, form, (sum(length(gap) + length(form)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS stop, length(form) >= 2 AND lower(form) NOT IN {cm.FUNCTION_WORDS} AS ok FROM p),
+l AS (SELECT *, lead(form, 1) OVER w AS f1, lead(form, 2) OVER w AS f2, lead(form, 3) OVER w AS f3, lead(ok, 1) OVER w AS o1, lead(ok, 2) OVER w AS o2, lead(ok, 3) OVER w AS o3, lead(stop, 1) OVER w AS s1, lead(stop, 2) OVER w AS s2, lead(stop, 3) OVER w AS s3 FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+nb AS (SELECT doc_id, stop - length(form) AS start, s1 AS stop, [form, f1] AS ws FROM l WHERE ok AND o1 UNION ALL SELECT doc_id, stop - length(form), s2, [form, f1, f2] FROM l WHERE ok AND o1 AND o2 UNION ALL SELECT doc_id, stop - length(form), s3, [form, f1, f2, f3] FROM l WHERE ok AND o1 AND o2 AND o3),
+h AS (SELECT nb.*, cc.*, len(ws) AS k, len(parts) AS np, len(list_filter(range(1, len(ws) + 1), lambda x: contains(lower(ws[x]), parts[x]) OR contains(parts[x], lower(ws[x])))) AS m FROM nb JOIN cc ON lower(array_to_string(ws, '')) = cc.word),
+sc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN k = 2 THEN 0.7::DOUBLE ELSE 0.6::DOUBLE + 0.1::DOUBLE * least(np, k) END + CASE WHEN np = k THEN 0.2::DOUBLE * m / k ELSE 0 END + least(0.2::DOUBLE, n / 1000)
+  - CASE WHEN length(word) < 8 THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN lower(array_to_string(ws, ' ')) IN {cm.WRITTEN_APART} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN noun THEN 0.05::DOUBLE ELSE 0 END)) AS confidence FROM h)
+SELECT doc_id, start::INT AS start, stop::INT AS "end", array_to_string(ws, ' ') AS issue, word AS suggestion, k::INT AS n_parts, round(confidence, 6) AS confidence FROM sc WHERE round(confidence, 6) >= 0.75""")
+def _(s, d):
+    c, cuts = segments(s, d)
+    known = cuts.join(c.select("word", F.col("n").alias("frequency")), "word").withColumn("noun", F.right("word", F.lit(1)).isin(*_NOUN_ENDS))
+    return cm.split_compound_issues(docs(s, d), known, threshold=0.75)
