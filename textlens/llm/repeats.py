@@ -13,8 +13,6 @@ strings are counted one by one, by their hashes, and only those that occur again
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._chunks import chunk_count, deal, freeze, spread, squeeze, thaw
+from ._chunks import chunk_count, deal, spread, squeeze, thaw
 from ._common import give_back, mix64, stored, table
 from ._suffixes import suffix_array
 
@@ -425,15 +424,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*keep, *added])
 
-    def cut(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def cut(part: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
         if not len(part):
-            return pd.DataFrame(columns=["rows"])
-        held, data, starts, ids, ties = _documents(thaw(part["texts"]))
+            return to_arrow_schema(schema).empty_table()
+        held, data, starts, ids, ties = _documents(thaw(part.column("texts").to_pylist()))
         ends = np.append(starts[1:], len(data))
         places = {(i, t): n for n, (i, t) in enumerate(zip(ids.tolist(), ties.tolist(), strict=True))}
         by_doc: dict[int, list[tuple[int, int]]] = {}
-        for i, t, a, b in zip(*(found[c].tolist() for c in ("id", "tie", "a", "b")), strict=True):
+        for i, t, a, b in zip(*(found.column(c).to_pylist() for c in ("id", "tie", "a", "b")), strict=True):
             by_doc.setdefault(places[i, t], []).append((a, b))
         texts, columns = held.column("_text").to_pylist(), [[] for _ in added]
         for d in range(len(ids)):
@@ -452,17 +451,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 column.append(value)
         out = held.drop_columns(["_id", "_text"])
         made = {text: pa.array(texts, pa.string())} | {a.name: pa.array(c, t) for a, c, t in zip(added, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), strict=True)}
-        done = pa.table([made[f.name] if f.name in made else out.column(f.name) for f in schema.fields], names=schema.names)
-        return pd.DataFrame({"rows": [freeze(done)]})
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            give_back()
-            for b in batch.column(0).to_pylist():
-                yield from thaw([b]).to_batches(max_chunksize=2000)
+        return pa.table([made[f.name] if f.name in made else out.column(f.name) for f in schema.fields], names=schema.names)
 
     wide = deal(docs.select(*[f.name for f in keep if f.name != text], F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)))
-    return wide.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInPandas(cut, "rows binary").mapInArrow(opened, schema)
+    return wide.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
