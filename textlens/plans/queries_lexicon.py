@@ -426,3 +426,15 @@ def _(s, d):
     c, cuts = segments(s, d)
     known = cuts.join(c.select("word", F.col("n").alias("frequency")), "word").withColumn("noun", F.right("word", F.lit(1)).isin(*_NOUN_ENDS))
     return cm.split_compound_issues(docs(s, d), known, threshold=0.75)
+
+
+# --- A6: a thesaurus of the vocabulary's words and their rotations, written and read back
+
+@query("a6_thesaurus", f"WITH {COUNTS} SELECT DISTINCT word, substr(word, k + 1) || substr(word, 1, k) AS synonym FROM wc, (SELECT unnest([1, 2]) AS k) WHERE length(word) > 2")
+def _(s, d):
+    from ..sources import files
+
+    path = files.scratch(s, "thesaurus")
+    w = counts(s, d).where("length(word) > 2").select("word", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    files.write_thesaurus(w.select("word", F.expr("concat(substr(word, k + 1), substr(word, 1, k))").alias("synonym")), path)
+    return files.read_thesaurus(s, path)

@@ -52,13 +52,32 @@ def read_category_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_thesaurus(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(word, synonym) of a thesaurus: headings `word|n`, each followed by n sense lines `-|a|b`. The heading is carried down
-    within a file by a running last value; lines of one file stand in one group."""
-    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
-    lines = text.select("path", F.posexplode(F.split("text", "\r?\n", -1)).alias("n", "line")).where("line <> '' and n > 0")
+    """Distinct (word, synonym) of a thesaurus: headings `word|n`, each followed by n sense lines `-|a|b` or `(noun)|a|b`; lines
+    without a bar, such as a file's first, which names its encoding, are skipped.
+
+    Files are read in splits. A heading is carried down within a split by a running last value, and into the next splits of the file
+    by the last heading of each, a table of one row a split; so no file is one group.
+    """
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        lines = spark.read.text(path)
+    else:
+        lines = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")).where(F.contains("line", F.lit("|")))
     heading = F.when(~F.col("line").startswith("-|") & ~F.col("line").startswith("("), F.substring_index("line", "|", 1))
-    w = Window.partitionBy("path").orderBy("n")
-    return lines.withColumn("word", F.last(heading, ignorenulls=True).over(w)).where(heading.isNull()).select("word", F.explode(F.slice(F.split("line", r"\|", -1), 2, 100)).alias("synonym")).where("synonym <> ''").distinct()
+    rows = rows.withColumn("head", heading).withColumn("word", F.last("head", ignorenulls=True).over(Window.partitionBy("f", "b").orderBy("n")))
+    last = rows.groupBy("f", "b").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("n"))).alias("_last"))
+    carried = last.select(F.col("f").alias("_f"), F.col("b").alias("_b"), F.last("_last", ignorenulls=True).over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    senses = rows.where(F.col("head").isNull()).join(carried, (F.col("f") == F.col("_f")) & (F.col("b") == F.col("_b")), "left")
+    parts = F.split("line", r"\|", -1)
+    found = senses.select(F.coalesce("word", "_before").alias("word"), F.explode(F.slice(parts, F.lit(2), F.size(parts) - 1)).alias("synonym"))
+    return found.where("word is not null and synonym <> ''").distinct()
+
+
+def write_thesaurus(synonyms: DataFrame, path: str) -> None:
+    """Writes (word, synonym) as headings with one sense line each, UTF-8. Words and synonyms hold no bar or line feed; nulls are left out."""
+    known = synonyms.where(F.col("word").isNotNull() & F.col("synonym").isNotNull())
+    entry = F.concat("word", F.lit("|1\n-|"), F.array_join(F.array_sort(F.collect_set("synonym")), "|"))
+    known.groupBy("word").agg(entry.alias("value")).select("value").write.text(path)
 
 
 def read_text_encoded(spark: SparkSession, path: str) -> DataFrame:
