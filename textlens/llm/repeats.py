@@ -13,6 +13,7 @@ strings are counted one by one, by their hashes, and only those that occur again
 from __future__ import annotations
 
 import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
