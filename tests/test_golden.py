@@ -101,6 +101,21 @@ def test_running_sum(spark):
     assert got == {i: list(itertools.accumulate(s)) for i, s in enumerate(sizes)}
 
 
+def test_confidence_and_levels(spark):
+    i = spark.createDataFrame([
+        (1, "spacing", [], None, "rule_based", "high"), (2, "no such type", None, None, None, None), (3, "noun_declension", ["properNoun", "inQuote", "unheard of"], None, "gpt", "low"), (4, "spacing", ["confirmedByUser"], None, "other", None), (5, "style_formality", [], 0.2, "rule_based", None), (6, "passive_voice", [], None, "rule_based", None), (7, "word_order_error", ["inHeading"], None, "other", "low"),
+    ], "issue_id int, type string, factors array<string>, own double, source string, severity string")
+    rates = spark.createDataFrame([("spacing", 10, 0.0), ("style_formality", 11, 1.0), ("passive_voice", 100, 0.0)], "type string, total int, rate double")
+    got = issues.score_confidence(i, queries_issues.BASE.df(spark), queries_issues.FACTORS.df(spark), rates)
+    assert {r.issue_id: r.confidence for r in got.collect()} == {1: 1.0, 2: 0.5, 3: 0.47, 4: 1.0, 5: 0.3, 6: 0.55, 7: 0.55}
+    known = i.select("issue_id", "type").join(got, "issue_id")
+    levels = {level: {r.issue_id: r.decision for r in issues.display_for_level(known, level).collect()} for level in ("minimal", "standard", "all")}
+    assert levels["all"] == {1: "show", 2: "suggest", 3: "hide", 4: "show", 5: "hide", 6: "suggest", 7: "suggest"}
+    assert levels["standard"] == levels["all"] | {2: "hide", 6: "hide"} and levels["minimal"] == levels["standard"]
+    empty = spark.createDataFrame([], "type string, base double")
+    assert {r.confidence for r in issues.score_confidence(i.where("issue_id = 2"), empty, queries_issues.FACTORS.df(spark).limit(0), rates).collect()} == {0.5}
+
+
 def test_many_suggestions(spark):
     value = "ab " * 700
     i = spark.createDataFrame([(0, 3 * k, 3 * k + 2, "X") for k in range(700)] + [(0, 3 * k + 1, 3 * k + 2, "no") for k in range(700)], "doc_id long, start int, end int, suggestion string")

@@ -270,13 +270,26 @@ def merge_issues(tables: list[DataFrame], threshold: float = 0.5, cap: int | Non
     return u.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= cap).drop("_k")
 
 
-def score_confidence(issues: DataFrame, base: DataFrame, factors: DataFrame, acceptance: DataFrame) -> DataFrame:
-    """(issue_id, confidence): the type's base, the context's factors, up to 0.1 for the type's acceptance; between 0 and 1.
-    issues: (issue_id, type, factors array); base: (type, base); factors: (factor, delta); acceptance: (type, rate)."""
-    f = issues.select("issue_id", F.explode_outer("factors").alias("factor")).join(F.broadcast(checked_small(factors)), "factor", "left").groupBy("issue_id").agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("_d"))
-    x = issues.join(F.broadcast(checked_small(base)), "type", "left").join(F.broadcast(checked_small(acceptance)), "type", "left").join(f, "issue_id")
-    value = F.coalesce("base", F.lit(0.5)) + F.col("_d") + F.coalesce((F.col("rate") - 0.5) * 0.2, F.lit(0.0))
-    return x.select("issue_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confidence"))
+def score_confidence(issues: DataFrame, base: DataFrame, factors: DataFrame, acceptance: DataFrame, least: int = 10) -> DataFrame:
+    """(issue_id, confidence), between 0 and 1: the issue's own confidence, else that of its type, else that of the type `unknown`;
+    its context's factors; 0.1 for issues of a model; for those of rules a fifth of how far the acceptance of their type, if over
+    `least` were decided, is from one half; 0.05 for high severity, less that for low.
+
+    issues: (issue_id, type, factors array) and, if there, own, source, severity; base: (type, base); factors: (factor, delta);
+    acceptance: (type, total, rate). An issue without factors, or with unknown ones, has none added.
+    """
+    x = issues
+    for c, kind in (("own", "double"), ("source", "string"), ("severity", "string")):
+        x = x if c in x.columns else x.withColumn(c, F.lit(None).cast(kind))
+    deltas = {r["factor"]: float(r["delta"]) for r in checked_small(factors, 1000).collect()}
+    bases = {r["type"]: float(r["base"]) for r in checked_small(base, 1000).collect()}
+    known = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key] if table else F.lit(None).cast("double")
+    x = x.withColumn("_base", known(bases, F.col("type"))).join(F.broadcast(checked_small(acceptance)).select("type", "total", "rate"), "type", "left")
+    added = F.aggregate(F.coalesce("factors", F.expr("cast(array() as array<string>)")), F.lit(0.0), lambda s, f: s + F.coalesce(known(deltas, f), F.lit(0.0)))
+    learned = F.when(F.col("source") == "gpt", 0.1).when((F.coalesce("source", F.lit("rule_based")) == "rule_based") & (F.col("total") > least), (F.col("rate") - 0.5) * 0.2).otherwise(0.0)
+    grave = F.when(F.col("severity") == "high", 0.05).when(F.col("severity") == "low", -0.05).otherwise(0.0)
+    value = F.coalesce("own", "_base", F.lit(bases.get("unknown", 0.5))) + added + learned + grave
+    return x.select("issue_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(value, 6))).alias("confidence"))
 
 
 def display_decision(issues: DataFrame, show: float = 0.8, suggest: float = 0.6, verify: float = 0.4) -> DataFrame:
@@ -284,6 +297,20 @@ def display_decision(issues: DataFrame, show: float = 0.8, suggest: float = 0.6,
     return issues.withColumn("decision", F.when(c >= show, "show").when(c >= suggest, "suggest").when(c >= verify, "verify").otherwise("hide"))
 
 
+#: Types by how much they matter to a reader. Fixed values.
+CRITICAL = ("article_error", "compound_word_error", "word_order_error")
+STANDARD = ("definite_form_error", "verb_conjugation", "noun_declension", "punctuation")
+
+
+def display_for_level(issues: DataFrame, level: str = "standard", high: float = 0.85, medium: float = 0.75, verify: float = 0.6, hide: float = 0.5) -> DataFrame:
+    """issues (type, confidence) with `decision` for a reader's level: show, suggest or verify by confidence; what is below `verify` but
+    not below `hide` is a suggestion if its type matters at the level (minimal: critical ones; standard: also standard ones; all)."""
+    c = F.col("confidence")
+    shown = {"minimal": F.col("type").isin(*CRITICAL), "standard": F.col("type").isin(*CRITICAL, *STANDARD)}.get(level, F.lit(True))
+    rest = F.when(c < hide, "hide").when(F.coalesce(shown, F.lit(False)), "suggest").otherwise("hide")
+    return issues.withColumn("decision", F.when(c >= high, "show").when(c >= medium, "suggest").when(c >= verify, "verify").otherwise(rest))
+
+
 def acceptance_by_type(decisions: DataFrame) -> DataFrame:
     """Accepted and rejected by type, with the grand total (type null). decisions: (type, accepted)."""
     return decisions.rollup("type").agg(F.count("*").alias("total"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))

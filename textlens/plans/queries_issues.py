@@ -276,22 +276,45 @@ def _(s, d):
     return merged(s, d)
 
 
-BASE = Literal("type string, base double", (("spelling", 0.9), ("grammar", 0.7), ("style", 0.4)))
-FACTORS = Literal("factor string, delta double", (("proper_noun", -0.2), ("user_trusted", 0.1), ("short_text", -0.1), ("seen_before", 0.3)))
-RATES = Literal("type string, rate double", (("spelling", 0.9), ("style", 0.1)))
-SCORED = "SELECT event_id AS issue_id, CASE event_type WHEN 'view' THEN 'spelling' WHEN 'click' THEN 'grammar' WHEN 'error' THEN 'style' ELSE 'other' END AS type, list_filter([CASE WHEN user_id % 2 = 0 THEN 'user_trusted' END, CASE WHEN value > 40 THEN 'seen_before' END, CASE WHEN value < 5 THEN 'short_text' END, CASE WHEN event_id % 3 = 0 THEN 'unknown' END], lambda x: x IS NOT NULL) AS factors FROM events"
+# Confidence by type and changes by context. Fixed values.
+BASE = Literal("type string, base double", (("spacing", 0.95), ("punctuation", 0.85), ("article_error", 0.82), ("definite_form_error", 0.80), ("compound_word_error", 0.80), ("verb_conjugation", 0.75), ("noun_declension", 0.72), ("word_order_error", 0.70), ("passive_voice", 0.65), ("style_formality", 0.60), ("unknown", 0.50)))
+FACTORS = Literal("factor string, delta double", (("inQuote", -0.05), ("inHeading", -0.10), ("inList", -0.05), ("dialectSpecific", -0.15), ("technicalTerm", -0.20), ("properNoun", -0.25), ("multipleDetections", 0.15), ("confirmedByUser", 0.30), ("confirmedByGpt", 0.20)))
+_TYPES = ("spacing", "punctuation", "article_error", "definite_form_error", "compound_word_error", "verb_conjugation", "noun_declension", "word_order_error", "passive_voice", "style_formality", "other")
+_CONTEXTS = ("inQuote", "inHeading", "inList", "dialectSpecific", "technicalTerm", "properNoun", "multipleDetections", "confirmedByUser", "confirmedByGpt", "noSuchFactor")
+# events as issues: the type by number, two factors, a source, a severity, some with a confidence of their own; acceptance by what was clicked
+SCORED = f"""i AS MATERIALIZED (SELECT event_id AS issue_id, ({list(_TYPES)})[1 + event_id % 11] AS type, CASE WHEN event_id % 5 > 0 THEN [({list(_CONTEXTS)})[1 + event_id % 10], ({list(_CONTEXTS)})[1 + user_id % 10]] END AS factors, CASE WHEN event_id % 7 = 0 THEN (user_id % 10) / 10 END AS own,
+ CASE user_id % 3 WHEN 0 THEN 'gpt' WHEN 1 THEN 'rule_based' ELSE 'other' END AS source, CASE event_type WHEN 'error' THEN 'high' WHEN 'view' THEN 'low' ELSE 'medium' END AS severity FROM events),
+a AS (SELECT ({list(_TYPES)})[1 + event_id % 11] AS type, count(*) AS total, count_if(event_type = 'click') / count(*) AS rate FROM events GROUP BY 1), b AS ({BASE.sql()}), f AS ({FACTORS.sql()}),
+s AS (SELECT issue_id, sum(delta) AS d FROM (SELECT issue_id, unnest(factors) AS factor FROM i) JOIN f USING (factor) GROUP BY 1),
+sc AS (SELECT issue_id, i.type, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(coalesce(own, base, 0.5::DOUBLE) + coalesce(d, 0) + CASE WHEN source = 'gpt' THEN 0.1::DOUBLE WHEN source = 'rule_based' AND total > 10 THEN (rate - 0.5::DOUBLE) * 0.2::DOUBLE ELSE 0 END + CASE severity WHEN 'high' THEN 0.05::DOUBLE WHEN 'low' THEN -0.05::DOUBLE ELSE 0 END, 6))) AS confidence
+ FROM i LEFT JOIN b ON i.type = b.type LEFT JOIN a ON i.type = a.type LEFT JOIN s USING (issue_id))"""
 
 
 def scored(s, d):
-    kind = F.when(F.col("event_type") == "view", "spelling").when(F.col("event_type") == "click", "grammar").when(F.col("event_type") == "error", "style").otherwise("other")
-    factors = F.array_compact(F.array(F.when(F.col("user_id") % 2 == 0, "user_trusted"), F.when(F.col("value") > 40, "seen_before"), F.when(F.col("value") < 5, "short_text"), F.when(F.col("event_id") % 3 == 0, "unknown")))
-    return table(s, d, "events").select(F.col("event_id").alias("issue_id"), kind.alias("type"), factors.alias("factors"))
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    n, user, e = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    kind = pick(_TYPES, n % 11)
+    x = table(s, d, "events").select(
+        n.alias("issue_id"), kind.alias("type"), F.when(n % 5 > 0, F.array(pick(_CONTEXTS, n % 10), pick(_CONTEXTS, user % 10))).alias("factors"), F.when(n % 7 == 0, (user % 10) / 10).alias("own"),
+        F.when(user % 3 == 0, "gpt").when(user % 3 == 1, "rule_based").otherwise("other").alias("source"), F.when(e == "error", "high").when(e == "view", "low").otherwise("medium").alias("severity"))
+    rates = iss.acceptance_by_type(table(s, d, "events").select(kind.alias("type"), (e == "click").alias("accepted"))).where("type is not null").select("type", "total", (F.col("accepted") / F.col("total")).alias("rate"))
+    return x, iss.score_confidence(x, BASE.df(s), FACTORS.df(s), rates)
 
 
-@query("f15_confidence", f"""WITH i AS ({SCORED}), b AS ({BASE.sql()}), f AS ({FACTORS.sql()}), a AS ({RATES.sql()}), u AS (SELECT issue_id, unnest(factors) AS factor FROM i), s AS (SELECT issue_id, sum(delta) AS d FROM u JOIN f USING (factor) GROUP BY 1)
-SELECT issue_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(base, 0.5) + coalesce(d, 0) + coalesce((rate - 0.5) * 0.2, 0))) AS confidence FROM i LEFT JOIN b USING (type) LEFT JOIN a USING (type) LEFT JOIN s USING (issue_id)""")
+@query("f15_confidence", f"WITH {SCORED} SELECT issue_id, confidence FROM sc")
 def _(s, d):
-    return iss.score_confidence(scored(s, d), BASE.df(s), FACTORS.df(s), RATES.df(s))
+    return scored(s, d)[1]
+
+
+_CRITICAL, _STANDARD = iss.CRITICAL, iss.CRITICAL + iss.STANDARD
+
+
+@query("f16_levels", f"""WITH {SCORED}, l AS (SELECT unnest(['minimal', 'standard', 'all']) AS level)
+SELECT issue_id, level, CASE WHEN confidence >= 0.85 THEN 'show' WHEN confidence >= 0.75 THEN 'suggest' WHEN confidence >= 0.6 THEN 'verify' WHEN confidence < 0.5 THEN 'hide' WHEN level = 'minimal' AND type NOT IN {_CRITICAL} THEN 'hide' WHEN level = 'standard' AND type NOT IN {_STANDARD} THEN 'hide' ELSE 'suggest' END AS decision FROM sc, l""")
+def _(s, d):
+    x, confidence = scored(s, d)
+    known = x.select("issue_id", "type").join(confidence, "issue_id")
+    return reduce(lambda a, b: a.union(b), [iss.display_for_level(known, level).select("issue_id", F.lit(level).alias("level"), "decision") for level in ("minimal", "standard", "all")])
 
 
 @query("f16_display", f"WITH {MERGED} SELECT doc_id, type, start, CASE WHEN confidence >= 0.8 THEN 'show' WHEN confidence >= 0.6 THEN 'suggest' WHEN confidence >= 0.4 THEN 'verify' ELSE 'hide' END AS decision FROM mg")
