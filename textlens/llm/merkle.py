@@ -9,7 +9,7 @@ siblings of every leaf of the block; what a block inherits from above comes to i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import discard, shuffle_partitions, stored, table
@@ -62,10 +62,10 @@ def ranked(items: DataFrame) -> DataFrame:
     discard(source)
     task = F.shiftright("_at", 33)
     parts = placed.groupBy(F.col("g").alias("_g"), task.alias("_task")).agg(F.min("_at").alias("_first"), F.count("*").alias("_own"))
-    # for a group as many rows as there are tasks
-    gathered = parts.groupBy("_g").agg(F.sum("_own").alias("_n"), F.sort_array(F.collect_list(F.struct("_task", "_first", "_own"))).alias("_parts"))
-    before = F.aggregate(F.slice("_parts", 1, F.col("_i")), F.lit(0).cast("long"), lambda s, p: s + p["_own"])
-    offsets = gathered.select("_g", "_n", F.posexplode("_parts").alias("_i", "_p"), "_parts").select("_g", "_n", F.col("_p._task").alias("_task"), (before - F.col("_p._first")).alias("_shift"))
+    # for a group at most as many rows as there are tasks
+    w = Window.partitionBy("_g").orderBy("_task")
+    before = F.coalesce(F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    offsets = parts.select("_g", "_task", (before - F.col("_first")).alias("_shift"), F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
     found = placed.join(offsets, placed["g"].eqNullSafe(offsets["_g"]) & (task == offsets["_task"]))
     return found.select("g", (F.col("_at") + F.col("_shift")).alias("r"), height(F.col("_n")).alias("height"), "h", "x")
 
