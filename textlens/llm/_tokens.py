@@ -54,12 +54,12 @@ def parts(text: str) -> Iterator[str]:
 
 
 class ChunkEncoder:
-    """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, CACHED and those of one batch at most.
+    """Ids of texts by way of their chunks, of which the distinct ones met so far are kept, `cached` and those of one batch at most.
     `encode` gets chunks and returns a ragged array of ids. `special` finds tokens that are cut out before anything else, as
     what stands before one is matched as if the text ended there; each is a chunk."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: re.Pattern | None = None):
-        self.encode, self.special = encode, special
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: re.Pattern | None = None, cached: int = CACHED):
+        self.encode, self.special, self.cached = encode, special, cached
         self._clear()
 
     def _segments(self, text: str) -> list[str]:
@@ -115,7 +115,7 @@ class ChunkEncoder:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number in each text)."""
-        if len(self.place) > CACHED:
+        if len(self.place) > self.cached:
             self._clear()
         index, ends = self._cut(texts)
         ids, out = take(self.data, self.offsets, index)

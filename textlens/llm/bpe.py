@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import give_back, table
 from ._tokens import ChunkEncoder, list_array, take
 
 #: Widths of the padded matrices; longer pieces are merged one by one with a heap.
@@ -204,6 +204,8 @@ class ByteBPE:
         return data, np.diff(offsets[ends])
 
 
+#: Distinct chunks that a task keeps (some 40 MB).
+CACHED_CHUNKS = 200_000
 _LOADED: dict[int, ByteBPE] = {}
 
 
@@ -227,8 +229,9 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(_loaded(content).encode_chunks)
+        encoder = ChunkEncoder(_loaded(content).encode_chunks, cached=CACHED_CHUNKS)
         for batch in batches:
+            give_back()
             rest = batch.select([f.name for f in keep])
             for a, b, values, counts in encoder(batch.column(text).to_pylist()):
                 part = rest.slice(a, b - a)
