@@ -30,3 +30,11 @@ def test_trailing_days(spark):
     got = {str(r.day): (r.n, r.n_distinct) for r in sketches.estimate(sketches.trailing(s, [], "day", 3)).collect()}
     assert got == {"2024-01-01": (2, 2), "2024-01-02": (3, 2), "2024-01-03": (4, 2), "2024-01-05": (2, 1), "2024-01-09": (1, 1)}
     assert sketches.estimate(sketches.merge_sketches(s.limit(0), ["day"])).collect() == []
+
+
+def test_trailing_days_of_many_users_are_exact(spark):
+    """Far more users than a sketch counts one by one; days without rows between, a null user, a null day."""
+    rows = [("2024-01-01", u) for u in range(30_000)] + [("2024-01-02", u) for u in range(20_000, 45_001)] + [("2024-01-05", 7), ("2024-01-05", 7), ("2024-01-20", None), (None, 3)]
+    day = spark.createDataFrame(rows, "day string, user_id long").withColumn("day", F.to_date("day"))
+    got = {str(r.day): (r.n, r.users, r.trailing) for r in sketches.trailing_exact(day, "day", "user_id", 4).collect()}
+    assert got == {"2024-01-01": (30_000, 30_000, 30_000), "2024-01-02": (25_001, 25_001, 45_001), "2024-01-05": (2, 1, 25_002), "2024-01-20": (1, 0, 0), "None": (1, 1, 0)}

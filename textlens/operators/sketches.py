@@ -1,4 +1,5 @@
-"""Distinct counts that add up: HyperLogLog sketches by day, language or source, stored once and merged over any range."""
+"""Distinct counts that add up: HyperLogLog sketches by day, language or source, stored once and merged over any range; exact counts
+of trailing days."""
 
 from __future__ import annotations
 
@@ -30,3 +31,18 @@ def trailing(sketches: DataFrame, by: list[str], day: str, days: int) -> DataFra
 
 def estimate(sketches: DataFrame, name: str = "n_distinct") -> DataFrame:
     return sketches.withColumn(name, F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def trailing_exact(rows: DataFrame, day: str, value: str, days: int) -> DataFrame:
+    """(day, n, users, trailing) of each day that has rows: its rows, its distinct values and those of it and the days - 1 before, exact.
+
+    A value's days stand in one row, sorted; each counts from there until the next one or the last day that it trails to, so a value
+    gives a day one row at most and tasks add them up before they are sent. Null values aren't counted, null days have no trail.
+    """
+    n = rows.groupBy(day).agg(F.count("*").alias("n"))
+    seen = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(day)).alias("_d"), F.max(F.col(day).isNull()).alias("_undated"))
+    last = F.transform("_d", lambda d, i: F.least(F.date_add(d, days - 1), F.coalesce(F.date_sub(F.get("_d", i + 1), 1), F.date_add(d, days - 1))))
+    spans = F.flatten(F.zip_with("_d", last, lambda d, e: F.transform(F.sequence(d, e), lambda x: F.struct(x.alias("at"), (x == d).alias("own")))))
+    undated = F.when(F.col("_undated"), F.array(F.struct(F.lit(None).cast("date").alias("at"), F.lit(True).alias("own")))).otherwise(F.array().cast("array<struct<at:date,own:boolean>>"))
+    counted = seen.select(F.explode(F.concat(spans, undated)).alias("x")).groupBy(F.col("x.at").alias("_at")).agg(F.count_if("x.own").alias("users"), F.count("x.at").alias("trailing"))
+    return n.join(counted, F.col(day).eqNullSafe(F.col("_at")), "left").select(day, "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("users", "trailing")])
