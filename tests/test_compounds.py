@@ -39,3 +39,19 @@ def test_golden_compounds(spark):
     plan = compounds.split_compound_issues(docs, known)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "NestedLoop" not in plan
     assert compounds.split_compound_issues(docs.limit(0), known).collect() == []
+
+
+def test_only_possible_neighbours_are_shuffled(spark, monkeypatch):
+    """Many compounds: the rows that are dealt by word are those of compounds and few others, and the issues are the same."""
+    from pyspark.sql import functions as F
+
+    from textlens.operators import compounds as cm
+
+    known = spark.range(20_000).select(F.concat(F.lit("bil"), F.col("id").cast("string")).alias("word"), F.array(F.lit("bil"), F.col("id").cast("string")).alias("parts"), F.lit(5).cast("long").alias("frequency"), F.lit(True).alias("noun"))
+    near = known.select("word").union(spark.range(50_000).select(F.concat(F.lit("hus"), F.col("id").cast("string"))))
+    kept = cm.possible(near, known)
+    assert kept.where("word like 'bil%'").count() == 20_000 and kept.where("word like 'hus%'").count() < 500
+    docs = spark.createDataFrame([(1, "En bil 12345 og Bil 777 her."), (2, None), (3, "bil og 12"), (1, "bil 19999")], "doc_id long, text string")
+    small = sorted(map(tuple, cm.split_compound_issues(docs, known).collect()))
+    monkeypatch.setattr(cm, "BROADCAST_COMPOUNDS", 10)
+    assert len(small) == 3 and sorted(map(tuple, cm.split_compound_issues(docs, known).collect())) == small
