@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import zstandard
 
 from textlens.llm import jaccard
 from textlens.llm._components import connected_components
@@ -105,6 +106,45 @@ def test_chain_of_near_copies(spark):
     assert got == components(rows)
 
 
+def test_large_group_hands_on_forests(spark):
+    """A group of near copies of which every two may link hands on pairs in proportion to its rows, and what it kept back if these fail."""
+    enum, base, m = jaccard.PartEnum(), np.arange(1, 101, dtype=np.uint64), 60
+    vectors = [zstandard.compress(enum.vector(enum.band(100), np.append(base, np.uint64(1000 + i))).tobytes()) for i in range(m)]
+
+    def found(forests, failed):
+        rows = [(7, enum.band(100), 0, 0, 0, i, 101, i, False, failed.get(i), bytes(v)) for i, v in enumerate(vectors)]
+        schema = "hub long, band long, x int, y int, block int, cls long, n long, comp long, pivot boolean, failed array<long>, vector binary"
+        return jaccard._near(spark.createDataFrame(rows, schema), 2, forests, 80).collect()
+
+    first = found(1, {})
+    assert len(first) == m - 1 and all(r.more for r in first)
+    failed = {}
+    for r in first:
+        failed.setdefault(r.b, []).append(r.a)
+    second = found(4, failed)
+    assert len(second) <= 4 * (m - 1)
+    pairs = [frozenset((r.a, r.b)) for r in (*first, *second)]
+    assert len(set(pairs)) == len(pairs)
+    every = found(m, failed)
+    assert len(every) == m * (m - 1) // 2 - (m - 1) and not any(r.more for r in every)
+
+
+def test_near_copies_around_the_threshold(spark, monkeypatch):
+    """Most of a large group may link by the bound, half of these pairs do; several rounds, in small blocks, find all components."""
+    rnd = random.Random(5)
+    base = [f"u{i}" for i in range(100)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(1 + i % 3):
+            words[rnd.randrange(100)] = f"n{i}x{rnd.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard, "GROUP", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()), key=repr)
+    assert got == components(rows)
+
+
 def test_connected_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(250)] + [(500, i) for i in range(501, 540)] + [(7, 7), (None, 3)]

@@ -285,11 +285,13 @@ def _vectors(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     return wanted.join(sets, "cls").select("cls", "band", "shingles").mapInPandas(rows, "cls long, band long, vector binary")
 
 
-def _near(rows: DataFrame, dealt: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, n) that may link by their part vectors, from rows (hub, band, x, y, block, cls, n, comp, pivot, vector).
+def _near(rows: DataFrame, dealt: int, forests: int, percent: int) -> DataFrame:
+    """Pairs (a, b, n, hub, band, more) that may link by their part vectors, from rows (hub, band, x, y, block, cls, n, comp, pivot,
+    failed, vector); failed: classes with which this one was compared in vain, or null.
 
     Rows of one hub, band, x and y are compared: with the row that is the pivot if there is one, else those of different
-    components (of different blocks, if x <> y)."""
+    components (of different blocks, if x <> y). A group hands on `forests` spanning forests of its components at most, so no
+    more pairs than `forests` times its rows; more: it has others. A pair can come from several groups, either way round."""
 
     def fit(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
         return (differ * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
@@ -299,31 +301,64 @@ def _near(rows: DataFrame, dealt: int, percent: int) -> DataFrame:
         bits = np.packbits(v[:, None, :] != w[None], axis=2)
         return np.bitwise_count(bits).sum(2, dtype=np.int64)
 
-    def compare(group: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
+    def compare(group: pd.DataFrame) -> Iterator[tuple]:
+        group = group.sort_values("cls")  # groups with the same members choose the same pairs
         n, comp, cls, block, pivot = (group[c].to_numpy() for c in ("n", "comp", "cls", "block", "pivot"))
         left = np.flatnonzero(pivot)[:1]
+        names, comp, count = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
         if not len(left):
-            names, first, count = np.unique(comp, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                return
-            left = np.flatnonzero(first != count.argmax())  # all but the largest component, against all
+            left = np.flatnonzero(comp != count.argmax())  # all but the largest component, against all
         v = np.stack([np.frombuffer(zstandard.decompress(b), np.uint8) for b in group["vector"]])
         step = max(1, (16 << 20) // max(1, v.size))
-        for a in range(0, len(left), step):
-            i = left[a : a + step]
-            ok = (comp[i][:, None] != comp[None]) & fit(n[i][:, None], n[None], differences(v[i], v))
-            if group["x"].iloc[0] != group["y"].iloc[0]:
-                ok &= block[i][:, None] != block[None]
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                p, q = (i[x], y) if pivot[i[x]] or cls[i[x]] < cls[y] else (y, i[x])
-                yield int(cls[p]), int(cls[q]), int(n[p])
+        ok = np.empty((len(left), len(v)), bool)
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            ok[at : at + step] = (comp[i][:, None] != comp[None]) & fit(n[i][:, None], n[None], differences(v[i], v))
+        if group["x"].iloc[0] != group["y"].iloc[0]:
+            ok &= block[left][:, None] != block[None]
+        place = np.full(len(v), -1)
+        place[left] = np.arange(len(left))
+
+        def drop(i: int, j: np.ndarray) -> None:
+            ok[place[i], j] = False
+            ok[place[j[place[j] >= 0]], i] = False
+
+        for i, failed in enumerate(group["failed"]):
+            if failed is not None:
+                j = np.flatnonzero(np.isin(cls, failed))
+                ok[place[j[place[j] >= 0]], i] = False
+                if place[i] >= 0:
+                    ok[place[i], j] = False
+        out = []
+        for _ in range(forests):
+            root = comp.copy()
+            for i, may in zip(left.tolist(), ok, strict=True):
+                j = np.flatnonzero(may & (root != root[i]))
+                if len(j):
+                    joined, first = np.unique(root[j], return_index=True)
+                    out += [(int(cls[i]), b, int(n[i])) for b in cls[j[first]].tolist()]
+                    drop(i, j[first])
+                    root[np.isin(root, joined)] = root[i]
+            if not ok.any():
+                break
+        hub, band, more = int(group["hub"].iloc[0]), int(group["band"].iloc[0]), bool(ok.any())
+        yield from ((*pair, hub, band, more) for pair in out)
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
-        out = dict.fromkeys(pair for _, group in part.groupby(["hub", "band", "x", "y"], sort=False) if len(group) > 1 for pair in compare(group))
-        return pd.DataFrame(list(out), columns=["a", "b", "n"]).astype("int64")
+        out: dict[tuple, None] = {}
+        for _, group in part.groupby(["hub", "band", "x", "y"], sort=False):
+            if len(group) > 1:
+                out |= dict.fromkeys(pair if pair[-1] else (*pair[:3], 0, 0, False) for pair in compare(group))
+        return pd.DataFrame(list(out), columns=["a", "b", "n", "hub", "band", "more"]).astype({"more": bool} | dict.fromkeys(("a", "b", "n", "hub", "band"), "int64"))
+
+    return rows.groupBy(F.pmod(F.xxhash64("hub", "band", "x", "y"), F.lit(dealt)).alias("_deal")).applyInPandas(near, "a long, b long, n long, hub long, band long, more boolean")
+
 
-    found = rows.groupBy(F.pmod(F.xxhash64("hub", "band", "x", "y"), F.lit(dealt)).alias("_deal")).applyInPandas(near, "a long, b long, n long")
-    return found.distinct()
+def _once(found: DataFrame) -> DataFrame:
+    """Each pair of _near() once and one way round."""
+    return found.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.first(F.struct("a", "b", "n")).alias("pair")).select("pair.*")
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -338,8 +373,9 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents with equal sets (128 bits) are one class. Sets that share a signature meet in the group of the signature's hub,
     so a pair meets once for each hub it shares and not for each signature. First each group is compared with one member
     only; what then still lies in different components within a group is compared by part vectors, an exact bound, in
-    blocks of bounded size, each pair of a group once, and verified by the sets. So no link between components is lost,
-    large groups of near copies cost one comparison each, and other members of a group cost byte comparisons.
+    blocks of bounded size, and verified by the sets. A group hands on a spanning forest of its components only; where one of
+    its pairs fails, the next round compares what is still apart, with sixteen times the forests. So no link between components
+    is lost, large groups of near copies hand on a pair for each member, and other members of a group cost byte comparisons.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     about = stored(set_table(docs, words=words).select("*", F.monotonically_increasing_id().alias("row")), "sets")
@@ -375,28 +411,46 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = (
         met.withColumn("is_pivot", F.col("cls") == F.col("pivot"))
         .withColumn("x", F.explode(F.when(F.col("is_pivot"), all_blocks).otherwise(here)))
-        .select("hub", "band", "x", F.col("x").alias("y"), "block", "cls", "n", F.col("cls").alias("comp"), F.col("is_pivot").alias("pivot"))
+        .select("hub", "band", "x", F.col("x").alias("y"), "block", "cls", "n", F.col("cls").alias("comp"), F.col("is_pivot").alias("pivot"), F.lit(None).cast("array<long>").alias("failed"))
     )
-    pairs = stored(_near(star.join(vectors, ["cls", "band"]), dealt, percent), "pairs")
+    pairs = stored(_once(_near(star.join(vectors, ["cls", "band"]), dealt, 1, percent)), "pairs")
     links = stored(verify(pairs, sets, percent), "links")
+    failed = stored(pairs.join(links, ["a", "b"], "left_anti").select("a", "b"), "failed")
     roots = connected_components(links)
-
-    comp = stored(met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "comp")
-    # a group of two is settled by its star
-    still = stored(comp.groupBy("hub", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low <> high").select("hub", "band"), "open")
-    rest = (
-        comp.join(still, ["hub", "band"]).withColumn("other", F.explode(all_blocks))
-        .select("hub", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "comp", F.lit(False).alias("pivot"))
-    )
-    done = pairs.select("a", "b").union(pairs.select("b", "a"))
-    again = stored(_near(rest.join(vectors, ["cls", "band"]), dealt, percent).join(done, ["a", "b"], "left_anti"), "pairs")
-    discard(narrow, met, comp, still, vectors, wanted, chosen)
-    if not again.isEmpty():
-        roots = connected_components(links.union(stored(verify(again, sets, percent), "links")))
+    discard(pairs)
+
+    forests, left, spent = 1, None, [links, failed]
+    while True:
+        comp = stored(met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "comp")
+        # a group of two is settled by its star
+        still = comp.groupBy("hub", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("m > 2 and low <> high").select("hub", "band")
+        still = stored(still if left is None else still.join(left, ["hub", "band"], "left_semi"), "open")
+        rest = (
+            comp.join(still, ["hub", "band"]).join(failed.groupBy(F.col("b").alias("cls")).agg(F.collect_set("a").alias("failed")), "cls", "left").withColumn("other", F.explode(all_blocks))
+            .select("hub", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "comp", F.lit(False).alias("pivot"), "failed")
+        )
+        near = stored(_near(rest.join(vectors, ["cls", "band"]), dealt, forests, percent), "near")
+        again = stored(_once(near), "pairs")
+        discard(comp, still)
+        spent += [near, again]
+        if again.isEmpty():
+            break
+        now = stored(verify(again, sets, percent), "links")
+        missed = stored(again.join(now, ["a", "b"], "left_anti").select("a", "b"), "failed")
+        links, failed = links.union(now), failed.union(missed)
+        roots = connected_components(links)
+        # if all that a group handed on links, so does what it kept back; a group with a pair that doesn't is compared once more
+        either = missed.union(missed.select("b", "a"))
+        left = stored(near.where("more").join(either, ["a", "b"], "left_semi").select("hub", "band").distinct(), "left")
+        spent += [now, missed, left]
+        if left.isEmpty():
+            break
+        forests *= 16
+    discard(narrow, met, vectors, wanted, chosen)
     of_class = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "first_id", "copies", F.coalesce("root", "cls").alias("root"))
     smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = stored(of_class.join(smallest, "root").select("digest", "copies", "component_id"), "components")
-    discard(found, again, pairs, links, classes)
+    discard(found, classes, *spent)
 
     # classes with over a thousandth of the rows are a thousand at most
     most = (about.count() + HOT - 1) // HOT
