@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 
 from textlens.llm import jaccard
 from textlens.llm._components import connected_components
@@ -145,6 +146,17 @@ def test_near_copies_around_the_threshold(spark, monkeypatch):
     assert got == components(rows)
 
 
+def test_filter_of_ids(spark):
+    """Every wanted id passes, a null one by its stand-in, and few others do."""
+    docs = spark.range(-5000, 5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    wanted = [-5000, -1, 0, 1, 4999, jaccard.NO_ID, 2**62]
+    got = jaccard._maybe_among(docs.union(spark.createDataFrame([(jaccard.NO_ID, "null")], docs.schema)), spark.createDataFrame([(i,) for i in wanted], "id long"))
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert len(ids) == len(set(ids)) < 100 and set(ids) >= {-5000, -1, 0, 1, 4999, jaccard.NO_ID}
+    assert jaccard._maybe_among(docs, spark.createDataFrame([], "id long")).count() == 0
+
+
 def test_connected_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(250)] + [(500, i) for i in range(501, 540)] + [(7, 7), (None, 3)]

@@ -28,6 +28,8 @@ BUCKET_BYTES, MIN_BUCKETS, HELD = 8 << 20, 24, 750_000
 GROUP, GROUP_BYTES = 1024, 32 << 20
 #: A class with more than this part of all rows gets its component from a broadcast of HOT rows at most.
 HOT = 1000
+#: Bits of a broadcast filter of ids at most, and of one of its rows.
+BITS, SLICE = 1 << 27, 1 << 16
 NO_ID = -(2**63)
 
 
@@ -361,6 +363,26 @@ def _once(found: DataFrame) -> DataFrame:
     return found.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.first(F.struct("a", "b", "n")).alias("pair")).select("pair.*")
 
 
+def _maybe_among(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is one of the long column `id` of ids, and some others: a bit for each hash, BITS at most, is
+    broadcast in slices, so that texts need no shuffle."""
+    bits = min(BITS, max(SLICE, 1 << (16 * ids.count()).bit_length()))
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(part["at"].to_numpy() % SLICE)
+        words = np.zeros(SLICE // 64, np.uint64)
+        np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return pd.DataFrame({"slice": [int(part["slice"].iloc[0])], "words": [words.view(np.int64)]})
+
+    def at(c: str):
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)).alias("at")
+
+    hashed = ids.select(at("id")).distinct().withColumn("slice", (F.col("at") / SLICE).cast("int"))
+    slices = hashed.groupBy("slice").applyInPandas(gather, "slice int, words array<long>")
+    seen = docs.withColumn("at", at(doc_id)).withColumn("slice", (F.col("at") / SLICE).cast("int")).join(F.broadcast(slices), "slice")
+    return seen.where(F.expr(f"getbit(words[int(at % {SLICE} / 64)], int(at % 64)) = 1")).select(*docs.columns)
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
@@ -401,7 +423,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = stored(met.select("cls", "band").distinct(), "wanted")
     chosen = stored(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("digest", "cls", "rep", "many"), "chosen")
     plain = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = set_table(plain.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words=words, with_set=True)
+    found = set_table(_maybe_among(plain, chosen.select(F.col("rep").alias("id"))), words=words, with_set=True)
     found = stored(found.join(chosen, (found["digest"] == chosen["digest"]) & (found["doc_id"] == chosen["rep"])).select("cls", "shingles", "many"), "shingles")
     sets = found.where("not many").union(found.where("many").dropDuplicates(["cls"])).select("cls", "shingles")
     vectors = stored(_vectors(sets, wanted, percent), "vectors")
