@@ -97,7 +97,7 @@ class PartEnum:
         return sums.reshape(n, n1, n2), np.bincount(place, minlength=n * n1 * n2).reshape(n, n1, n2)
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set numbers, signatures, needs): 56 bits of hash and 8 of the band; needs: rows (set number, band, how many
+        """(set numbers, signatures, needs): 48 bits of hash and 8 of the band; needs: rows (set number, band, how many
         signatures of the band a linked set shares at least: one for each part that can't fail)."""
         todo: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
@@ -125,7 +125,7 @@ class PartEnum:
                 full = counts > 0
                 who = np.broadcast_to(left[:, None, None], full.shape)[full]
                 owners.append(who)
-                found.append(mix64(sums ^ salt)[full] & ~np.uint64(255) | np.uint64(min(band, 255)))
+                found.append(mix64(sums ^ salt)[full] & ~np.uint64(0xFFFF) | np.uint64(min(band, 255)))
                 left = left[sure < 1]
                 seed += 1
         if not found:
@@ -366,7 +366,7 @@ def _once(found: DataFrame) -> DataFrame:
 def _maybe_among(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is one of the long column `id` of ids, and some others: a bit for each hash, BITS at most, is
     broadcast in slices, so that texts need no shuffle."""
-    bits = min(BITS, max(SLICE, 1 << (16 * ids.count()).bit_length()))
+    bits = min(BITS, max(SLICE, 1 << (64 * ids.count()).bit_length()))
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
         at = np.unique(part["at"].to_numpy() % SLICE)
@@ -459,8 +459,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         now = stored(verify(again, sets, percent), "links")
         missed = stored(again.join(now, ["a", "b"], "left_anti").select("a", "b"), "failed")
-        links, failed = links.union(now), failed.union(missed)
-        roots = connected_components(links)
+        failed = failed.union(missed)
+        roots = connected_components(now.union(roots))  # the stars of the components so far, and what joins them
         # if all that a group handed on links, so does what it kept back; a group with a pair that doesn't is compared once more
         either = missed.union(missed.select("b", "a"))
         left = stored(near.where("more").join(either, ["a", "b"], "left_semi").select("hub", "band").distinct(), "left")
