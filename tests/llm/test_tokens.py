@@ -45,6 +45,42 @@ def test_cache_is_emptied_when_full(monkeypatch):
     assert found[0] == found[2]
 
 
+def library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return token_files._loaded(f.read())[0], Tokenizer.from_file(path)
+
+
+SIGNED = ["one,", "two.\nThree", "x\n\ny", "a\nb 7\n8", "don't 's 'tis", "\nq", "z\n", "12ab34,!", "×a÷b", "ÀÉîø,ɏĳ.", "Привет, мир!\nДа", "½a ²b", "é\u0301,a", "<|endoftext|>,a", "a<|endoftext|>\nb  c", "( [a]) --b", "αβ, γ", "日,本.a"]
+
+
+@pytest.mark.parametrize("batch, group, cached", [(50, 1, 3), (300, 4, 20), (2_000_000, 4, 500_000)])
+def test_pieces_equal_the_library(batch, group, cached, monkeypatch):
+    monkeypatch.setattr(_tokens, "BATCH_CHARS", batch)
+    made, tokenizer = library()
+    encoder, rnd = _tokens.PieceEncoder(made.encode, made.special, cached), random.Random(2)
+    encoder.group = group
+    all_texts = texts() + SIGNED + [" " + x for x in SIGNED] + ["".join(rnd.choice(["ab", "É", "ж", "\n", " ", " c", "7", ",", "'", "'s", "×", "½", "中"]) for _ in range(rnd.randrange(30))) for _ in range(2000)]
+    got, at = [], 0
+    for a, b, ids, counts in encoder(all_texts):
+        assert a == at
+        at, ends = b, np.concatenate([[0], np.cumsum(counts)])
+        got += [ids[ends[i] : ends[i + 1]].tolist() for i in range(b - a)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in all_texts]
+
+
+def test_words_with_signs_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(_tokens, "BATCH_CHARS", 40)
+    made, _ = library()
+    given = []
+    encoder = _tokens.PieceEncoder(lambda x: given.extend(x) or made.encode(x), cached=4)
+    for _ in encoder([" word word, word. word.\nword: word;", " word! (word) word\nword7 word", " other word, other?"]):
+        pass
+    assert given.count(" word") == 1  # met often, so it stays when the others go
+    assert all(x.strip() == x or x[1:].strip() == x[1:] or x == "\n" for x in given)
+    assert not any(len(x) > 1 and "word" in x and x.strip() != "word" for x in given)
+
+
 def test_encode_decode_rows(spark):
     rows = [(i, t, "kept", "x") for i, t in enumerate(ODD)] + [(3, "  ", "kept", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded string")
@@ -68,6 +104,22 @@ def test_repair_round_trip(seed):
         assert len(symbols) < len(ids) / 10
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_places_apart_and_pairs_gathered(seed):
+    rnd = np.random.default_rng(seed)
+    rank = np.append(np.append(token_files.NONE, rnd.integers(0, [2, 3, 9, 40][seed], 500)), token_files.NONE).astype(np.int32)
+    rank[rnd.random(502) < 0.1] = token_files.NONE
+    found = token_files._apart(rank)
+    assert (rank[found] < token_files.NONE).all() and (np.diff(found) > 1).all()
+    free = np.flatnonzero(rank < token_files.NONE)
+    lowest = free[(rank[free] < rank[free - 1]) & (rank[free] < rank[free + 1])]
+    assert np.isin(lowest, found).all()
+    keys, places = rnd.integers(0, 7, 300), np.arange(300)
+    for high in (0, 1 << 60):  # the second doesn't fit one number with the place
+        got = token_files._gathered(keys + high, places)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip((keys + high).tolist(), places.tolist(), strict=True))
+
+
 def test_shard_random_access():
     rnd = np.random.default_rng(0)
     docs = [np.append(rnd.integers(1, 9, rnd.integers(0, 300)), 0) for _ in range(40)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import pack, scratch, shuffle_partitions, table, unpack
-from ._tokens import ChunkEncoder, take
+from ._tokens import PieceEncoder, take
 
 #: Ids in one shard at least (a longer document has a shard of its own).
 SHARD_TOKENS = 1_000_000
@@ -35,93 +35,121 @@ END_ID = 0
 FILE_SCHEMA = "part int, shard int, base int, n_docs int, n_tokens long, doc_ids array<bigint>, rules binary, rule_lengths binary, symbols binary, doc_symbols binary, doc_tokens binary"
 
 
-def _apart(places: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which of the ascending places are taken so that no two are neighbours: the heavier of two goes first, and of a run of one
-    weight every second place."""
-    taken = np.zeros(len(places), bool)
-    alike = np.append(False, (np.diff(places) == 1) & (np.diff(weight) == 0))
-    index = np.arange(len(places))
-    left = np.flatnonzero((index - np.maximum.accumulate(np.where(alike, 0, index))) % 2 == 0)
+#: The rank of a place where no pair is to be replaced.
+NONE = np.iinfo(np.int32).max
+
+
+def _apart(rank: np.ndarray) -> np.ndarray:
+    """Ascending places, no two of them neighbours: of neighbours with different ranks the lower one goes first, and of a run of one
+    rank every second place. rank: of every place, with NONE at both ends."""
+    rank = rank.copy()
+    same = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] < NONE)) + 1
+    begins = np.append(True, np.diff(same) > 1)
+    rank[same[(same - np.maximum.accumulate(np.where(begins[: len(same)], same, 0))) % 2 == 0]] = NONE
+    taken = np.zeros(len(rank), bool)
+    np.logical_and(rank[1:-1] < rank[:-2], rank[1:-1] < rank[2:], out=taken[1:-1])
+    open_ = rank < NONE
+    open_ &= ~taken
+    open_[1:] &= ~taken[:-1]
+    open_[:-1] &= ~taken[1:]
+    left = np.flatnonzero(open_)
     while len(left):
-        at, w = places[left], weight[left]
+        at, r = left, rank[left]
         touch = np.diff(at) == 1
-        first = ~np.append(False, touch & (w[:-1] > w[1:])) & ~np.append(touch & (w[1:] > w[:-1]), False)
-        taken[left[first]] = True
+        first = ~np.append(False, touch & (r[:-1] < r[1:])) & ~np.append(touch & (r[1:] < r[:-1]), False)
+        taken[at[first]] = True
         near = first.copy()
         near[1:] |= first[:-1] & touch
         near[:-1] |= first[1:] & touch
         left = left[~near]
-    return taken
+    return np.flatnonzero(taken)
+
+
+def _gathered(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both by key; in one number each, if they fit, as numbers are sorted much faster than orders are found."""
+    bits = int(places[-1]).bit_length() if len(places) else 0
+    if len(keys) and int(keys.max()).bit_length() + bits < 64:
+        both = np.sort(keys << bits | places)
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], places[order]
 
 
 def repair(ids: np.ndarray, base: int, barrier: int | None = END_ID, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rounds until no pair occurs min_count times. Each round counts all pairs and numbers those of at least
+    """(rules, symbols): rounds until no pair occurs min_count times. Each round counts all pairs and ranks those of at least
     min_count, most frequent first; where two of them overlap, the more frequent one is replaced, and the other is counted
     anew in the next round. Only pairs that are replaced min_count times become rules. Pairs with `barrier` on either side
     stay, so that no rule crosses it. A pair that is rare once stays rare, so a round looks only at places where the round before
     found a frequent pair or put a symbol."""
-    seq, rules, top = ids.astype(np.int64), [], base
-    live = np.ones(len(seq), bool)
-    while len(seq) >= 2:
-        at = np.flatnonzero(live[:-1])
+    seq, rules, top = ids.astype(np.int32), [], base
+    at = np.arange(len(seq) - 1)
+    while len(at):
         left, right = seq[at], seq[at + 1]
         if barrier is not None:
-            inside = (left != barrier) & (right != barrier)
+            inside = np.flatnonzero((left != barrier) & (right != barrier))
             at, left, right = at[inside], left[inside], right[inside]
-        keys = left << 32 | right
-        bits = len(keys).bit_length() + 1  # of a hash; pairs in rarer hash cells are rarer themselves
-        hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-        maybe = np.bincount(hashed, minlength=1 << bits)[hashed] >= min_count
-        places = at[maybe]
-        pairs, index, counts = np.unique(keys[maybe], return_inverse=True, return_counts=True)
-        often = counts[index] >= min_count
-        places, index = places[often], index[often]
-        live = np.zeros(len(seq), bool)
-        live[places] = True
-        taken = _apart(places, counts[index] * (len(pairs) + 1) - index)
-        places, index = places[taken], index[taken]
-        uses = np.bincount(index, minlength=len(pairs))
+        half = top.bit_length()
+        keys, places = _gathered(left.astype(np.int64) << half | right, at)
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        counts = np.diff(begins, append=len(keys))
+        often = counts >= min_count
+        pairs, places, counts = keys[begins[often]], places[np.repeat(often, counts)], counts[often]
+        by_count = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(pairs), np.int32)
+        rank[by_count] = np.arange(len(pairs))
+        ranks = np.full(len(seq) + 2, NONE, np.int32)
+        ranks[places + 1] = np.repeat(rank, counts)
+        places = _apart(ranks)
+        index = ranks[places]
+        places -= 1
+        uses = np.bincount(index, minlength=len(pairs))[rank]
         order = np.argsort(-uses, kind="stable")
         order = order[uses[order] >= min_count]
         if not len(order):
             break
-        symbol = np.full(len(pairs), -1, np.int64)
-        symbol[order] = top + np.arange(len(order))
+        symbol = np.full(len(pairs), -1, np.int32)
+        symbol[rank[order]] = top + np.arange(len(order))
         symbols = symbol[index]
-        places, symbols = places[symbols >= 0], symbols[symbols >= 0]
-        seq[places] = symbols
+        put = np.flatnonzero(symbols >= 0)
+        places = places[put]
+        seq[places] = symbols[put]
+        live = ranks[1:-1] < NONE
         live[places] = True
         live[np.maximum(places - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq, live = seq[keep], live[keep]
-        rules.append(np.stack([pairs[order] >> 32, pairs[order] & 0xFFFFFFFF], 1))
+        at = np.flatnonzero(live[:-1])
+        rules.append(np.stack([pairs[order] >> half, pairs[order] & ((1 << half) - 1)], 1))
         top += len(order)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), seq.astype(np.uint32)
 
 
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every symbol as a ragged array; rules only name earlier symbols, so whole layers of them expand at once."""
-    lengths = np.ones(base + len(rules), np.int64)
-    data, offsets = np.arange(base, dtype=np.uint32), np.arange(base + 1, dtype=np.int64)
+def _layers(rules: np.ndarray, base: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rules only name earlier symbols, so whole layers of them can be expanded at once: (symbol of the first, rules)."""
     done = base
-    while done < len(lengths):
+    while done < base + len(rules):
         block = rules[done - base :]
         ready = int(np.argmax(np.append((block >= done).any(1), True)))  # up to the first rule that needs a later one
-        block = block[:ready]
-        new, _ = take(data, offsets, block.ravel().astype(np.int64))
-        lengths[done : done + ready] = np.diff(offsets)[block.astype(np.int64)].sum(1)
-        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum(lengths[done : done + ready])])
-        data = np.concatenate([data, new])
+        yield done, block[:ready].astype(np.int64)
         done += ready
+
+
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every symbol as a ragged array."""
+    data, offsets = np.arange(base, dtype=np.uint32), np.arange(base + 1, dtype=np.int64)
+    for _, block in _layers(rules, base):
+        new, ends = take(data, offsets, block.ravel())
+        offsets = np.concatenate([offsets, offsets[-1] + ends[2::2]])
+        data = np.concatenate([data, new])
     return data, offsets
 
 
 def shard_row(part: int, shard: int, base: int, doc_ids: list, ids: np.ndarray, counts: np.ndarray) -> tuple:
     rules, symbols = repair(ids, base)
     lengths = np.ones(base + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[base + k] = lengths[a] + lengths[b]
+    for first, block in _layers(rules, base):
+        lengths[first : first + len(block)] = lengths[block].sum(1)
     ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(counts)) + 1
     doc_symbols = np.diff(ends, prepend=0).astype(np.uint32)
     return (part, shard, base, len(doc_ids), int(counts.sum()), doc_ids, pack(rules.ravel()), pack(lengths[base:].astype(np.uint32)), pack(symbols), pack(doc_symbols), pack(counts.astype(np.uint32)))
@@ -153,7 +181,7 @@ def decode_document(row: dict, k: int) -> np.ndarray:
 _LOADED: dict[int, tuple] = {}
 
 
-def _loaded(content: str) -> tuple[ChunkEncoder, int]:
+def _loaded(content: str) -> tuple[PieceEncoder, int]:
     """An encoder with the tokenizer of a file and the vocabulary size, built once in a Python worker, which keeps its chunks.
     The library uses the one core of its task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,7 +200,7 @@ def _loaded(content: str) -> tuple[ChunkEncoder, int]:
             size[i] = len(name)
 
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Chunks that begin with a blank and no further white space follow each other as in a text, JOINED to one, and are
+            """Pieces that begin with a blank and no further white space follow each other as in a text, JOINED to one, and are
             told apart by their bytes; the others are encoded one by one."""
             joined = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks), bool, len(chunks))
             alone = [c for c, j in zip(chunks, joined.tolist(), strict=True) if not j]
@@ -190,7 +218,7 @@ def _loaded(content: str) -> tuple[ChunkEncoder, int]:
             return take(ids, offsets, np.argsort(np.argsort(~joined, kind="stable"), kind="stable"))
 
         special = re.compile("|".join(map(re.escape, names))) if names else None
-        _LOADED[key] = ChunkEncoder(encode, special), tokenizer.get_vocab_size(with_added_tokens=True)
+        _LOADED[key] = PieceEncoder(encode, special), tokenizer.get_vocab_size(with_added_tokens=True)
     return _LOADED[key]
 
 
