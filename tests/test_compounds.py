@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 from textlens.operators import compounds
 
@@ -55,3 +56,14 @@ def test_only_possible_neighbours_are_shuffled(spark, monkeypatch):
     small = sorted(map(tuple, cm.split_compound_issues(docs, known).collect()))
     monkeypatch.setattr(cm, "BROADCAST_COMPOUNDS", 10)
     assert len(small) == 3 and sorted(map(tuple, cm.split_compound_issues(docs, known).collect())) == small
+
+
+def test_cuts_in_few_steps(spark):
+    """A long word with many parts: each step's expression stands once in the plan, and only stretches that may be words are shuffled."""
+    from pyspark.sql import functions as F
+
+    known = spark.createDataFrame([("ab" * k, k) for k in range(1, 9)] + [("a", 1)], "word string, weight long")
+    df = compounds.segment(spark.createDataFrame([("ab" * 12,), ("abc",), ("xyzx",)], "word string"), known)
+    assert [(r.word, "+".join(r.parts)) for r in df.collect()] == [("ab" * 12, "ab" * 4 + "+" + "ab" * 8)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 5 and "_held" in plan
