@@ -67,3 +67,12 @@ def test_cuts_in_few_steps(spark):
     assert [(r.word, "+".join(r.parts)) for r in df.collect()] == [("ab" * 12, "ab" * 4 + "+" + "ab" * 8)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_min(") == 5 and "_held" in plan
+
+
+def test_arrays_of_a_text_are_not_exploded_with_its_neighbours(spark):
+    known = spark.createDataFrame([("bokhylle", ["bok", "hylle"], 100, True), ("abcd", ["ab", "cd"], 2, True)], "word string, parts array<string>, frequency long, noun boolean")
+    docs = spark.createDataFrame([(1, "😀 (bok) hylle, a b ab\n\ncd"), (2, "bok"), (3, " bok hylle")], "doc_id long, text string")
+    df = compounds.split_compound_issues(docs, known)
+    assert sorted((r.doc_id, r.start, r.end, r.issue, r.suggestion, r.n_parts) for r in df.collect()) == [(1, 3, 13, "bok hylle", "bokhylle", 2), (1, 19, 25, "ab cd", "abcd", 2), (3, 1, 10, "bok hylle", "bokhylle", 2)]
+    wide = [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Generate" in x]
+    assert len(wide) == 2 and all(re.search(r"\), \[doc_id#\d+L(, x#\d+)?\], false", x) for x in wide)
