@@ -41,3 +41,44 @@ def test_numerals_are_cast_only_if_digits(spark):
     forms = spark.createDataFrame([("hus", "hus", "NOUN", "subst noyt ent ub")], "form string, lemma string, word_class string, tag string")
     df = issues.noun_form(op.tokenize_punct(texts(spark)), forms)
     assert "RLIKE" in plan(df).upper() and sorted(r.tok_id for r in df.collect()) == [4, 7]
+
+
+TEXTS = ["Den boken er 3 hus. å og! å spise? vis 4x «hus» 12 9\uffff9 de", None, "", " . \n..  ", "jeg\n\nliker å. fisk", "Ø og Å vi liker en stor bil fordi hun leser", "the rig is 12, er rig bok rig. That dog was ibly", "İstanbul ΟΔΟΣ å K 😀 rer."]
+
+
+def sentences(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition("doc_id")
+    return docs, op.tag_sentences(docs)
+
+
+def test_tagged_sentences_as_by_windows(spark):
+    """Tags, sentences and token numbers as windows over the text's tokens give them, without a sort."""
+    docs, s = sentences(spark)
+    df = op.explode_sentences(s)
+    assert "Window" not in plan(df) and "Sort" not in plan(df) and plan(df).count("Exchange") == 1
+    want = issues.with_sentences(op.tag_pos(op.tokenize_punct(docs))).select(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect())) and df.count() > 50 and df.dtypes == want.dtypes
+
+
+def test_queries_on_sentences_sort_no_tokens(spark, monkeypatch):
+    from textlens.plans import queries_issues as qi
+    from textlens.plans import queries_lexicon as ql
+
+    monkeypatch.setattr(ql, "docs", lambda s, d: sentences(spark)[0])
+    from textlens.plans import QUERIES
+
+    for name, most in (("d21_pos_ngrams", 3), ("d22_score_pos_sequence", 2), ("f12c_adjective", 2), ("f12d_unusual_order", 2)):
+        p = plan(QUERIES[name](spark, ""))
+        assert not any(x in p for x in ("Window", "Sort", "Join")) and p.count("Exchange") <= most, name
+    assert qi.sentences is ql.sentences
+
+
+def test_more_triples_than_a_task_holds(spark, monkeypatch):
+    _, s = sentences(spark)
+    known = lexicon.pos_ngrams(s.where("doc_id % 2 = 0"))
+    columns = ("doc_id", "sent_id", "n", "known", "share", "unusual")
+    few = lexicon.score_pos_sequence(s, known).select(*columns)
+    monkeypatch.setattr(lexicon, "MAX_THETA_ROWS", 3)
+    many = lexicon.score_pos_sequence(s, known).select(*columns)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.where("known > 0 and known < n").count() and few.dtypes == many.dtypes
+    assert lexicon.score_pos_sequence(s, known.limit(0)).where("known = 0").count() == few.count()
