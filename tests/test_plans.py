@@ -67,7 +67,7 @@ def test_queries_on_sentences_sort_no_tokens(spark, monkeypatch):
     monkeypatch.setattr(ql, "docs", lambda s, d: sentences(spark)[0])
     from textlens.plans import QUERIES
 
-    for name, most in (("d21_pos_ngrams", 3), ("d22_score_pos_sequence", 2), ("f12c_adjective", 2), ("f12d_unusual_order", 2)):
+    for name, most in (("d21_pos_ngrams", 3), ("d22_score_pos_sequence", 2), ("f12b_v2", 2), ("f12c_adjective", 2), ("f12d_unusual_order", 2)):
         p = plan(QUERIES[name](spark, ""))
         assert not any(x in p for x in ("Window", "Sort", "Join")) and p.count("Exchange") <= most, name
     assert qi.sentences is ql.sentences
