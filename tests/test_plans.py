@@ -67,7 +67,7 @@ def test_queries_on_sentences_sort_no_tokens(spark, monkeypatch):
     monkeypatch.setattr(ql, "docs", lambda s, d: sentences(spark)[0])
     from textlens.plans import QUERIES
 
-    for name, most in (("d21_pos_ngrams", 3), ("d22_score_pos_sequence", 2), ("f12b_v2", 2), ("f12c_adjective", 2), ("f12d_unusual_order", 2), ("f13a_determiner", 2), ("f13b_subject_verb", 2)):
+    for name, most in (("d21_pos_ngrams", 3), ("d22_score_pos_sequence", 2), ("d23_word_relations", 2), ("f12b_v2", 2), ("f12c_adjective", 2), ("f12d_unusual_order", 2), ("f13a_determiner", 2), ("f13b_subject_verb", 2)):
         p = plan(QUERIES[name](spark, ""))
         assert not any(x in p for x in ("Window", "Sort", "Join")) and p.count("Exchange") <= most, name
     assert qi.sentences is ql.sentences
@@ -84,6 +84,13 @@ def test_more_triples_than_a_task_holds(spark, monkeypatch):
     assert lexicon.score_pos_sequence(s, known.limit(0)).where("known = 0").count() == few.count()
 
 
+def test_words_of_the_dependencies_themselves(spark):
+    d = spark.createDataFrame([(1, "Den", "boken", "det"), (2, "den", "er", "det"), (2, "İ", None, "x")], "sent_id long, dep string, gov string, rel string")
+    df = lexicon.word_relations(None, d)
+    assert "Join" not in plan(df)
+    assert sorted(map(str, df.collect())) == sorted(map(str, lexicon.word_relations(d.select(F.lower("dep").alias("word")).distinct(), d).collect()))
+
+
 def test_heads_beside_their_tokens(spark):
     """Tokens with their heads beside them give what a look-up in the sentence gives, without a grouping."""
     rows = [(1, 0, 1, "den", "DET", 2, "det", {"Gender": "Masc"}), (1, 0, 2, "hus", "NOUN", 0, "root", {"Gender": "Neut"}), (1, 1, 1, "en", "DET", 2, "det", {"Number": "Sing"}), (1, 1, 2, "biler", "NOUN", 0, "root", {"Number": "Plur"}), (2, 0, 1, "en", "DET", 2, "det", None), (2, 0, 2, "bil", "NOUN", 0, "root", {"Gender": "Masc"})]
